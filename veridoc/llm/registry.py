@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.lines import deduplicate_lines
+
+    kept = deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.simhash import near_duplicates
 
@@ -44,5 +58,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(budget - epochs * source_size - earlier, size)))::BIGINT AS taken FROM cut
 """
 
-QUERIES = {"op7_simhash": op7_simhash, "op9_mix": op9_mix}
+QUERIES = {"op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
 ORACLES = {"op9_mix": OP9_SQL}
