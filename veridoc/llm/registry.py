@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.decontaminate import contamination
 
@@ -35,6 +41,29 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.common import word_count
+    from veridoc.llm.token_rollups import document_changes, scratch_rollups
+
+    rollups = scratch_rollups(spark)
+    for _ in range(2):  # the second time changes nothing: batches commit once
+        for batch, changes in document_changes(_table(spark, sf_dir, "documents"), word_count(F.col("text")), F.coalesce(F.length("text"), F.lit(0)).cast("long")).items():
+            rollups.commit(batch, changes)
+    return rollups.totals()
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, length(coalesce(text, '')) AS chars,
+    doc_id > min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS copy
+  FROM documents
+), both_versions AS (
+  SELECT source, lang, 'words-1' AS tokenizer, words AS tokens FROM d WHERE copy IS NOT TRUE
+  UNION ALL SELECT source, lang, 'chars-1', chars FROM d WHERE copy IS NOT TRUE
+)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(tokens)::BIGINT AS n_tokens FROM both_versions GROUP BY ALL
+"""
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS k FROM documents
@@ -58,5 +87,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(budget - epochs * source_size - earlier, size)))::BIGINT AS taken FROM cut
 """
 
-QUERIES = {"op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
-ORACLES = {"op9_mix": OP9_SQL}
+QUERIES = {"op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
+ORACLES = {"op10_token_rollups": OP10_SQL, "op9_mix": OP9_SQL}
