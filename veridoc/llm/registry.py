@@ -10,6 +10,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.warc import page_captures, resolve_revisits
+
+    out = resolve_revisits(page_captures(_table(spark, sf_dir, "pages")))
+    header = {f"h_{k.replace('-', '_')}": F.element_at("headers", k) for k in ("etag", "date", "content-length", "content-type")}
+    return out.select("record_id", "canonical_url", F.col("at").alias("captured_at"), "response_id", "response_at", "outcome", *[v.alias(k) for k, v in header.items()])
+
+
+OP2_SQL = r"""
+WITH bare AS (
+  SELECT page_id, md5(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS bytes,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
+), cut AS (
+  SELECT *, lower(regexp_extract(u, '^([^/?]*)', 1)) AS host, regexp_replace(u, '^[^/?]*', '') AS rest FROM bare
+), canon AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS base,
+    regexp_replace(regexp_replace(regexp_extract(rest, '\?(.*)$', 1), '(^|&)utm_[^&]*', '', 'g'), '^&+', '') AS q FROM cut
+), p AS (
+  SELECT page_id, digest, bytes, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM canon
+), pairs AS (
+  SELECT v.page_id * 2 + 1 AS record_id, v.canonical_url, v.page_id + 1000 AS captured_at, r.page_id * 2 AS response_id, r.page_id AS response_at, v.digest AS own, r.digest AS theirs, r.bytes, v.page_id
+  FROM p v JOIN p r ON v.canonical_url = r.canonical_url AND (r.page_id < v.page_id + 1000)
+), latest AS (
+  SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY response_at DESC, response_id DESC) = 1
+)
+SELECT record_id, canonical_url, captured_at, response_id, response_at, CASE WHEN own = theirs THEN 'resolved' ELSE 'changed' END AS outcome,
+  CASE WHEN own = theirs THEN 'W/"' || own || '"' END AS h_etag, CASE WHEN own = theirs THEN page_id::VARCHAR END AS h_date,
+  CASE WHEN own = theirs THEN bytes::VARCHAR END AS h_content_length, CASE WHEN own = theirs THEN 'text/html' END AS h_content_type
+FROM latest
+"""
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.embeddings import near_duplicates
 
@@ -87,5 +125,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(budget - epochs * source_size - earlier, size)))::BIGINT AS taken FROM cut
 """
 
-QUERIES = {"op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
-ORACLES = {"op10_token_rollups": OP10_SQL, "op9_mix": OP9_SQL}
+QUERIES = {"op2_revisits": op2_revisits, "op3_licenses": op3_licenses, "op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
+ORACLES = {"op2_revisits": OP2_SQL, "op10_token_rollups": OP10_SQL, "op9_mix": OP9_SQL}
