@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.warc import page_captures, resolve_revisits
 
@@ -125,5 +131,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(budget - epochs * source_size - earlier, size)))::BIGINT AS taken FROM cut
 """
 
-QUERIES = {"op2_revisits": op2_revisits, "op3_licenses": op3_licenses, "op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_revisits": op2_revisits, "op3_licenses": op3_licenses, "op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
 ORACLES = {"op2_revisits": OP2_SQL, "op10_token_rollups": OP10_SQL, "op9_mix": OP9_SQL}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import connected_components, materialize, stream_groups
+from veridoc.llm.common import LAST_ID, connected_components, materialize, stream_groups
 
 BITS = 64
 #: Members of one shard's tree; larger shards go by shared one-bit variants instead.
@@ -135,14 +135,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE)
     return trees.union(around.select("a", F.explode("all").alias("b")).where("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links.
-
-    Whole texts of any length are hashed piece by piece. Null, empty and blank texts have fingerprint 0 and link
-    like any other. Rows with equal fingerprints are one node, however many there are; repeated rows come back as
-    often as they came in. A row without doc_id takes part and gets its group's smallest doc_id, null if the group
-    has none. Other columns are ignored. An empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int) -> DataFrame:
+    """(doc_id, tie, fp, root, component_id) per row; tie is a hash of the text, root names the group."""
 
     def hashed(batches: Iterator) -> Iterator:
         import numpy as np
@@ -150,13 +144,33 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    rows = materialize(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(hashed, "doc_id long, fp long"))
+    keyed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("tie"))
+    rows = materialize(keyed.mapInArrow(hashed, "doc_id long, tie long, fp long"))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = connected_components(fingerprint_links(rows.select("fp").distinct(), radius))
-    rooted = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
+    rooted = materialize(classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links.
+
+    Whole texts of any length are hashed piece by piece. Null, empty and blank texts have fingerprint 0 and link
+    like any other. Rows with equal fingerprints are one node, however many there are; repeated rows come back as
+    often as they came in. A row without doc_id takes part and gets its group's smallest doc_id, null if the group
+    has none. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = _classified(docs, doc_id, text, shingle, radius)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of every group with all its columns: the smallest doc_id, then text hash; of exact repeats any."""
+    rows = _classified(docs, doc_id, text, shingle, radius).select("root", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "tie")
+    kept = rows.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("one")).select("one.*")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
+    one = Window.partitionBy("id", "tie").orderBy("id")
+    return keyed.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
