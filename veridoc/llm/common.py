@@ -46,8 +46,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop shuffle files of finished steps: it goes by the driver's garbage collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stream_groups(df: DataFrame, keys: list[str], fn: Callable, schema: T.StructType | str) -> DataFrame:

@@ -60,6 +60,13 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridoc.llm.substrings import remove_repeats
+
+    kept = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridoc.llm.decontaminate import contamination
 
@@ -131,5 +138,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(budget - epochs * source_size - earlier, size)))::BIGINT AS taken FROM cut
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_revisits": op2_revisits, "op3_licenses": op3_licenses, "op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_substrings": op5_substrings, "op2_revisits": op2_revisits, "op3_licenses": op3_licenses, "op4_embeddings": op4_embeddings, "op10_token_rollups": op10_token_rollups, "op6_decontaminate": op6_decontaminate, "op8_lines": op8_lines, "op7_simhash": op7_simhash, "op9_mix": op9_mix}
 ORACLES = {"op2_revisits": OP2_SQL, "op10_token_rollups": OP10_SQL, "op9_mix": OP9_SQL}
