@@ -177,3 +177,52 @@ def apply_refutations(marks: DataFrame, refuted: DataFrame, radius: float = SAME
 def cells(radius: float) -> int:
     """Cells along a sheet's side."""
     return math.ceil(1 / radius)
+
+
+def _core(c: str) -> Column:
+    return F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+
+
+def fragments(hits: DataFrame, records: DataFrame, radius: float = FRAGMENT) -> DataFrame:
+    """hit_id of hits (hit_id, page, numeral, x, y) that lie on a longer record (page, text, x, y, w) that contains them.
+
+    Records are listed under the bands of y around theirs and the cells of x they cover."""
+    span = F.explode(F.sequence(F.floor((F.col("x") - radius) / radius), F.floor((F.col("x") + F.coalesce("w", F.lit(0.0)) + radius) / radius)))
+    band = F.explode(F.array(*[F.floor(F.col("y") / radius) + i for i in (-1, 0, 1)]))
+    listed = records.select("page", _core("text").alias("long"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.coalesce("w", F.lit(0.0)).alias("rw"), span.alias("cx"), "y").withColumn("cy", band).drop("y")
+    met = hits.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius), "short": F.lower("numeral")}).join(listed, ["page", "cx", "cy"])
+    on = F.col("x").between(F.col("rx") - radius, F.col("rx") + F.col("rw") + radius) & (F.abs(F.col("ry") - F.col("y")) < radius)
+    return met.where(on & F.contains("long", "short") & (F.col("long") != F.col("short"))).select("hit_id").distinct()
+
+
+def drop_fragment_hits(hits: DataFrame, radius: float = CONTAINED) -> DataFrame:
+    """Hits without those contained in a longer kept one at their spot; longer labels come first, so order decides."""
+    def kept(pdf):
+        import pandas as pd
+
+        out: list[dict] = []
+        for h in sorted(pdf.to_dict("records"), key=lambda h: (-len(h["numeral"]), h["hit_id"])):
+            short = h["numeral"].lower()
+            if not any(short != k["numeral"].lower() and short in k["numeral"].lower() and abs(k["x"] - h["x"]) < radius and abs(k["y"] - h["y"]) < radius for k in out):
+                out.append(h)
+        return pd.DataFrame(out, columns=list(pdf.columns))
+
+    return hits.groupBy("page").applyInPandas(kept, hits.schema)
+
+
+def letters_read(observations: DataFrame, markers: DataFrame, marks: DataFrame, header: float = 0.88) -> DataFrame:
+    """Observations below the header band that read exactly as a view marker the page has no mark of."""
+    rows = observations.withColumn("numeral", F.regexp_replace("text", "[^A-Za-z0-9]", "")).where(F.col("y") < header)
+    return rows.join(markers.select(F.col("marker").alias("numeral")).distinct(), "numeral", "left_semi").join(marks.select("page", "numeral").distinct(), ["page", "numeral"], "left_anti")
+
+
+def numeral_coverage(text_labels: DataFrame, tied: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(label, kind) of disagreements: figure-tied labels on no sheet, drawn labels no text recites, and labels whose
+    text names a figure where they weren't seen. text_labels: label; tied and drawn: label, fig."""
+    seen = drawn.select("label").distinct()
+    figs = tied.select("label").distinct()
+    locatable = F.col("label").rlike("[^0-9]") | (F.col("label").try_cast("long") >= 10)
+    missed = figs.where(locatable).join(seen, "label", "left_anti").select("label", F.lit("recited-not-drawn").alias("kind"))
+    extra = seen.join(text_labels.select("label").distinct(), "label", "left_anti").select("label", F.lit("drawn-not-recited").alias("kind"))
+    other = tied.join(seen, "label", "left_semi").join(drawn, ["label", "fig"], "left_anti").select("label", F.lit("figure-mismatch").alias("kind")).distinct()
+    return missed.union(extra).union(other)

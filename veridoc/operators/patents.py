@@ -147,3 +147,61 @@ def support_map(docs: DataFrame, k: int = 5) -> DataFrame:
     paragraphs = parse_paragraphs(docs).withColumn("span_id", F.concat_ws("|", "doc_id", "label"))
     hits = search(build_index(paragraphs, scope="doc_id"), limits.select("query_id", F.col("text").alias("query"), "doc_id"), k, scope="doc_id")
     return limits.select("query_id", "doc_id", "number", "index").join(hits, "query_id", "left").select("doc_id", "number", "index", "rank", "span_id", "score")
+
+
+CAPTION = re.compile(r"(?i)FIGS?\.?\s*(\d+\s*[A-Z]?)(?:\s*[-–]\s*\d*\s*[A-Z]?)?\s+(?:is|are|shows?|depicts?|illustrates?|comprises?|represents?)\b")
+CAPTION_GAP = 400
+
+
+def _figures(text: str) -> list[tuple]:
+    """Captions of the first run of captions; figures named only by a range share their number's caption."""
+    run: list[re.Match] = []
+    for m in CAPTION.finditer(text):
+        if run and m.start() > run[-1].end() + CAPTION_GAP:
+            break
+        run.append(m)
+    stop = text.find(".", run[-1].end()) + 1 if run else 0
+    ends = [m.start() for m in run[1:]] + [stop or len(text)]
+    out, named, by_number = [], set(), {}
+    for m, end in zip(run, ends, strict=False):
+        fig, caption = "".join(m[1].split()), text[m.start() : end].rstrip(" ;\n\t")
+        out.append((fig, caption, m.start(), m.start() + len(caption)))
+        named.add(fig.upper())
+        by_number.setdefault(re.match(r"\d+", fig)[0], caption)
+    for fig, lo, hi in _figure_refs(text):
+        if fig[-1].isalpha() and fig.upper() not in named:
+            named.add(fig.upper())
+            out.append((fig, by_number.get(re.match(r"\d+", fig)[0], ""), lo, hi))
+    return sorted(out, key=lambda r: (int(re.match(r"\d+", r[0])[0]), re.sub(r"^\d+", "", r[0])))
+
+
+def parse_figures(docs: DataFrame) -> DataFrame:
+    """Figures with their captions, in natural order."""
+    return _rows(docs, _figures, "fig string, caption string, char_start int, char_end int")
+
+
+def numeral_mentions(docs: DataFrame) -> DataFrame:
+    """Every label of a part recited before the claims, with the element it names."""
+    from veridoc.functions.nounphrase import mentions
+
+    def run(text: str) -> list[tuple]:
+        marker = re.search(CLAIMS_MARKER, text)
+        return mentions(text[: marker.start()] if marker else text)
+
+    return _rows(docs, run, "label string, element string, char_start int, char_end int")
+
+
+def reference_numerals(mentioned: DataFrame) -> DataFrame:
+    """The first mention of each label."""
+    first = F.min(F.struct("char_start", "char_end", "element"))
+    return mentioned.groupBy("doc_id", "label").agg(first.alias("m")).select("doc_id", "label", "m.element", "m.char_start", "m.char_end")
+
+
+INID = {"patent_number": r"(?m)\[11\]\s*(?:Patent Number:?)?\s*([\d,]+)", "date_of_patent": r"(?m)\[45\]\s*(?:Date of Patent:?)?\s*(.+)$", "application_number": r"(?m)\[21\]\s*(?:Appl\. No\.:?)?\s*([\d/,]+)", "filed": r"(?m)\[22\]\s*(?:Filed:?)?\s*(.+)$"}
+
+
+def front_matter(docs: DataFrame, lines: int = 40) -> DataFrame:
+    """Numbered fields of the first page, as written; null where a field isn't there."""
+    head = F.array_join(F.slice(F.split("canonical_text", "\n"), 1, lines), "\n")
+    found = {k: F.regexp_extract(head, shape, 1) for k, shape in INID.items()}
+    return docs.select("doc_id", *[F.when(v != "", F.btrim(v)).alias(k) for k, v in found.items()])

@@ -552,3 +552,154 @@ def l1_review_queue(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem").select(F.when(flag == "A", "figure-mismatch").when(flag == "N", "recited-not-drawn").otherwise("conflict").alias("kind"), (F.col("l_partkey") % 500).cast("string").alias("label"))
     judged = spark.range(100).select(F.concat(F.lit("conflict:"), F.col("id").cast("string")).alias("item_id"))
     return layout.review_queue(found, judged)
+
+
+def _patents(spark, sf_dir):
+    """A short patent for every supplier."""
+    n = F.col("s_suppkey").cast("string")
+    parts = [
+        "[11] Patent Number: ", n, "\nDETAILED DESCRIPTION\n[0001] FIGS. 3 A-B are views; FIG. 1 shows the pump.\n[0002] The pump 1", n,
+        " drives the pipes 56, 58 and 60 at 400 W near the valve assembly 12a. Width D1, node STM.\nWhat is claimed is:\n1. A device comprising: a pump", n, "; and a motor.\n2. The device of claim 1, wherein the pump is red.\n",
+    ]
+    text = F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    return spans.make_documents(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+
+
+_S = "SELECT s_suppkey::VARCHAR AS doc_id FROM supplier"
+
+
+@query(f"WITH s AS ({_S}) SELECT doc_id, 1 AS number, '1. A device comprising: a pump' || doc_id || '; and a motor.' AS text, NULL::INT AS depends_on FROM s UNION ALL SELECT doc_id, 2, '2. The device of claim 1, wherein the pump is red.', 1 FROM s")
+def h1_claims(spark, sf_dir):
+    from veridoc.operators.patents import parse_claims
+
+    return parse_claims(_patents(spark, sf_dir)).select("doc_id", "number", "text", "depends_on")
+
+
+@query(f"WITH s AS ({_S}) SELECT doc_id, 1 AS number, 0 AS index, 'a pump' || doc_id AS text FROM s UNION ALL SELECT doc_id, 1, 1, 'a motor' FROM s UNION ALL SELECT doc_id, 2, 0, 'the pump is red' FROM s")
+def h2_limitations(spark, sf_dir):
+    from veridoc.operators.patents import decompose_claims
+
+    return decompose_claims(_patents(spark, sf_dir)).select("doc_id", "number", "index", "text")
+
+
+@query(f"WITH s AS ({_S}) SELECT doc_id, '[0001]' AS label, '[0001] FIGS. 3 A-B are views; FIG. 1 shows the pump.' AS text FROM s UNION ALL SELECT doc_id, '[0002]', '[0002] The pump 1' || doc_id || ' drives the pipes 56, 58 and 60 at 400 W near the valve assembly 12a. Width D1, node STM.' FROM s")
+def h3_paragraphs(spark, sf_dir):
+    from veridoc.operators.patents import parse_paragraphs
+
+    return parse_paragraphs(_patents(spark, sf_dir)).select("doc_id", "label", "text")
+
+
+@query(f"WITH s AS ({_S}) SELECT doc_id, doc_id AS patent_number, NULL::VARCHAR AS filed FROM s")
+def h5_front_matter(spark, sf_dir):
+    from veridoc.operators.patents import front_matter
+
+    return front_matter(_patents(spark, sf_dir)).select("doc_id", "patent_number", "filed")
+
+
+@query("SELECT o_orderkey, least(o_orderdate::DATE, DATE '2000-06-15') AS effective, CASE WHEN least(o_orderdate::DATE, DATE '2000-06-15') < DATE '2013-03-16' THEN 'pre-AIA' ELSE 'AIA' END AS regime FROM orders")
+def h6_regime(spark, sf_dir):
+    from veridoc.operators.patents import regime
+
+    r = regime(F.col("o_orderdate").cast("date"), F.array(F.lit("2000-06-15").cast("date")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", r["effective"].alias("effective"), r["regime"].alias("regime"))
+
+
+@query(f"WITH s AS ({_S}) SELECT doc_id, unnest(['3A', '3B', '1']) AS fig FROM s")
+def h7_figure_references(spark, sf_dir):
+    from veridoc.operators.patents import figure_references
+
+    return figure_references(_patents(spark, sf_dir)).select("doc_id", "fig")
+
+
+@query(f"WITH s AS ({_S}), f AS (SELECT doc_id, unnest([{{'fig': '1', 'caption': 'FIG. 1 shows the pump.'}}, {{'fig': '3A', 'caption': 'FIGS. 3 A-B are views'}}, {{'fig': '3B', 'caption': 'FIGS. 3 A-B are views'}}]) AS f FROM s) SELECT doc_id, f.fig, f.caption FROM f")
+def h8_figures(spark, sf_dir):
+    from veridoc.operators.patents import parse_figures
+
+    return parse_figures(_patents(spark, sf_dir)).select("doc_id", "fig", "caption")
+
+
+@query(f"WITH s AS ({_S}), f AS (SELECT doc_id, unnest([{{'l': '1' || doc_id, 'e': 'pump'}}, {{'l': '56', 'e': 'pipes'}}, {{'l': '58', 'e': 'pipes'}}, {{'l': '60', 'e': 'pipes'}}, {{'l': '12a', 'e': 'valve assembly'}}]) AS f FROM s) SELECT doc_id, f.l AS label, min(f.e) AS element FROM f GROUP BY ALL")
+def h10_numerals(spark, sf_dir):
+    """Labels of parts with the elements they name."""
+    from veridoc.operators.patents import numeral_mentions, reference_numerals
+
+    return reference_numerals(numeral_mentions(_patents(spark, sf_dir))).select("doc_id", "label", "element")
+
+
+@query(f"WITH s AS ({_S}) SELECT doc_id, unnest(['D1', 'STM']) AS label FROM s")
+def h11_label_classes(spark, sf_dir):
+    """Dimension and capital-letter labels."""
+    from veridoc.operators.patents import acronym_labels, dimension_labels
+
+    docs = _patents(spark, sf_dir)
+    return dimension_labels(docs).union(acronym_labels(docs))
+
+
+@query()
+def c10_support_map(spark, sf_dir):
+    """Paragraphs that bear out each limitation."""
+    from veridoc.operators.patents import support_map
+
+    return support_map(_patents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def a7_page_texts(spark, sf_dir):
+    """Visible texts of raw pages (A6, A7): a parser walks the tags, so no SQL."""
+    from veridoc.sources.documents import pages_to_texts
+
+    return pages_to_texts(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT page_id::VARCHAR AS doc_id, substring(html, strpos(html, '<h1>'), strpos(html, '</h1>') - strpos(html, '<h1>')) AS section FROM pages")
+def a12_sections(spark, sf_dir):
+    """Sections between anchors."""
+    from veridoc.sources.documents import slice_sections
+
+    pages = table(spark, sf_dir, "pages")
+    return slice_sections(spans.make_documents(pages, "page_id", "html"), "<h1>", "</h1>")
+
+
+@query(f"WITH {_MARKS}, h AS (SELECT DISTINCT mark_id AS hit_id, page, (numeral::INT % 10)::VARCHAR AS short, x, y FROM m WHERE confidence < 0.1) SELECT DISTINCT hit_id FROM h JOIN m r ON h.page = r.page AND contains(r.numeral, short) AND r.numeral <> short AND h.x BETWEEN r.x - 0.025 AND r.x + r.w + 0.025 AND abs(r.y - h.y) < 0.025")
+def i6_fragments(spark, sf_dir):
+    """Reads that are part of a longer read at their spot."""
+    rows = _marks(spark, sf_dir)
+    hits = rows.where("confidence < 0.1").select(F.col("mark_id").alias("hit_id"), "page", (F.col("numeral").cast("int") % 10).cast("string").alias("numeral"), "x", "y")
+    return figures.fragments(hits, rows.select("page", F.col("numeral").alias("text"), "x", "y", "w"))
+
+
+@query()
+def i7_unfragmented(spark, sf_dir):
+    """Hits without those in a longer kept one (I7): the order decides, so no SQL."""
+    rows = _marks(spark, sf_dir).where("confidence < 0.1").select(F.col("mark_id").alias("hit_id"), "page", "numeral", "x", "y")
+    return figures.drop_fragment_hits(rows)
+
+
+@query(f"WITH {_MARKS}, o AS (SELECT mark_id, page, chr((65 + mark_id % 26)::INT) AS numeral, y FROM m), k AS (SELECT DISTINCT page, engine AS numeral FROM m WHERE page < 50) SELECT mark_id, page, numeral FROM o WHERE y < 0.88 AND numeral IN ('A', 'N', 'R') AND NOT EXISTS (SELECT 1 FROM k WHERE k.page = o.page AND k.numeral = o.numeral)")
+def i8_letters(spark, sf_dir):
+    """View markers that a first pass read (I8)."""
+    raw = relation(spark, sf_dir, "marks")
+    seen = raw.select("mark_id", "page", F.concat(F.lit(" "), F.chr(F.col("mark_id") % 26 + 65), F.lit(".")).alias("text"), "y")
+    markers = raw.select(F.col("engine").alias("marker"))
+    have = raw.where("page < 50").select("page", F.col("engine").alias("numeral"))
+    return figures.letters_read(seen, markers, have).select("mark_id", "page", "numeral")
+
+
+@query(f"WITH {_MARKS}, t AS ({R['text_labels']}), tied AS (SELECT DISTINCT (o_custkey % 120)::VARCHAR AS label, (o_orderkey % 5)::VARCHAR AS fig FROM orders), d AS (SELECT DISTINCT numeral AS label, (page % 4)::VARCHAR AS fig FROM m WHERE page < 20) SELECT DISTINCT label, 'recited-not-drawn' AS kind FROM tied WHERE label::INT >= 10 AND label NOT IN (SELECT label FROM d) UNION ALL SELECT DISTINCT label, 'drawn-not-recited' FROM d WHERE label NOT IN (SELECT label FROM t) UNION ALL SELECT DISTINCT label, 'figure-mismatch' FROM tied WHERE label IN (SELECT label FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.label = tied.label AND d.fig = tied.fig)")
+def i19_coverage(spark, sf_dir):
+    """Labels that text and drawings disagree on."""
+    tied = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 120).cast("string").alias("label"), (F.col("o_orderkey") % 5).cast("string").alias("fig")).distinct()
+    drawn = _marks(spark, sf_dir).where("page < 20").select(F.col("numeral").alias("label"), (F.col("page") % 4).cast("string").alias("fig")).distinct()
+    return figures.numeral_coverage(relation(spark, sf_dir, "text_labels"), tied, drawn)
+
+
+@query("SELECT conv_id, turn, starts_with(upper(trim(string_split(trim(text), chr(10))[1])), 'YES') AS yes, NULL::DOUBLE AS confidence FROM conversations")
+def k10_replies(spark, sf_dir):
+    """Verdicts and confidences read from replies."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.parse_verdict(F.col("text")).alias("yes"), scoring.parse_confidence(F.col("text")).alias("confidence"))
+
+
+@query("WITH e AS (SELECT value > 5 AS answerable, event_type <> 'error' AS answered, event_type = 'view' AS correct FROM events) SELECT round(count(*) FILTER (answered AND correct) / count(*) FILTER (answered), 4) AS precision, round(count(*) FILTER (answered AND correct) / count(*) FILTER (answerable), 4) AS recall, round(count(*) FILTER (answered AND NOT correct) / count(*) FILTER (answered), 4) AS hallucination, round(count(*) FILTER (NOT answerable AND NOT answered) / count(*) FILTER (NOT answerable), 4) AS abstention_accuracy FROM e")
+def k12_item_rates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("value") > 5).alias("answerable"), (F.col("event_type") != "error").alias("answered"), (F.col("event_type") == "view").alias("correct"))
+    return scoring.item_rates(rows)
