@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,6 @@ def entry_hash(seq: Column, prev_hash: Column, payload: Column) -> Column:
 
 def canonical_json(payload: Column) -> Column:
     """JSON text with keys sorted at every level, no spaces, letters as they are; one value at a time, in batches."""
-    import json
-
-    import pandas as pd
-
     def canonical(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 

@@ -18,8 +18,8 @@ BREAKS = frozenset(("p", "div", "br", "h1", "h2", "h3", "li"))
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the text files of a folder (not below it): ids from names, line ends normalised, hashed."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*{" + ",".join(SUFFIXES) + "}")
-    rows = files.select(doc_id_for(F.col("_metadata.file_path")).alias("doc_id"), normalize_text(F.col("value")).alias("text"))
-    return make_documents(rows.where(is_doc_id(F.col("doc_id"))))
+    name = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    return make_documents(files.select(doc_id_for(name).alias("doc_id"), normalize_text(F.col("value")).alias("text")))
 
 
 def write_store(docs: DataFrame, path: str) -> None:
