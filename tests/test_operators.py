@@ -258,7 +258,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(PySparkException):
         sources.write_store(docs.withColumn("doc_id", F.lit("../x")), str(tmp_path / "bad"))
     page = "<style>x</style><p>A&amp;B</p><table><tr><td>Sept 28,<br>2024</td><td> 5</td></tr></table>"
-    assert sources.html_to_text(page) == "\nA&B\n\n Sept 28, 2024 5\n\n"
+    assert sources.html_to_text(page) == "\nA&B\n\nSept 28, 2024 5\n\n"
     (tmp_path / "t.tsv").write_text("left\ttop\twidth\theight\tconf\ttext\n10\t20\t30\t40\t95\tab\n0\t0\t1\t1\t-1\t\n")
     o = sources.tesseract_observations(spark, str(tmp_path / "t.tsv"), 100, 200).collect()
     assert [(r.text, r.confidence, r.x, r.y, r.w, r.h) for r in o] == [("ab", 0.95, 0.1, 0.7, 0.3, 0.2)]
