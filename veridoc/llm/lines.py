@@ -16,6 +16,8 @@ SIMILARITY = 0.8
 BLOCK = 24
 #: Line keys (8 bytes each) up to which the set of lines to verify is broadcast.
 BROADCAST_LINES = 1_000_000
+#: Keys of blocks of three or more fingerprints (16 bytes each) up to which they are broadcast.
+BROADCAST_BLOCKS = 500_000
 _ROW = ("id", "tie", "pos")
 
 
@@ -24,28 +26,50 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _packed(hashes: str, lanes: int) -> Column:
-    """SimHash by sums of `lanes` counters to a long: lane i of sum b counts bit width * i + b of all hashes.
+def _planes(hashes: str, lanes: int) -> list[Column]:
+    """Sums of `lanes` counters to a long: lane i of sum b counts bit width * i + b of all hashes."""
+    ones = F.lit(_ones(lanes))
 
-    A counter is over half the hashes if it reaches the lane's last bit but one once the gap is added; up to
-    2 ** (width - 2) hashes nothing carries into the next lane or the sign.
+    def plane(b: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(ones))
+
+    return [plane(b) for b in range(64 // lanes)]
+
+
+def _ones(lanes: int) -> int:
+    return sum(1 << (64 // lanes * i) for i in range(lanes))
+
+
+def _over_half(counts: Column, n: Column, lanes: int) -> Column:
+    """The lowest bit of each lane whose counter is over half of n.
+
+    With the gap added such a counter reaches the lane's last bit but one; nothing carries into the next lane.
     """
     width = 64 // lanes
-    ones = F.lit(sum(1 << (width * i) for i in range(lanes)))
-    half = F.floor(F.size(hashes) / 2)
-    gap = (F.lit(1 << (width - 2)) - half - 1) * ones
+    gap = (F.lit(1 << (width - 2)) - F.floor(n / 2) - 1) * F.lit(_ones(lanes))
+    return F.shiftrightunsigned(counts + gap, width - 2).bitwiseAND(F.lit(_ones(lanes)))
+
+
+def _short_simhash(hashes: str) -> Column:
+    """For fewer than 128 hashes: eight counters to a long, spread over two longs to be compared."""
+    bytes_ = F.lit(0x00FF00FF00FF00FF)
+    n = F.size(hashes)
+    bits = []
+    for b, counts in enumerate(_planes(hashes, 8)):
+        bits.append(F.shiftleft(_over_half(counts.bitwiseAND(bytes_), n, 4), b))
+        bits.append(F.shiftleft(_over_half(F.shiftrightunsigned(counts, 8).bitwiseAND(bytes_), n, 4), b + 8))
+    return reduce(Column.bitwiseOR, bits)
 
-    def plane(b: int) -> Column:
-        counted = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(ones))
-        return F.shiftleft(F.shiftrightunsigned(counted + gap, width - 2).bitwiseAND(ones), b)
 
-    return reduce(Column.bitwiseOR, [plane(b) for b in range(width)])
+def _wide_simhash(hashes: str, lanes: int) -> Column:
+    """For fewer than 2 ** (64 / lanes - 2) hashes."""
+    return reduce(Column.bitwiseOR, [F.shiftleft(_over_half(counts, F.size(hashes), lanes), b) for b, counts in enumerate(_planes(hashes, lanes))])
 
 
 def line_simhash(hashes: str) -> Column:
     """64-bit SimHash of an array of hashes; counters widen with its length, so no length overflows them."""
     n = F.size(hashes)
-    return F.when(n < 1 << 6, _packed(hashes, 8)).when(n < 1 << 14, _packed(hashes, 4)).otherwise(_packed(hashes, 2))
+    return F.when(n < 1 << 7, _short_simhash(hashes)).when(n < 1 << 14, _wide_simhash(hashes, 4)).otherwise(_wide_simhash(hashes, 2))
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -67,21 +91,30 @@ def _blocks(fp: str, radius: int) -> list[Column]:
 def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of line keys whose fingerprints (k, fp) agree on a block and differ in `radius` bits at most.
 
-    Blocks of up to `block` lines give all such pairs. Larger ones, full of near copies, give every line's pair with
-    the smallest line of the block and of ever narrower cuts of it: that connects a group by as many pairs as it has
-    lines instead of their square.
+    Lines of one fingerprint pair with the smallest of them, which stands for them. A block of two fingerprints is
+    told by its least and largest, larger ones up to `block` give all close pairs. Beyond that, in blocks full of near
+    copies, every fingerprint pairs with the least of the block and of narrower cuts of it: that connects a group by
+    as many pairs as it has members instead of their square.
     """
-    keyed = lines.select("k", "fp", F.explode(F.array(*_blocks("fp", radius))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(keyed.join(sizes, "key"))
+    reps = materialize(lines.groupBy("fp").agg(F.min("k").alias("k"), F.count("*").alias("same")))
+    equal = lines.join(reps.where("same > 1").select("fp", F.col("k").alias("a")), "fp").where("a < k").select("a", F.col("k").alias("b"))
+    keyed = reps.select("fp", F.explode(F.array(*_blocks("fp", radius))).alias("key"))
+
+    def close(x: str, y: str) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1")
+    sizes = materialize(sizes.where((F.col("n") > 2) | close("x", "y")))
+    more = sizes.where("n > 2").select("key", "n")
+    more = F.broadcast(more) if more.count() <= BROADCAST_BLOCKS else more
+    met = materialize(keyed.join(more, "key"))
     few = met.where(F.col("n") <= block).drop("n")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
-    pairs = few.join(few.select(F.col("k").alias("b"), F.col("fp").alias("fp2"), "key"), "key").where((F.col("k") < F.col("b")) & close).select(F.col("k").alias("a"), "b")
-    many = met.where(F.col("n") > block).drop("n").select("k", "fp", F.explode(F.array(*[F.xxhash64("key", F.lit(w), F.shiftrightunsigned("fp", w)) for w in (64 - 1, 48, 32, 16, 0)])).alias("key"))
-    # min_by has no hash aggregation; a long and its fingerprint are found again by the smallest key
-    least = many.groupBy("key").agg(F.min("k").alias("a"))
-    stars = many.join(least, "key").where("a < k").select("a", F.col("k").alias("b")).distinct()
-    return pairs.union(stars).distinct()
+    pairs = few.withColumnRenamed("fp", "x").join(few.withColumnRenamed("fp", "y"), "key").where("x < y").where(close("x", "y")).select("x", "y")
+    many = met.where(F.col("n") > block).select("fp", F.explode(F.array(*[F.xxhash64("key", F.lit(w), F.shiftrightunsigned("fp", w)) for w in (63, 32, 0)])).alias("key"))
+    stars = many.join(many.groupBy("key").agg(F.min("fp").alias("x")), "key").where("x < fp").where(close("x", "fp")).select("x", F.col("fp").alias("y"))
+    fps = sizes.where("n = 2").select("x", "y").union(pairs).union(stars).distinct()
+    named = fps.join(reps.select(F.col("fp").alias("x"), F.col("k").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("k").alias("b")), "y")
+    return equal.union(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, radius: int, similarity: float, block: int) -> DataFrame:
@@ -104,7 +137,8 @@ def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, ra
     longer = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("most", F.floor(longer * (1 - similarity) + 1e-9).cast("int"))
     both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    return both.where("levenshtein(x, y, most) >= 0").select("a", "b")
+    # most links are a word apart: a narrow band finds those at a fraction of the work
+    return both.where("levenshtein(x, y, cast(most / 8 as int)) >= 0 or levenshtein(x, y, most) >= 0").select("a", "b")
 
 
 def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -122,9 +156,9 @@ def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """
     seen = materialize(occurrences(docs, doc_id, text))
     links = linked_lines(docs, seen, doc_id=doc_id, text=text, radius=radius, similarity=similarity, block=block)
-    repeated = seen.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("a"), F.col("k").alias("b"))
-    groups = connected_components(links.union(repeated))
-    met = seen.join(groups.withColumnRenamed("node", "k"), "k").select("root", *_ROW)
+    repeated = seen.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.lit(None).cast("long").alias("root"))
+    groups = connected_components(links).select(F.col("node").alias("k"), "root").union(repeated).groupBy("k").agg(F.min("root").alias("root"))
+    met = seen.join(groups, "k").select(F.coalesce("root", "k").alias("root"), *_ROW)
     firsts = met.groupBy("root").agg(F.min(F.struct(*_ROW)).alias("first"))
     gone = met.join(firsts, "root").where(F.struct(*_ROW) != F.col("first")).groupBy("id", "tie").agg(F.collect_set("pos").alias("gone"))
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
