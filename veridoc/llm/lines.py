@@ -26,58 +26,61 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _planes(hashes: str, lanes: int) -> list[Column]:
-    """Sums of `lanes` counters to a long: lane i of sum b counts bit width * i + b of all hashes."""
-    ones = F.lit(_ones(lanes))
-
-    def plane(b: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(ones))
-
-    return [plane(b) for b in range(64 // lanes)]
-
-
 def _ones(lanes: int) -> int:
     return sum(1 << (64 // lanes * i) for i in range(lanes))
 
 
-def _over_half(counts: Column, n: Column, lanes: int) -> Column:
-    """The lowest bit of each lane whose counter is over half of n.
+def _gap(n: Column, lanes: int) -> Column:
+    """What lifts a counter of over half of n to its lane's last bit but one; nothing carries into the next lane."""
+    return (F.lit(1 << (64 // lanes - 2)) - F.shiftright(n, 1) - 1) * F.lit(_ones(lanes))
 
-    With the gap added such a counter reaches the lane's last bit but one; nothing carries into the next lane.
-    """
-    width = 64 // lanes
-    gap = (F.lit(1 << (width - 2)) - F.floor(n / 2) - 1) * F.lit(_ones(lanes))
-    return F.shiftrightunsigned(counts + gap, width - 2).bitwiseAND(F.lit(_ones(lanes)))
 
+def _over_half(counts: Column, gap: str, lanes: int) -> Column:
+    """The lowest bit of each lane whose counter is over half."""
+    return F.shiftrightunsigned(counts + F.col(gap), 64 // lanes - 2).bitwiseAND(F.lit(_ones(lanes)))
 
-def _short_simhash(hashes: str) -> Column:
-    """For fewer than 128 hashes: eight counters to a long, spread over two longs to be compared."""
-    bytes_ = F.lit(0x00FF00FF00FF00FF)
-    n = F.size(hashes)
+
+def _short_simhash(planes: list[str], gap: str) -> Column:
+    """SimHash of fewer than 128 hashes from eight sums; counter i of sum b counts bit 8 * i + b. To be compared, the
+    counters of a sum are spread over two longs."""
+    every_other = F.lit(0x00FF00FF00FF00FF)
     bits = []
-    for b, counts in enumerate(_planes(hashes, 8)):
-        bits.append(F.shiftleft(_over_half(counts.bitwiseAND(bytes_), n, 4), b))
-        bits.append(F.shiftleft(_over_half(F.shiftrightunsigned(counts, 8).bitwiseAND(bytes_), n, 4), b + 8))
+    for b, counts in enumerate(planes):
+        bits.append(F.shiftleft(_over_half(F.col(counts).bitwiseAND(every_other), gap, 4), b))
+        bits.append(F.shiftleft(_over_half(F.shiftrightunsigned(counts, 8).bitwiseAND(every_other), gap, 4), b + 8))
     return reduce(Column.bitwiseOR, bits)
 
 
-def _wide_simhash(hashes: str, lanes: int) -> Column:
-    """For fewer than 2 ** (64 / lanes - 2) hashes."""
-    return reduce(Column.bitwiseOR, [F.shiftleft(_over_half(counts, F.size(hashes), lanes), b) for b, counts in enumerate(_planes(hashes, lanes))])
+def _wide_simhash(hashes: str, gap: str, lanes: int) -> Column:
+    """SimHash of fewer than 2 ** (64 / lanes - 2) hashes of an array, by sums of `lanes` counters to a long."""
+    ones = F.lit(_ones(lanes))
 
+    def plane(b: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(ones))
 
-def line_simhash(hashes: str) -> Column:
-    """64-bit SimHash of an array of hashes; counters widen with its length, so no length overflows them."""
-    n = F.size(hashes)
-    return F.when(n < 1 << 7, _short_simhash(hashes)).when(n < 1 << 14, _wide_simhash(hashes, 4)).otherwise(_wide_simhash(hashes, 2))
+    return reduce(Column.bitwiseOR, [F.shiftleft(_over_half(plane(b), gap, lanes), b) for b in range(64 // lanes)])
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, tie, pos, k, fp, n_chars) of every line that has letters or digits; k and fp are its key and SimHash."""
-    at = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line"))
-    norm = at.select(*_ROW, normalised(F.col("line")).alias("norm")).where("norm <> ''")
-    hashed = norm.select(*_ROW, F.xxhash64("norm").alias("k"), F.length("norm").alias("n_chars"), F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("h"))
-    return hashed.select(*_ROW, "k", line_simhash("h").alias("fp"), "n_chars")
+    """(id, tie, pos, k, fp) of every line that has letters or digits: k is a hash of its normalised words in order,
+    fp the SimHash over its distinct ones.
+
+    The bits of short lines are summed up in a grouping by line, combined where the lines lie; for lines of 128 words
+    or more an aggregate over the array has wider counters, for any length.
+    """
+    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("text"))
+    at = keyed.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    words = F.transform(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    rows = at.select(*_ROW, F.array_remove(words, F.xxhash64(F.lit(""))).alias("w"))
+    rows = rows.select(*_ROW, F.xxhash64("w").alias("k"), F.array_distinct("w").alias("h"))
+    n = F.size("h")
+    rows = rows.withColumns({"gap4": F.when(n < 1 << 14, _gap(n.cast("long"), 4)), "gap2": _gap(n.cast("long"), 2)})
+    wide = F.when(n >= 1 << 14, _wide_simhash("h", "gap2", 2)).when(n >= 1 << 7, _wide_simhash("h", "gap4", 4))
+    rows = rows.select(*_ROW, "k", wide.alias("wide"), F.explode(F.when(n < 1 << 7, F.col("h")).otherwise(F.array(F.lit(0).cast("long")))).alias("x"))
+    eight = F.lit(_ones(8))
+    sums = [F.sum(F.shiftrightunsigned("x", b).bitwiseAND(eight)).alias(f"p{b}") for b in range(8)]
+    counted = rows.groupBy(*_ROW, "k", "wide").agg(F.count("*").alias("n"), *sums).withColumn("gap", _gap(F.col("n"), 4))
+    return counted.select(*_ROW, "k", F.coalesce("wide", _short_simhash([f"p{b}" for b in range(8)], "gap")).alias("fp"))
 
 
 def _blocks(fp: str, radius: int) -> list[Column]:
@@ -134,11 +137,29 @@ def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, ra
     texts = keyed.join(one_each, ["id", "tie"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("q"))
     texts = materialize(texts.select("q.k", normalised(F.get("all", F.col("q.pos"))).alias("norm")).dropDuplicates(["k"]))
     both = pairs.join(texts.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    both = both.withColumn("most", F.floor(longer * (1 - similarity) + 1e-9).cast("int"))
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    # most links are a word apart: a narrow band finds those at a fraction of the work
-    return both.where("levenshtein(x, y, cast(most / 8 as int)) >= 0 or levenshtein(x, y, most) >= 0").select("a", "b")
+    return both.where(_similar("x", "y", similarity)).select("a", "b")
+
+
+def _similar(x: str, y: str, similarity: float) -> Column:
+    """Whether the edit distance is at most 1 - similarity of the longer length, tested by what is cheapest first.
+
+    Word by word, distances of lines with equally many words add up to a bound from above. Words that both lines
+    begin and end with don't count, so the distance itself is taken of what lies between, first in a narrow band.
+    """
+    most = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - similarity) + 1e-9).cast("int")
+    a, b = F.split(x, " "), F.split(y, " ")
+    apart = F.aggregate(F.zip_with(a, b, lambda u, v: F.when(u == v, 0).otherwise(F.levenshtein(u, v))), F.lit(0), lambda s, d: s + d)
+    head = F.array_position(F.zip_with(a, b, lambda u, v: u.eqNullSafe(v)), F.lit(False)) - 1
+    tail = F.array_position(F.zip_with(F.reverse(a), F.reverse(b), lambda u, v: u.eqNullSafe(v)), F.lit(False)) - 1
+    tail = F.least(tail, F.least(F.size(a), F.size(b)) - head)
+
+    def middle(words: Column) -> Column:
+        return F.array_join(F.slice(words, (head + 1).cast("int"), (F.size(words) - head - tail).cast("int")), " ")
+
+    u, v = middle(a), middle(b)
+    exact = (F.call_function("levenshtein", u, v, (most / 8).cast("int")) >= 0) | (F.call_function("levenshtein", u, v, most) >= 0)
+    bounded = (F.size(a) == F.size(b)) & (F.coalesce(apart, F.lit(0)) <= most)
+    return (F.abs(F.length(x) - F.length(y)) <= most) & ((F.col(x) == F.col(y)) | bounded | exact)
 
 
 def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
