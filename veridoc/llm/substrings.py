@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import LAST_ID, materialize, release, stream_groups
+from veridoc.llm.common import LAST_ID, materialize, release, stream_groups, words
 
 WINDOW = 20
 #: Words of an anchor: a window's anchor is the run of so many words in it that has the least hash.
@@ -21,7 +21,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class Hasher:
-    """64-bit word hashes, kept for words seen before, and polynomial hashes of all runs of a text by prefix sums."""
+    """64-bit hashes of words, as Spark's xxhash64 gives them, kept for words seen before."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -33,8 +33,9 @@ class Hasher:
         known = self.known
         if len(known) > 400_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w, 7)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, 42)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -47,43 +48,58 @@ def _mix(x):
     return x ^ (x >> np.uint64(33))
 
 
+#: Powers of the base and of its inverse, as far as a text needed them.
+_POWERS: list = []
+
+
+def _powers(n: int):
+    import numpy as np
+
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(1 << 15, 2 * n)
+        out = []
+        for base in (_BASE, _BASE_INVERSE):
+            power = np.full(size + 1, np.uint64(base))
+            power[0] = 1
+            out.append(np.multiply.accumulate(power))
+        _POWERS[:] = out
+    return _POWERS
+
+
 class Segments:
     """The windows of one text, cut into segments of neighbouring windows that have the same anchor.
 
     A window's anchor depends on its words alone, so equal windows have equal anchors wherever they are. Arrays:
-    first and count (of a segment's windows), anchor (hash of the anchor's words), context (hash of all its words).
+    first and count (of a segment's windows, at most `most`), anchor (hash of the anchor's words), context (hash of
+    all words of the segment). Runs of words have polynomial hashes by prefix sums.
     """
 
-    def __init__(self, hashes, window: int = WINDOW, anchor: int = ANCHOR) -> None:
+    def __init__(self, hashes, window: int = WINDOW, anchor: int = ANCHOR, most: int = 32) -> None:
         import numpy as np
 
         n = len(hashes)
-        with np.errstate(over="ignore"):
-            power = np.full(n + 1, np.uint64(_BASE))
-            power[0] = 1
-            power = np.multiply.accumulate(power)
-            inverse = np.full(n + 1, np.uint64(_BASE_INVERSE))
-            inverse[0] = 1
-            self.inverse = np.multiply.accumulate(inverse)
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)])
-            if n < window:
-                self.first = self.count = np.zeros(0, np.int64)
-                self.anchor = self.context = np.zeros(0, np.uint64)
-                return
-            at = np.arange(n - anchor + 1)
-            grams = _mix(self.run(at, at + anchor))
-            wide = window - anchor + 1
-            starts = n - window + 1
-            least = np.empty(starts, np.int64)
-            view = np.lib.stride_tricks.sliding_window_view(grams, wide)
-            for i in range(0, starts, 1 << 15):
-                least[i : i + (1 << 15)] = view[i : i + (1 << 15)].argmin(axis=1)
-            least += np.arange(starts)
-            cut = np.flatnonzero(np.diff(least)) + 1
-            self.first = np.concatenate([[0], cut])
-            self.count = np.diff(np.concatenate([self.first, [starts]]))
-            self.anchor = grams[least[self.first]]
-            self.context = _mix(self.run(self.first, self.first + self.count + window - 1) + self.count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        power, self.inverse = _powers(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * power[:n], dtype=np.uint64, out=self.sums[1:])
+        starts = n - window + 1
+        if starts < 1:
+            self.first = self.count = np.zeros(0, np.int64)
+            self.anchor = self.context = np.zeros(0, np.uint64)
+            return
+        least = _mix((self.sums[anchor:] - self.sums[: n - anchor + 1]) * self.inverse[: n - anchor + 1])
+        wide, have = window - anchor + 1, 1
+        while have < wide:
+            step = min(have, wide - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+        first = np.concatenate([[0], cut])
+        count = np.diff(np.concatenate([first, [starts]]))
+        if count.max() > most:
+            first = np.concatenate([np.arange(f, f + c, most) for f, c in zip(first.tolist(), count.tolist(), strict=True)])
+            count = np.diff(np.concatenate([first, [starts]]))
+        self.first, self.count, self.anchor = first, count, least[first]
+        self.context = _mix(self.run(first, first + count + window - 1) + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def run(self, begin, end):
         """Hashes of the words from begin to end, wherever they are in the text."""
@@ -203,11 +219,13 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hasher = Hasher()
         for batch in batches:
+            offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
             rows: list = [[], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = Segments(hasher.words(_split(text.as_py())), window)
+            for doc, lo, hi in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if hi - lo < window:
+                    continue
+                found = Segments(flat[lo:hi], window)
                 _, once = np.unique(found.context, return_index=True)
                 rows[0].append(found.anchor[once])
                 rows[1].append(found.context[once])
@@ -215,12 +233,13 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
             anchor, context = (np.concatenate([np.zeros(0, np.uint64), *r]).view(np.int64) for r in rows[:2])
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(np.concatenate([np.zeros(0, np.int64), *rows[2]]))], names=["anchor", "context", "id"])
 
-    return keyed.select("id", "text").mapInArrow(run, "anchor long, context long, id long")
+    hashed = keyed.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.mapInArrow(run, "anchor long, context long, id long")
 
 
 def _met_segments(keyed: DataFrame, window: int) -> DataFrame:
     """Segments of anchors that occur more than once: the only ones that can hold a repeated window."""
-    every = _segments(keyed, window)
+    every = materialize(_segments(keyed, window))
     twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     return materialize(every.join(twice, "anchor"))
 
@@ -240,8 +259,8 @@ def _first_texts(keyed: DataFrame, met: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = _split(text.as_py())
-                found = Segments(hasher.words(words), window)
+                own = _split(text.as_py())
+                found = Segments(hasher.words(own), window)
                 wanted = {a["context"]: a["hot"] for a in asked.as_py()}
                 _, once = np.unique(found.context, return_index=True)
                 contexts, anchors = found.context.view(np.int64), found.anchor.view(np.int64)
@@ -251,7 +270,7 @@ def _first_texts(keyed: DataFrame, met: DataFrame, window: int) -> DataFrame:
                         continue
                     lo = int(found.first[s])
                     hi = lo + int(found.count[s]) + window - 1
-                    for column, value in zip(out, (int(anchors[s]), int(contexts[s]), doc, hot, b" ".join(words[lo:hi]).decode("utf-8", "replace")), strict=True):
+                    for column, value in zip(out, (int(anchors[s]), int(contexts[s]), doc, hot, b" ".join(own[lo:hi]).decode("utf-8", "replace")), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "context", "first", "hot", "words"])
@@ -294,7 +313,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Null texts have no words and stay null; empty ones stay empty. A null doc_id comes after all others. Rows with
     equal doc_id don't start earlier than one another. Columns named n_words or n_removed give way. Windows of up to
-    64 + 5 words are told apart in a segment's bits. An empty table gives an empty result.
+    64 words can be asked for. An empty table gives an empty result.
     """
     if not ANCHOR <= window <= 64:
         raise ValueError("windows have 6 to 64 words")
