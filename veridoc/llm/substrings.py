@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import LAST_ID, materialize, release, stream_groups, words
@@ -20,25 +20,6 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class Hasher:
-    """64-bit hashes of words, as Spark's xxhash64 gives them, kept for words seen before."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def words(self, words: list[bytes]):
-        import numpy as np
-        import xxhash
-
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, 42)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def _mix(x):
     """Bits of a polynomial hash stirred, so that the least of some runs is as good as random."""
     import numpy as np
@@ -208,6 +189,19 @@ def _automata(window: int):
     return run
 
 
+def _hashes(text: str) -> Column:
+    return F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+
+
+def _rows_of(lists) -> Iterator:
+    """The rows of a list column of longs as unsigned arrays, without copies."""
+    import numpy as np
+
+    offsets, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().view(np.uint64)
+    for lo, hi in zip(offsets, offsets[1:], strict=False):
+        yield flat[lo:hi]
+
+
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -220,12 +214,11 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
             rows: list = [[], [], []]
-            for doc, lo, hi in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                if hi - lo < window:
+            for doc, hashes in zip(batch.column(0).to_pylist(), _rows_of(batch.column(1)), strict=True):
+                if len(hashes) < window:
                     continue
-                found = Segments(flat[lo:hi], window)
+                found = Segments(hashes, window)
                 _, once = np.unique(found.context, return_index=True)
                 rows[0].append(found.anchor[once])
                 rows[1].append(found.context[once])
@@ -233,8 +226,7 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
             anchor, context = (np.concatenate([np.zeros(0, np.uint64), *r]).view(np.int64) for r in rows[:2])
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(np.concatenate([np.zeros(0, np.int64), *rows[2]]))], names=["anchor", "context", "id"])
 
-    hashed = keyed.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.mapInArrow(run, "anchor long, context long, id long")
+    return keyed.select("id", _hashes("text").alias("h")).mapInArrow(run, "anchor long, context long, id long")
 
 
 def _met_segments(keyed: DataFrame, window: int) -> DataFrame:
@@ -255,12 +247,11 @@ def _first_texts(keyed: DataFrame, met: DataFrame, window: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hasher = Hasher()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, asked, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), _rows_of(batch.column(3)), strict=True):
                 own = _split(text.as_py())
-                found = Segments(hasher.words(own), window)
+                found = Segments(hashes, window)
                 wanted = {a["context"]: a["hot"] for a in asked.as_py()}
                 _, once = np.unique(found.context, return_index=True)
                 contexts, anchors = found.context.view(np.int64), found.anchor.view(np.int64)
@@ -275,7 +266,7 @@ def _first_texts(keyed: DataFrame, met: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "context", "first", "hot", "words"])
 
-    return materialize(keyed.join(asked, "id").select("id", "text", "asked").mapInArrow(cut, "anchor long, context long, first long, hot boolean, words string"))
+    return materialize(keyed.join(asked, "id").select("id", "text", "asked", _hashes("text").alias("h")).mapInArrow(cut, "anchor long, context long, first long, hot boolean, words string"))
 
 
 def _earliest(texts: DataFrame, window: int) -> DataFrame:
@@ -328,21 +319,20 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("__id"), *[docs[c] for c in own])
     place, kind = own.index(text) + 1, rows.schema
-    joined = rows.join(claims.withColumnRenamed("id", "__id"), "__id", "left").select("__id", *own, "claims")
+    joined = rows.join(claims.withColumnRenamed("id", "__id"), "__id", "left").select("__id", *own, "claims", _hashes(text).alias("__h"))
 
     def kept(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        hasher = Hasher()
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, claims in zip(batch.column(place), batch.column(len(own) + 1), strict=True):
+            for text, claims, hashes in zip(batch.column(place), batch.column(len(own) + 1), _rows_of(batch.column(len(own) + 2)), strict=True):
                 words = _split(text.as_py())
                 total.append(len(words))
                 left = words
                 if len(words) >= window:
-                    found = Segments(hasher.words(words), window)
+                    found = Segments(hashes, window)
                     starts = np.zeros(len(words) - window + 1, bool)
                     asked = {c["context"]: c["bits"] for c in claims.as_py() or ()}
                     if asked:
