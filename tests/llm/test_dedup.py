@@ -232,6 +232,19 @@ def test_many_near_equal_lines_stay_connected(spark):
     assert sum(stars.values()) >= 0.9 * sum(every.values()) > 60
 
 
+@pytest.mark.parametrize("cell", [3, 1024])
+def test_line_candidates_are_all_pairs_within_the_radius(spark, cell, monkeypatch):
+    monkeypatch.setattr(lines._all_pairs, "__defaults__", (cell,))
+    rng = random.Random(13)
+    low = rng.getrandbits(26)
+    fps = [rng.getrandbits(38) << 26 | low for _ in range(120)]  # strangers that fill one block
+    fps += [flipped(rng, v, rng.choice((1, 2, 3, 4))) for v in fps[:60]] + [flipped(rng, fps[0], 2) for _ in range(40)]
+    fps += fps[:8] + fps[:4]  # different lines of one fingerprint
+    rows = [(i, v - (v >> 63 << 64)) for i, v in enumerate(fps)]
+    got = {(r.a, r.b) for r in lines.candidate_pairs(spark.createDataFrame(rows, "k long, fp long"), block=4).collect()}
+    assert got == {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(12)
     base = rng.standard_normal((40, 16))

@@ -12,8 +12,10 @@ from veridoc.llm.common import LAST_ID, connected_components, materialize
 
 RADIUS = 3
 SIMILARITY = 0.8
-#: Members of a block up to which all its pairs are compared.
+#: Members of a block up to which it is compared as it is; larger ones are split once more.
 BLOCK = 24
+#: Members of a split block that meet as many others in one task.
+CELL = 1024
 #: Line keys (8 bytes each) up to which the set of lines to verify is broadcast.
 BROADCAST_LINES = 1_000_000
 #: Keys of blocks of three or more fingerprints (16 bytes each) up to which they are broadcast.
@@ -91,16 +93,39 @@ def _blocks(fp: str, radius: int) -> list[Column]:
     return [F.shiftleft(part[i], 14).bitwiseOR(part[j]).bitwiseOR(F.lit(t << 30)) for t, (i, j) in enumerate(combinations(range(n), 2))]
 
 
+def _rest(radius: int) -> list[list[int]]:
+    """Per pair of blocks masks of the other bits, cut into radius + 1: fingerprints within the radius agree on one at least."""
+    n = radius + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    out = []
+    for i, j in combinations(range(n), 2):
+        bits = [b for t in range(n) if t not in (i, j) for b in range(cuts[t], cuts[t + 1])]
+        ends = [len(bits) * s // (radius + 1) for s in range(radius + 2)]
+        masks = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)]
+        out.append([m - (m >> 63 << 64) for m in masks])
+    return out
+
+
+def _all_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """All pairs x < y of members v of each key of n members; keys of more than `cell` are dealt over squares of so many."""
+    g = F.ceil(F.col("n") / cell).cast("int")
+    dealt = members.select("key", "v", g.alias("g"), F.pmod(F.xxhash64("v"), g).cast("int").alias("c"))
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    left = dealt.select("key", F.col("v").alias("x"), F.col("c").alias("row"), every.alias("column"))
+    right = dealt.select("key", F.col("v").alias("y"), F.col("c").alias("column"), every.alias("row"))
+    return left.join(right, ["key", "row", "column"]).where("x < y").select("x", "y")
+
+
 def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of line keys whose fingerprints (k, fp) agree on a block and differ in `radius` bits at most.
+    """All pairs (a, b) of different line keys whose fingerprints (k, fp) differ in `radius` bits at most.
 
-    Lines of one fingerprint pair with the smallest of them, which stands for them. A block of two fingerprints is
-    told by its least and largest, larger ones up to `block` give all close pairs. Beyond that, in blocks full of near
-    copies, every fingerprint pairs with the least of the block and of narrower cuts of it: that connects a group by
-    as many pairs as it has members instead of their square.
+    Such fingerprints are equal or agree on a block. A block of two fingerprints is told by its least and largest,
+    larger ones up to `block` are compared pair by pair. Blocks beyond that are split once more, by pigeonhole over
+    their other bits, which loses no pair; then they are compared in squares of bounded size. The work grows with the
+    pairs that agree on a block and a piece of the rest, so with the square of a group of near copies.
     """
-    reps = materialize(lines.groupBy("fp").agg(F.min("k").alias("k"), F.count("*").alias("same")))
-    equal = lines.join(reps.where("same > 1").select("fp", F.col("k").alias("a")), "fp").where("a < k").select("a", F.col("k").alias("b"))
+    reps = materialize(lines.groupBy("fp").agg(F.count("*").alias("same")))
+    equal = _all_pairs(lines.join(reps.where("same > 1"), "fp").select(F.col("fp").alias("key"), F.col("k").alias("v"), F.col("same").alias("n")))
     keyed = reps.select("fp", F.explode(F.array(*_blocks("fp", radius))).alias("key"))
 
     def close(x: str, y: str) -> Column:
@@ -113,18 +138,21 @@ def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     met = materialize(keyed.join(more, "key"))
     few = met.where(F.col("n") <= block).drop("n")
     pairs = few.withColumnRenamed("fp", "x").join(few.withColumnRenamed("fp", "y"), "key").where("x < y").where(close("x", "y")).select("x", "y")
-    many = met.where(F.col("n") > block).select("fp", F.explode(F.array(*[F.xxhash64("key", F.lit(w), F.shiftrightunsigned("fp", w)) for w in (63, 32, 0)])).alias("key"))
-    stars = many.join(many.groupBy("key").agg(F.min("fp").alias("x")), "key").where("x < fp").where(close("x", "fp")).select("x", F.col("fp").alias("y"))
-    fps = sizes.where("n = 2").select("x", "y").union(pairs).union(stars).distinct()
-    named = fps.join(reps.select(F.col("fp").alias("x"), F.col("k").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("k").alias("b")), "y")
-    return equal.union(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rest = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in _rest(radius)])
+    masks = F.get(rest, F.shiftright("key", 30).cast("int"))
+    many = met.where(F.col("n") > block).select("fp", "key", F.posexplode(masks).alias("s", "mask"))
+    many = materialize(many.select(F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.col("fp").alias("v")))
+    split = _all_pairs(many.join(many.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")).where(close("x", "y"))
+    fps = sizes.where("n = 2").select("x", "y").union(pairs).union(split).distinct()
+    named = fps.join(lines.select(F.col("fp").alias("x"), F.col("k").alias("a")), "x").join(lines.select(F.col("fp").alias("y"), F.col("k").alias("b")), "y")
+    return equal.toDF("a", "b").union(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, radius: int, similarity: float, block: int) -> DataFrame:
     """Links (a, b) of different line keys: candidates whose edit similarity, 1 - distance / longer length, is enough."""
     spark = docs.sparkSession
-    lines = seen.groupBy("k", "fp").agg(F.min("id").alias("id"))
-    pairs = materialize(candidate_pairs(lines.select("k", "fp"), radius, block))
+    lines = materialize(seen.select("k", "fp").distinct())
+    pairs = materialize(candidate_pairs(lines, radius, block))
     asked = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
     n = asked.count()
     small = F.broadcast if n <= BROADCAST_LINES else (lambda x: x)
