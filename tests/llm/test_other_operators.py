@@ -129,6 +129,19 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_changed_licenses_in_common_words():
+    rng = random.Random(14)
+    common = " ".join(rng.choice("the of to and is in a this you any for it that be by".split()) for _ in range(400))
+    scanner = Scanner(TEMPLATES)
+    assert ("MIT-line", 0.8, 0, 4) in scanner.scan("Released under the BSD License the cat under the tree the dog of the house " + common)
+    for name in ("MIT", "GPL-3.0-or-later", "Apache-2.0", "ISC"):
+        words = TEMPLATES[name].split()
+        changed = [f"x{i}" if i % 7 == 3 else w for i, w in enumerate(words)]
+        for text, n in ((changed, 1), (changed + changed, 2), (changed + words, 2), (words + changed, 2)):
+            hits = [h for h in scanner.scan(f"{common} {' '.join(text)} {common}") if h[0] == name]
+            assert len(hits) == n and all(h[1] >= 0.8 for h in hits), (name, n, hits)
+
+
 @pytest.mark.parametrize("seeds", [500_000, 0])
 def test_decontamination(spark, seeds):
     rng = random.Random(5)

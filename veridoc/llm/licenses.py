@@ -100,16 +100,22 @@ class Scanner:
             if sum(n for w, n in need.items() if w in seen) < self.coverage * len(template):
                 continue
             at = [i for i, w in enumerate(words) if w in need]
-            for lo, hi in self._regions(words, at, need, len(template)):
-                pairs = align(words[lo:hi], template)
-                if len(pairs) >= self.coverage * len(template):
-                    found.append((name, round(len(pairs) / len(template), 6), lo + pairs[0][0], lo + pairs[-1][0]))
+            for pairs in self._places(words, at, need, template):
+                found.append((name, round(len(pairs) / len(template), 6), pairs[0][0], pairs[-1][0]))
         return found
 
-    def _regions(self, words: list[str], at: list[int], need: Counter, size: int) -> Iterator[tuple[int, int]]:
-        """Shortest disjoint regions, from the left, whose bag of words covers enough of the template."""
-        goal, have, covered, left = self.coverage * size, Counter(), 0, 0
-        for right, i in enumerate(at):
+    def _places(self, words: list[str], at: list[int], need: Counter, template: list[str]) -> Iterator[list[tuple[int, int]]]:
+        """Best alignments of disjoint regions, from the left, that cover enough of the template.
+
+        A region is aligned whenever its bag of words could cover more than the best alignment so far; that one is
+        done with when it is whole, or the region has left its first half, or most of a better one lies behind it, or no
+        template word follows soon.
+        """
+        size = len(template)
+        goal, have, covered, left, right = self.coverage * size, Counter(), 0, 0, 0
+        best: list[tuple[int, int]] = []
+        while right < len(at):
+            i = at[right]
             have[words[i]] += 1
             covered += have[words[i]] <= need[words[i]]
             while at[left] <= i - 2 * size or have[words[at[left]]] > need[words[at[left]]]:
@@ -117,10 +123,21 @@ class Scanner:
                 covered -= have[w] <= need[w]
                 have[w] -= 1
                 left += 1
-            last = right + 1 == len(at) or at[right + 1] - i > size or covered == size
-            if covered >= goal and (last or covered >= size):
-                yield at[left], i + 1
-                have, covered, left = Counter(), 0, right + 1
+            lo = at[left]
+            passed = bool(best) and 2 * lo > best[0][0] + best[-1][0]
+            if not passed and covered >= goal and covered > len(best):
+                pairs = align(words[lo : i + 1], template)
+                if len(pairs) >= goal and len(pairs) > len(best):
+                    if best and lo + pairs[len(pairs) // 2][0] > best[-1][0]:
+                        passed = True
+                    else:
+                        best = [(lo + x, y) for x, y in pairs]
+            right += 1
+            last = right == len(at) or at[right] - i > size
+            if best and (passed or last or len(best) == size):
+                yield best
+                left = right = bisect.bisect_right(at, best[-1][0])
+                have, covered, best = Counter(), 0, []
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
