@@ -104,6 +104,28 @@ def test_simhash_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stage_keeps_one_of_similar_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    rows = []
+    for n, changes in ((6, 1), (60, 1), (100, 1), (200, 1), (200, 4), (500, 5), (1000, 20), (300, 30)):
+        words = prose(rng, n, 9000).split()
+        for _ in range(6):
+            changed = list(words)
+            for i in rng.sample(range(n), changes):
+                changed[i] = f"v{rng.randrange(10**6)}"
+            rows.append(" ".join(changed))
+    rows += [None, "", " ", "Short one", "short ONE", rows[0]]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(d, t, "en", 1) for d, t in enumerate(rows)], DOCS)
+    kept = corpus_pipeline._stage_simhash(spark, docs, "")
+    assert kept.columns == docs.columns and len(linked) > 40
+    assert {r.doc_id for r in kept.collect()} == set(components(range(len(rows)), linked).values())
+    assert corpus_pipeline._stage_simhash(spark, docs.limit(0), "").count() == 0
+
+
 def plain_repeats(rows, window=20):
     seen, out = {}, {}
     for d, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):

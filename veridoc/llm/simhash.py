@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import LAST_ID, connected_components, materialize, stream_groups
+from veridoc.llm.lines import _all_pairs
 
 BITS = 64
 #: Members of one shard's tree; larger shards go by shared one-bit variants instead.
 MAX_TREE = 2048
 _CHUNK = 1 << 16
+#: Bands of minima by which similar texts meet: at a similarity of 0.8 one of them is equal with a chance of 0.9998.
+BANDS, MINIMA = 16, 4
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -174,3 +177,91 @@ def keep_one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
     one = Window.partitionBy("id", "tie").orderBy("id")
     return keyed.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
+
+
+def shingle_set(text: str | None, shingle: int = 5):
+    """Distinct 64-bit hashes, rising, of the word shingles of a text lower-cased in A-Z; none if it has no words."""
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], np.uint64))
+
+
+def band_keys(hashes) -> list[int]:
+    """One key per band of minima over permuted hashes."""
+    import numpy as np
+    import xxhash
+
+    factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        h = hashes[i : i + 4096, None]
+        mixed = (h ^ (h >> np.uint64(31))) * factors
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return [xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(BANDS, MINIMA))]
+
+
+def similar_links(sets: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all classes v which meet under a key (met: key, v, n, least) and are similar (sets: v, h).
+
+    First each class is compared with the least of its keys. What that doesn't connect is compared pair by pair, so a
+    large group of near copies costs its size, not its square.
+    """
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("x", "hx"), "x").join(sets.toDF("y", "hy"), "y")
+        common = F.size(F.array_intersect("hx", "hy"))
+        return both.where(common >= (F.size("hx") + F.size("hy") - common) * similarity - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    stars = materialize(met.where("v <> least").select(F.col("least").alias("x"), F.col("v").alias("y")).distinct())
+    links = materialize(similar(stars))
+    roots = materialize(connected_components(links))
+    rooted = materialize(met.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root")))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = _all_pairs(rooted.join(open_, "key").select("key", "v", "n")).distinct()
+    of = rooted.select("v", "root").distinct()
+    left = left.join(of.toDF("x", "rx"), "x").join(of.toDF("y", "ry"), "y").where("rx <> ry").select("x", "y")
+    return links.union(similar(left.join(stars, ["x", "y"], "left_anti")))
+
+
+def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of every group of similar texts with all its columns: the smallest doc_id, then text hash; of repeats any.
+
+    Similar are texts whose sets of word shingles have a Jaccard similarity of `similarity` at least, measured
+    exactly; groups are connected through links. Pairs meet by bands of minima: SimHash would need a radius of about
+    13 of 64 bits for 0.8, which no pigeonhole blocks. Texts without words are one group.
+    """
+
+    def hashed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            v = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            keys = np.array([band_keys(h) for h in sets], np.uint64).reshape(-1).view(np.int64)
+            bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v), bands], names=["id", "tie", "v", "bands"])
+
+    def listed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).view("int64") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "h"])
+
+    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("text"))
+    rows = materialize(keyed.select("id", "tie", "text").mapInArrow(hashed, "id long, tie long, v long, bands array<long>"))
+    classes = materialize(rows.groupBy("v").agg(F.min(F.struct("id", "tie")).alias("one"), F.min("bands").alias("bands")))
+    members = classes.select("v", F.explode("bands").alias("key"))
+    met = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("n > 1"), "key").select("key", "v", "n", "least"))
+    asked = classes.join(met.select("v").distinct(), "v", "left_semi").select("v", "one.*")
+    sets = materialize(keyed.join(asked, ["id", "tie"]).dropDuplicates(["v"]).select("v", "text").mapInArrow(listed, "v long, h array<long>"))
+    groups = connected_components(similar_links(sets, met, similarity)).withColumnRenamed("node", "v")
+    kept = classes.join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("one").alias("one")).select("one.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
+    one = Window.partitionBy("id", "tie").orderBy("id")
+    return whole.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
