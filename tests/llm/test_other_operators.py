@@ -2,11 +2,12 @@
 
 import random
 import zlib
+from itertools import combinations
 
 import pytest
 from pyspark.errors import PySparkException
 
-from veridoc.llm.decontaminate import clean_documents, contamination
+from veridoc.llm.decontaminate import MASKS, clean_documents, contamination
 from veridoc.llm.licenses import TEMPLATES, Scanner, align, rising, scan_licenses
 from veridoc.llm.mixing import mix
 from veridoc.llm.token_rollups import TokenRollups
@@ -161,6 +162,29 @@ def test_decontamination(spark, seeds):
     assert clean_documents(docs, bench.limit(0)).count() == len(rows) and contamination(docs.limit(0), bench).count() == 0
 
 
+def test_masks_leave_no_place_to_substitutions():
+    for width in range(1, 21):
+        spots = [{i + o for i, c in enumerate(m) if c == "1"} for m, lo, hi in MASKS if lo <= width <= hi for o in range(width - len(m) + 1)]
+        assert all(any(not s.intersection(gone) for s in spots) for gone in combinations(range(width), width // 5)), width
+
+
+@pytest.mark.parametrize("seeds", [500_000, 0])
+def test_decontamination_of_short_items_and_any_substitution(spark, seeds):
+    rng = random.Random(16)
+    items = [prose(rng, n, 10**6) for n in (1, 3, 4, 5, 7, 9, 10, 12, 15, 20)]
+    rows = []
+    for i, text in enumerate(items):
+        words = text.split()
+        places = list(combinations(range(len(words)), len(words) // 5))
+        for gone in [(), *rng.sample(places, min(5, len(places)))]:
+            changed = ["other" if j in gone else w for j, w in enumerate(words)]
+            rows.append((len(rows), f"{prose(rng, 9, 10**6)} {' '.join(changed)} {prose(rng, 9, 10**6)}", i))
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t, _ in rows], DOCS)
+    bench = spark.createDataFrame([(i if i != 8 else None, t) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, list(r.item_ids)) for r in contamination(docs, bench, broadcast_seeds=seeds).collect()}
+    assert got == {d: (True, [i] if i != 8 else []) for d, _, i in rows}
+
+
 def plain_targets(sizes, weights=(1, 2, 3)):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: weights[i % 3] for i, s in enumerate(order)}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import LAST_ID
+from veridoc.llm.common import LAST_ID, materialize
 
-#: Fixed masks over token positions: 1 is compared, 0 may hold any token.
-MASKS = ("11010011011", "1110010111", "110110001101")
+#: Fixed masks over token positions, 1 is compared, 0 may hold any token; and the least and largest width of items (at
+#: most WINDOW) that take them. Of every width, wherever a fifth of the tokens is substituted, one mask fits somewhere.
+MASKS = (("1", 1, 1), ("11", 2, 2), ("111", 3, 3), ("1111", 4, 9), ("11101", 5, 5), ("10111", 5, 5), ("11011", 5, 7), ("11010011", 10, 14), ("111011", 10, 20), ("11111", 10, 20))
 #: Seed rows up to which the benchmark side is broadcast, about 100 bytes each and item tokens.
 BROADCAST_SEEDS = 500_000
 BROADCAST_TOKENS = 8_000_000
@@ -22,12 +23,16 @@ def token_hashes(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
 
 
-def _seed_keys(hashes: str, at: str, masks: tuple[str, ...]) -> Column:
-    """One key per mask for the tokens under its ones, from position `at` on; null tokens lie past the end."""
+def _seed_keys(hashes: str, at: str, masks: list[tuple[str, int, int]], width: Column | None = None) -> Column:
+    """One key per mask for the tokens under its ones, from position `at` on; null tokens lie past the end.
+
+    With a width given, masks that don't belong to it have no key.
+    """
     keys = []
-    for m, mask in enumerate(masks):
+    for mask, lo, hi in masks:
         ones = [F.get(hashes, F.col(at) + i) for i, bit in enumerate(mask) if bit == "1"]
-        keys.append(F.when(F.col(at) + len(mask) <= F.size(hashes), F.xxhash64(F.lit(m), *ones)))
+        fits = F.col(at) + len(mask) <= F.size(hashes)
+        keys.append(F.when(fits if width is None else fits & width.between(lo, hi), F.xxhash64(F.lit(mask), *ones)))
     return F.array(*keys)
 
 
@@ -40,18 +45,19 @@ def _overlap(hashes: str, diagonal: str, item: str, window: int) -> Column:
     return F.array_max(sums) / width
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[tuple[str, int, int], ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, overlap (largest share found, 0 without a hit), item_ids (sorted) and contaminated.
 
     Every token position of a document and of every item is hashed under every mask; equal keys place the item along
     the document, and there the largest share of equal tokens in a window of `window` tokens (the whole item if it is
     shorter) is measured. From `share` on the document is contaminated by the item. A key ignores the tokens under its
-    zeros, so substituted words don't hide a passage. The seeds of the benchmark are counted first: up to
+    zeros, and the masks leave no place for substituted words that hides a passage of 80 % equal tokens. The seeds of the benchmark are counted first: up to
     broadcast_seeds of them are broadcast and hits are checked where the document lies; beyond, keys are joined by a
     shuffle and hits meet their document again.
 
-    Null and blank texts have no tokens and no overlap; items with fewer tokens than the shortest mask have no seeds
-    and match nothing. Repeated rows get equal results. Rows with the same doc_id and other texts are told apart.
+    Null and blank texts have no tokens and no overlap, as documents and as items. Items of fewer than five tokens
+    match exact copies only, so an item of one common word contaminates every document with it. An item without
+    item_id contaminates too, but can't be named in item_ids. Repeated rows get equal results. Rows with the same doc_id and other texts are told apart.
     Further columns are ignored. An empty benchmark leaves every document clean.
     """
     return _judged(docs, benchmark, doc_id, text, item_id, item_text, masks, window, share, broadcast_seeds).select("doc_id", "n_tokens", "overlap", "item_ids", "contaminated")
@@ -69,26 +75,30 @@ def _tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), token_hashes(docs[text]).alias("h"))
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[tuple[str, int, int], ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Measured overlaps (id, tie, item_id, overlap) of documents and items that share a seed."""
-    items = benchmark.select(benchmark[item_id].alias("item_id"), token_hashes(benchmark[item_text]).alias("item")).where(F.size("item") >= min(map(len, masks)))
-    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("q"))
-    seeds = placed.select("item_id", "item", "q", F.explode(_seed_keys("item", "q", masks)).alias("key")).where("key is not null")
+    items = benchmark.select(F.monotonically_increasing_id().alias("number"), benchmark[item_id].alias("item_id"), token_hashes(benchmark[item_text]).alias("item"))
+    items = materialize(items.where(F.size("item") > 0).withColumn("width", F.least(F.size("item"), F.lit(WINDOW))))
+    widths = [r.width for r in items.select("width").distinct().collect()]
+    masks = [m for m in masks if any(m[1] <= w <= m[2] for w in widths)] or list(masks)
+    shortest = min(len(m[0]) for m in masks)
+    placed = items.select("number", "item_id", "item", "width", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("q"))
+    seeds = placed.select("number", "item_id", "item", "q", F.explode(_seed_keys("item", "q", masks, F.col("width"))).alias("key")).where("key is not null")
     bound = seeds.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("tokens")).first()
-    tokens = _tokens(docs, doc_id, text).where(F.size("h") >= min(map(len, masks)))
-    at = tokens.select("id", "tie", "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(map(len, masks)))).alias("p"))
+    tokens = _tokens(docs, doc_id, text).where(F.size("h") >= shortest)
+    at = tokens.select("id", "tie", "h", F.explode(F.sequence(F.lit(0), F.size("h") - shortest)).alias("p"))
     if bound["n"] <= broadcast_seeds and bound["tokens"] <= BROADCAST_TOKENS:
         keys = at.select("id", "tie", "h", "p", F.explode(_seed_keys("h", "p", masks)).alias("key"))
         found = keys.join(F.broadcast(seeds), "key").withColumn("diagonal", F.col("p") - F.col("q"))
     else:
         keys = at.select("id", "tie", "p", F.explode(_seed_keys("h", "p", masks)).alias("key")).where("key is not null")
-        hits = keys.join(seeds.select("key", "item_id", "q"), "key").select("id", "tie", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
-        found = hits.join(items, "item_id").join(tokens.dropDuplicates(["id", "tie"]), ["id", "tie"])
+        hits = keys.join(seeds.select("key", "number", "q"), "key").select("id", "tie", "number", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
+        found = hits.join(items, "number").join(tokens.dropDuplicates(["id", "tie"]), ["id", "tie"])
     measured = found.select("id", "tie", "item_id", _overlap("h", "diagonal", "item", window).alias("overlap"))
     return measured.groupBy("id", "tie", "item_id").agg(F.max("overlap").alias("overlap"))
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, masks: tuple[str, ...], window: int, share: float, broadcast_seeds: int) -> DataFrame:
+def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, masks: tuple[tuple[str, int, int], ...], window: int, share: float, broadcast_seeds: int) -> DataFrame:
     hits = _hits(docs, benchmark, doc_id, text, item_id, item_text, masks, window, share, broadcast_seeds)
     met = hits.groupBy("id", "tie").agg(F.max("overlap").alias("overlap"), F.sort_array(F.collect_set(F.when(F.col("overlap") >= share, F.col("item_id")))).alias("item_ids"))
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), F.size(token_hashes(docs[text])).alias("n_tokens"))
