@@ -46,3 +46,9 @@ def test_query_says_what_sql_says(spark, other, name):
 @pytest.mark.parametrize("name", sorted(own.QUERIES.keys() - own.ORACLES.keys()))
 def test_query_without_sql_has_rows(spark, name):
     assert own.QUERIES[name](spark, SF).count() > 0
+
+
+def test_fragments_are_judged_over_all_marks(spark):
+    marks = own._marks(spark, SF)
+    sure = {r.mark_id for r in marks.where("confidence >= 0.1").select("mark_id").collect()}
+    assert sure & {r.hit_id for r in own.QUERIES["i7_unfragmented"](spark, SF).select("hit_id").collect()}

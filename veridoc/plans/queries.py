@@ -671,7 +671,7 @@ def i6_fragments(spark, sf_dir):
 @query()
 def i7_unfragmented(spark, sf_dir):
     """Hits without those in a longer kept one (I7): the order decides, so no SQL."""
-    rows = _marks(spark, sf_dir).where("confidence < 0.1").select(F.col("mark_id").alias("hit_id"), "page", "numeral", "x", "y")
+    rows = _marks(spark, sf_dir).select(F.col("mark_id").alias("hit_id"), "page", "numeral", "x", "y")
     return figures.drop_fragment_hits(rows)
 
 
