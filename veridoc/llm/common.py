@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,9 +44,58 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables of the operators under way, innermost last.
+_made: list[list[str]] = []
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Deletes the scratch tables that a finished operator wrote and its result doesn't read."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _made.append([])
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            own = _made.pop()
+        read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+        remove_tables(out.sparkSession, [p for p in own if p.rsplit("/", 1)[-1] not in read])
+        return out
+
+    return run
+
+
+def columns_of(docs: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
+    """Names of columns but for those that give way to a result's, whatever their case."""
+    return [c for c in docs.columns if c.lower() not in without]
+
+
+def col(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(names: list[str]) -> Column:
+    """The columns of these names as one struct `row`, so that none can clash with an operator's own."""
+    return F.struct(*[col(c).alias(c) for c in names]).alias("row")
+
+
+def field(name: str) -> Column:
+    """A column out of the struct `row`."""
+    return F.col("row").getField(name).alias(name)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files of finished steps: it goes by the driver's garbage collection."""
     import gc
