@@ -104,6 +104,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Keys that hold more than one in so many of all rows are joined where the rows lie.
+HOT = 1024
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key, whose column n says how many rows have the key.
+
+    At most HOT keys can hold more than one in HOT of the rows counted by n; those are broadcast, so that none of
+    them meets its rows in one task, and the others are joined by a shuffle. n is dropped.
+    """
+    share = (table.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(table.where(F.col("n") > share).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") <= share).drop("n"), key)
+    both = rows.join(hot, key)
+    return both.select(*cold.columns).union(cold)
+
+
 def stream_groups(df: DataFrame, keys: list[str], fn: Callable, schema: T.StructType | str) -> DataFrame:
     """Call fn(table) on runs of whole groups of `keys`, as pyarrow tables sorted by the keys.
 

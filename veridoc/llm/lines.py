@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import LAST_ID, connected_components, materialize
+from veridoc.llm.common import LAST_ID, col, columns_of, connected_components, field, join_spread, materialize, row_of, tidied
 
 RADIUS = 3
 SIMILARITY = 0.8
@@ -70,8 +70,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     The bits of short lines are summed up in a grouping by line, combined where the lines lie; for lines of 128 words
     or more an aggregate over the array has wider counters, for any length.
     """
-    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("text"))
-    at = keyed.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    at = _keyed(docs, doc_id, text).select("id", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.transform(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
     rows = at.select(*_ROW, F.array_remove(words, F.xxhash64(F.lit(""))).alias("w"))
     rows = rows.select(*_ROW, F.xxhash64("w").alias("k"), F.array_distinct("w").alias("h"))
@@ -106,66 +105,126 @@ def _rest(radius: int) -> list[list[int]]:
     return out
 
 
-def _all_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
-    """All pairs x < y of members v of each key of n members; keys of more than `cell` are dealt over squares of so many."""
-    g = F.ceil(F.col("n") / cell).cast("int")
-    dealt = members.select("key", "v", g.alias("g"), F.pmod(F.xxhash64("v"), g).cast("int").alias("c"))
-    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    left = dealt.select("key", F.col("v").alias("x"), F.col("c").alias("row"), every.alias("column"))
-    right = dealt.select("key", F.col("v").alias("y"), F.col("c").alias("column"), every.alias("row"))
-    return left.join(right, ["key", "row", "column"]).where("x < y").select("x", "y")
+def _squares(left: DataFrame, right: DataFrame, n: str, m: str, cell: int) -> DataFrame:
+    """Join of left and right by key, dealt over squares of `cell` members a side; n and m are a key's members on each side."""
+    gl, gr = F.greatest(F.lit(1), F.ceil(F.col(n) / cell)).cast("int"), F.greatest(F.lit(1), F.ceil(F.col(m) / cell)).cast("int")
 
+    def dealt(side: DataFrame, by: str, own: Column, other: Column, names: tuple[str, str]) -> DataFrame:
+        rest = [c for c in side.columns if c not in (n, m)]
+        return side.select(*rest, F.pmod(F.xxhash64(by), own).cast("int").alias(names[0]), F.explode(F.sequence(F.lit(0), other - 1)).alias(names[1]))
+
+    return dealt(left, "x", gl, gr, ("row", "column")).join(dealt(right, "y", gr, gl, ("column", "row")), ["key", "row", "column"])
 
-def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """All pairs (a, b) of different line keys whose fingerprints (k, fp) differ in `radius` bits at most.
 
-    Such fingerprints are equal or agree on a block. A block of two fingerprints is told by its least and largest,
-    larger ones up to `block` are compared pair by pair. Blocks beyond that are split once more, by pigeonhole over
-    their other bits, which loses no pair; then they are compared in squares of bounded size. The work grows with the
-    pairs that agree on a block and a piece of the rest, so with the square of a group of near copies.
+def apart_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """All pairs (x, y) of members v of a key that belong to different roots, some of them both ways round.
+
+    Members of a key's commonest root stand on one side only, so that a group that is connected already costs as
+    many comparisons as its key has others. A null root is like no other.
+    """
+    members = members.withColumn("r", F.coalesce("root", F.col("v")))
+    held = members.groupBy("key", "r").agg(F.count("*").alias("c"))
+    most = held.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("m"), F.max("c").alias("c")).where("roots > 1")
+    main = held.join(most, ["key", "c"]).groupBy("key", "c", "m").agg(F.min("r").alias("main")).select("key", "main", "m", (F.col("m") - F.col("c")).alias("n"))
+    named = members.join(main, "key").select("key", "v", "root", "r", "main", "n", "m")
+    left = named.where("r <> main").select("key", F.col("v").alias("x"), F.col("root").alias("rx"), "n", "m")
+    right = named.select("key", F.col("v").alias("y"), F.col("root").alias("ry"), "n", "m")
+    return _squares(left, right, "n", "m", cell).where("x <> y and (rx is null or ry is null or rx <> ry)").select("x", "y")
+
+
+class Candidates:
+    """Pairs of different line keys (k, fp) whose fingerprints differ in `radius` bits at most.
+
+    Such fingerprints are equal or agree on a block. stars() pairs every member of a block with its least one;
+    rest() gives all pairs of members whose lines what is known by then does not connect, so that a large group of
+    near copies costs its size and not its square. A block of two is a star by itself; of blocks of more than `block`
+    members the rest is found by pigeonhole over their other bits, which loses no pair.
     """
-    reps = materialize(lines.groupBy("fp").agg(F.count("*").alias("same")))
-    equal = _all_pairs(lines.join(reps.where("same > 1"), "fp").select(F.col("fp").alias("key"), F.col("k").alias("v"), F.col("same").alias("n")))
-    keyed = reps.select("fp", F.explode(F.array(*_blocks("fp", radius))).alias("key"))
-
-    def close(x: str, y: str) -> Column:
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1")
-    sizes = materialize(sizes.where((F.col("n") > 2) | close("x", "y")))
-    more = sizes.where("n > 2").select("key", "n")
-    more = F.broadcast(more) if more.count() <= BROADCAST_BLOCKS else more
-    met = materialize(keyed.join(more, "key"))
-    few = met.where(F.col("n") <= block).drop("n")
-    pairs = few.withColumnRenamed("fp", "x").join(few.withColumnRenamed("fp", "y"), "key").where("x < y").where(close("x", "y")).select("x", "y")
-    rest = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in _rest(radius)])
-    masks = F.get(rest, F.shiftright("key", 30).cast("int"))
-    many = met.where(F.col("n") > block).select("fp", "key", F.posexplode(masks).alias("s", "mask"))
-    many = materialize(many.select(F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.col("fp").alias("v")))
-    split = _all_pairs(many.join(many.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")).where(close("x", "y"))
-    fps = sizes.where("n = 2").select("x", "y").union(pairs).union(split).distinct()
-    named = fps.join(lines.select(F.col("fp").alias("x"), F.col("k").alias("a")), "x").join(lines.select(F.col("fp").alias("y"), F.col("k").alias("b")), "y")
-    return equal.toDF("a", "b").union(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
+    def __init__(self, lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> None:
+        self.lines, self.radius, self.block = lines, radius, block
+        self.reps = materialize(lines.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("same")))
+        keyed = self.reps.select("fp", F.explode(F.array(*_blocks("fp", radius))).alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1")
+        self.sizes = materialize(sizes.where((F.col("n") > 2) | self.close("x", "y")))
+        more = self.sizes.where("n > 2").select("key", "n", "x")
+        more = F.broadcast(more) if more.count() <= BROADCAST_BLOCKS else more
+        self.met = materialize(keyed.join(more, "key"))
+
+    def close(self, x: str, y: str) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= self.radius
+
+    def stars(self) -> DataFrame:
+        """(a, b) of lines of one fingerprint and of the least lines of fingerprints, with the least of each group."""
+        least = self.reps.select("fp", "least")
+        equal = self.lines.join(self.reps.where("same > 1").select("fp", "least"), "fp").where("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"))
+        fps = self.met.select("x", F.col("fp").alias("y")).where("x <> y").where(self.close("x", "y"))
+        fps = self.sizes.where("n = 2").select("x", "y").union(fps).distinct()
+        named = fps.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y")
+        return equal.union(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    def rest(self, roots: DataFrame) -> DataFrame:
+        """All pairs (a, b) of lines that aren't connected yet; roots (node, root) name what is."""
+        known = materialize(self.lines.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "fp", F.coalesce("root", "k").alias("root")))
+        # a fingerprint whose lines differ in root has none
+        whole = known.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))
+        split = whole.where("root is null").select("fp")
+        equal = apart_pairs(known.join(split, "fp").select(F.col("fp").alias("key"), F.col("k").alias("v"), "root")).toDF("a", "b")
+        met = self.met.drop("x").join(whole, "fp")
+        open_ = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.when(F.col("root").isNull(), 1)).alias("none")).where("lo <> hi or none > 0").select("key")
+        met = materialize(met.join(open_, "key"))
+        few = met.where(F.col("n") <= self.block)
+        both = few.select("key", F.col("fp").alias("x"), F.col("root").alias("rx")).join(few.select("key", F.col("fp").alias("y"), F.col("root").alias("ry")), "key")
+        few = both.where("x < y and (rx is null or ry is null or rx <> ry)").where(self.close("x", "y")).select("x", "y")
+        rest = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in _rest(self.radius)])
+        masks = F.get(rest, F.shiftright("key", 30).cast("int"))
+        many = met.where(F.col("n") > self.block).select("fp", "root", "key", F.posexplode(masks).alias("s", "mask"))
+        many = materialize(many.select(F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.col("fp").alias("v"), "root"))
+        many = apart_pairs(many).where(self.close("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = self.sizes.where("n = 2").select("x", "y").union(few).union(many).distinct()
+        named = pairs.join(known.select(F.col("fp").alias("x"), F.col("k").alias("a"), F.col("root").alias("ra")), "x")
+        named = named.join(known.select(F.col("fp").alias("y"), F.col("k").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
+        named = equal.union(named).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return named.join(self.stars(), ["a", "b"], "left_anti")
 
-def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, radius: int, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) of different line keys: candidates whose edit similarity, 1 - distance / longer length, is enough."""
-    spark = docs.sparkSession
-    lines = materialize(seen.select("k", "fp").distinct())
-    pairs = materialize(candidate_pairs(lines, radius, block))
-    asked = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+
+def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of different line keys whose fingerprints differ in `radius` bits at most."""
+    nothing = lines.limit(0).select(F.col("k").alias("node"), F.col("k").alias("root"))
+    found = Candidates(lines, radius, block)
+    return found.stars().union(found.rest(nothing))
+
+
+def _first_of(docs: DataFrame, seen: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(k, norm): the normalised line of every key asked for, cut out of the first document that has it."""
     n = asked.count()
     small = F.broadcast if n <= BROADCAST_LINES else (lambda x: x)
-    where = seen.join(small(asked), "k", "left_semi").groupBy("k").agg(F.min(F.struct(*_ROW)).alias("at")).select("k", "at.*")
-    if n <= BROADCAST_LINES:
-        where = F.broadcast(where)
-    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("text"))
-    one_each = where.groupBy("id", "tie").agg(F.collect_set(F.struct("pos", "k")).alias("asked"))
-    one_each = F.broadcast(one_each) if n <= BROADCAST_LINES else one_each
-    texts = keyed.join(one_each, ["id", "tie"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("q"))
-    texts = materialize(texts.select("q.k", normalised(F.get("all", F.col("q.pos"))).alias("norm")).dropDuplicates(["k"]))
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
-    return both.where(_similar("x", "y", similarity)).select("a", "b")
+    where = small(seen.join(small(asked), "k", "left_semi").groupBy("k").agg(F.min(F.struct(*_ROW)).alias("at")).select("k", "at.*"))
+    one_each = small(where.groupBy("id", "tie").agg(F.collect_set(F.struct("pos", "k")).alias("asked")))
+    texts = _keyed(docs, doc_id, text).join(one_each, ["id", "tie"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("q"))
+    return materialize(texts.select("q.k", normalised(F.get("all", F.col("q.pos"))).alias("norm")).dropDuplicates(["k"]))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"), col(text).alias("text"))
+
+
+def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, radius: int, similarity: float, block: int) -> DataFrame:
+    """(node, root): the groups of line keys connected by candidates of enough edit similarity, 1 - distance / longer length."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = materialize(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+        texts = _first_of(docs, seen, asked, doc_id, text)
+        both = pairs.join(texts.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
+        return materialize(both.where(_similar("x", "y", similarity)).select("a", "b"))
+
+    found = Candidates(materialize(seen.select("k", "fp").distinct()), radius, block)
+    links = verified(materialize(found.stars()))
+    roots = materialize(connected_components(links))
+    more = materialize(found.rest(roots))
+    if more.isEmpty():
+        return roots
+    return connected_components(links.union(verified(more)))
 
 
 def _similar(x: str, y: str, similarity: float) -> Column:
@@ -190,6 +249,7 @@ def _similar(x: str, y: str, similarity: float) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= most) & ((F.col(x) == F.col(y)) | bounded | exact)
 
 
+@tidied
 def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Rows of docs with all columns, the text without repeated lines, and n_lines, n_removed (long).
 
@@ -197,25 +257,26 @@ def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     near equality, the first occurrence (smallest doc_id, then text hash, then position) stays; all others go. Lines
     without letters or digits always stay. Linked are lines whose SimHash over distinct words differs in `radius`
     bits at most and whose normalised forms have an edit similarity of `similarity` at least; groups are connected
-    through links. Groups are minima per key, so a line that a third of all documents share never meets in one task.
+    through links. Groups are minima per key, and the few lines that many documents share meet their occurrences where
+    these lie, so a line that a third of all documents share never meets in one task.
 
     A null text stays null and has no lines; an empty text is one line that stays. A null doc_id comes after all
     others. Rows equal in doc_id and text are one occurrence and get the same result. Columns named n_lines or
-    n_removed give way. An empty table gives an empty result.
+    n_removed give way; other columns may have any names. An empty table gives an empty result.
     """
     seen = materialize(occurrences(docs, doc_id, text))
-    links = linked_lines(docs, seen, doc_id=doc_id, text=text, radius=radius, similarity=similarity, block=block)
-    repeated = seen.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.lit(None).cast("long").alias("root"))
-    groups = connected_components(links).select(F.col("node").alias("k"), "root").union(repeated).groupBy("k").agg(F.min("root").alias("root"))
-    met = seen.join(groups, "k").select(F.coalesce("root", "k").alias("root"), *_ROW)
-    firsts = met.groupBy("root").agg(F.min(F.struct(*_ROW)).alias("first"))
-    gone = met.join(firsts, "root").where(F.struct(*_ROW) != F.col("first")).groupBy("id", "tie").agg(F.collect_set("pos").alias("gone"))
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    keyed = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[text].alias("text"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
+    groups = linked_lines(docs, seen, doc_id=doc_id, text=text, radius=radius, similarity=similarity, block=block).withColumnRenamed("node", "k")
+    counts = seen.groupBy("k").agg(F.count("*").alias("n"))
+    groups = materialize(counts.join(groups, "k", "left").where("n > 1 or root is not null").select("k", "n", F.coalesce("root", "k").alias("root")))
+    met = materialize(join_spread(seen.select("k", *_ROW), groups, "k"))
+    firsts = met.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(*_ROW)).alias("first"))
+    gone = join_spread(met.select("root", *_ROW), materialize(firsts), "root").where(F.struct(*_ROW) != F.col("first")).groupBy("id", "tie").agg(F.collect_set("pos").alias("gone"))
+    own = columns_of(docs, ("n_lines", "n_removed"))
+    keyed = docs.select(row_of(own), col(text).alias("text"), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     both = keyed.join(gone, ["id", "tie"], "left").withColumn("all", F.split("text", "\n"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")), lambda i: F.get("all", i))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     lines, removed = F.coalesce(F.size("all"), F.lit(0)).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(lines)
     removed = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(removed)
-    return both.select(*[kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in own], lines.alias("n_lines"), removed.alias("n_removed"))
+    return both.select(*[kept.alias(c) if c == text else field(c) for c in own], lines.alias("n_lines"), removed.alias("n_removed"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import LAST_ID, connected_components, materialize, stream_groups
-from veridoc.llm.lines import _all_pairs
+from veridoc.llm.lines import apart_pairs
 
 BITS = 64
 #: Members of one shard's tree; larger shards go by shared one-bit variants instead.
@@ -218,11 +218,9 @@ def similar_links(sets: DataFrame, met: DataFrame, similarity: float) -> DataFra
     stars = materialize(met.where("v <> least").select(F.col("least").alias("x"), F.col("v").alias("y")).distinct())
     links = materialize(similar(stars))
     roots = materialize(connected_components(links))
-    rooted = materialize(met.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", "n", F.coalesce("root", "v").alias("root")))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = _all_pairs(rooted.join(open_, "key").select("key", "v", "n")).distinct()
-    of = rooted.select("v", "root").distinct()
-    left = left.join(of.toDF("x", "rx"), "x").join(of.toDF("y", "ry"), "y").where("rx <> ry").select("x", "y")
+    rooted = materialize(met.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")))
+    left = apart_pairs(rooted).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    stars = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return links.union(similar(left.join(stars, ["x", "y"], "left_anti")))
 
 
