@@ -72,7 +72,7 @@ def flipped(rng, value, n, width=64):
     return value
 
 
-@pytest.mark.parametrize("max_tree", [3, 2048])
+@pytest.mark.parametrize("max_tree", [3, 20, 2048])
 def test_fingerprint_links_connect_all_within_two(spark, max_tree):
     rng = random.Random(2)
     values = {rng.getrandbits(64) for _ in range(60)}

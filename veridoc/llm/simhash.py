@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import LAST_ID, connected_components, materialize, stream_groups
+from veridoc.llm.common import LAST_ID, col, connected_components, join_spread, materialize, row_of, stream_groups, tidied
 from veridoc.llm.lines import apart_pairs
 
 BITS = 64
-#: Members of one shard's tree; larger shards go by shared one-bit variants instead.
+#: Members of one shard's tree; larger shards are cut by further blocks of bits.
 MAX_TREE = 2048
 _CHUNK = 1 << 16
 #: Bands of minima by which similar texts meet: at a similarity of 0.8 one of them is equal with a chance of 0.9998.
@@ -102,7 +103,7 @@ def _shard_links(radius: int):
         import numpy as np
         import pyarrow as pa
 
-        block, key, fp = (table.column(c).to_numpy() for c in ("block", "part", "fp"))
+        block, key, fp = (table.column(c).to_numpy() for c in ("path", "key", "fp"))
         cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(key) != 0)) + 1
         links: list[tuple[int, int]] = []
         for values in np.split(fp.view(np.uint64), cuts):
@@ -114,28 +115,44 @@ def _shard_links(radius: int):
     return run
 
 
+def _pieces(free: list[int], n: int) -> list[list[int]]:
+    """Bits dealt into n runs as equal as can be."""
+    return [free[len(free) * i // n : len(free) * (i + 1) // n] for i in range(n)]
+
+
+def _masked(bits: list[int]) -> Column:
+    mask = sum(1 << b for b in bits)
+    return F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64)).cast("long"))
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp, long) that connect all pairs within the radius.
 
     The bits are cut into radius + 1 blocks: fingerprints within the radius agree on one whole block, so each block
     value is a shard with a BK-tree of its own and every fingerprint only meets the trees of its own blocks. A tree
-    is held to max_tree values. Shards beyond that take an exact other way: fingerprints at most 2 apart share a
-    variant at most one bit from both, no variant has more than 65 such neighbours, and all of those are linked.
+    is held to max_tree values: the bits that members of a larger shard don't have in common are cut into radius + 1
+    blocks again, on one of which a pair within the radius agrees too, and so on until shards fit; at the latest they
+    do when fewer bits are left than tell max_tree values apart.
     """
-    if radius > 2:
-        raise ValueError("large shards are exact up to radius 2")
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    part = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", BITS - hi), BITS - hi + lo).alias("part")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    parts = fps.select("fp", F.explode(F.array(*part)).alias("p")).select("p.block", "p.part", "fp")
-    sizes = parts.groupBy("block", "part").agg(F.count("*").alias("n")).where("n > 1")
-    parts = materialize(parts.join(sizes, ["block", "part"]))
-    trees = stream_groups(parts.where(F.col("n") <= max_tree).drop("n"), ["block", "part"], _shard_links(radius), "a long, b long")
-    one_bit = F.array(*[F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(v - (v >> 63 << 64))) for v in (1 << b for b in range(BITS))]])
-    hot = parts.where(F.col("n") > max_tree).select("fp").distinct().select("fp", F.explode(one_bit).alias("variant"))
-    around = hot.groupBy("variant").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where("size(all) > 1")
-    if radius < 2:
-        around = around.where("array_contains(all, variant)").withColumn("a", F.col("variant"))
-    return trees.union(around.select("a", F.explode("all").alias("b")).where("a <> b"))
+    levels: list[DataFrame] = []
+    shards = {0: (list(range(BITS)), fps.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key")))}
+    while shards:
+        todo, cut = [], {}
+        for path, (free, members) in shards.items():
+            for i, own in enumerate(_pieces(free, radius + 1)):
+                name = path * (radius + 1) + i + 1
+                todo.append(members.select("fp", F.lit(name).alias("path"), F.xxhash64("key", _masked(own)).alias("key")))
+                cut[name] = [b for b in free if b not in own]
+        level = reduce(DataFrame.union, todo)
+        sizes = level.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
+        level = materialize(level.join(sizes, ["path", "key"]))
+        large = {r["path"] for r in level.where(F.col("n") > max_tree).select("path").distinct().collect()}
+        # a shard with so few bits left holds few values whatever max_tree says
+        large = {p for p in large if len(cut[p]) > radius}
+        fits = (F.col("n") <= max_tree) | ~F.col("path").isin(*large) if large else F.lit(True)
+        levels.append(stream_groups(level.where(fits).select("path", "key", "fp"), ["path", "key"], _shard_links(radius), "a long, b long"))
+        shards = {p: (cut[p], level.where((F.col("n") > max_tree) & (F.col("path") == p)).select("fp", "path", "key")) for p in sorted(large)}
+    return reduce(DataFrame.union, levels)
 
 
 def _classified(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int) -> DataFrame:
@@ -149,32 +166,39 @@ def _classified(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: i
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    keyed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("tie"))
+    keyed = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("tie"))
     rows = materialize(keyed.mapInArrow(hashed, "doc_id long, tie long, fp long"))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = connected_components(fingerprint_links(rows.select("fp").distinct(), radius))
     rooted = materialize(classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    named = materialize(rooted.join(least, "root").join(counts, "fp").select("fp", "n", "root", "component_id"))
+    return join_spread(rows, named, "fp")
 
 
+@tidied
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links.
 
     Whole texts of any length are hashed piece by piece. Null, empty and blank texts have fingerprint 0 and link
     like any other. Rows with equal fingerprints are one node, however many there are; repeated rows come back as
     often as they came in. A row without doc_id takes part and gets its group's smallest doc_id, null if the group
-    has none. Other columns are ignored. An empty table gives an empty result.
+    has none. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     rows = _classified(docs, doc_id, text, shingle, radius)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@tidied
 def keep_one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of every group with all its columns: the smallest doc_id, then text hash; of exact repeats any."""
+    """One row of every group with all its columns: the smallest doc_id, then text hash; of exact repeats any.
+
+    Null, empty and blank texts are one group; a null doc_id comes after all others.
+    """
     rows = _classified(docs, doc_id, text, shingle, radius).select("root", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "tie")
     kept = rows.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("one")).select("one.*")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
+    keyed = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     one = Window.partitionBy("id", "tie").orderBy("id")
     return keyed.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
 
@@ -224,12 +248,14 @@ def similar_links(sets: DataFrame, met: DataFrame, similarity: float) -> DataFra
     return links.union(similar(left.join(stars, ["x", "y"], "left_anti")))
 
 
+@tidied
 def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of every group of similar texts with all its columns: the smallest doc_id, then text hash; of repeats any.
 
     Similar are texts whose sets of word shingles have a Jaccard similarity of `similarity` at least, measured
     exactly; groups are connected through links. Pairs meet by bands of minima: SimHash would need a radius of about
-    13 of 64 bits for 0.8, which no pigeonhole blocks. Texts without words are one group.
+    13 of 64 bits for 0.8, which no pigeonhole blocks. Null, empty and blank texts are one group. A null doc_id comes
+    after all others; columns may have any names. An empty table gives an empty result.
     """
 
     def hashed(batches: Iterator) -> Iterator:
@@ -251,7 +277,7 @@ def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             sets = [shingle_set(t.as_py(), shingle).view("int64") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "h"])
 
-    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("text"))
+    keyed = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"), col(text).alias("text"))
     rows = materialize(keyed.select("id", "tie", "text").mapInArrow(hashed, "id long, tie long, v long, bands array<long>"))
     classes = materialize(rows.groupBy("v").agg(F.min(F.struct("id", "tie")).alias("one"), F.min("bands").alias("bands")))
     members = classes.select("v", F.explode("bands").alias("key"))
@@ -260,6 +286,6 @@ def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     sets = materialize(keyed.join(asked, ["id", "tie"]).dropDuplicates(["v"]).select("v", "text").mapInArrow(listed, "v long, h array<long>"))
     groups = connected_components(similar_links(sets, met, similarity)).withColumnRenamed("node", "v")
     kept = classes.join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("one").alias("one")).select("one.*")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
+    whole = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     one = Window.partitionBy("id", "tie").orderBy("id")
     return whole.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")

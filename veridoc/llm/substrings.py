@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veridoc.llm.common import LAST_ID, materialize, release, stream_groups, words
+from veridoc.llm.common import LAST_ID, col, columns_of, field, join_spread, materialize, release, row_of, stream_groups, tidied, words
 
 WINDOW = 20
 #: Words of an anchor: a window's anchor is the run of so many words in it that has the least hash.
 ANCHOR = 6
-#: Contexts of one anchor that one automaton takes; beyond, windows are compared one by one.
+#: Contexts of one anchor that one automaton takes; beyond, they are cut anew by longer anchors.
 MAX_CONTEXTS = 4096
 #: Words of one automaton, unless a single anchor has more.
 SHARD_WORDS = 60_000
@@ -237,55 +238,89 @@ def _met_segments(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _first_texts(keyed: DataFrame, met: DataFrame, window: int) -> DataFrame:
-    """(anchor, context, first, hot, words): every different context once, with its least document and its words."""
-    contexts = met.groupBy("anchor", "context").agg(F.min("id").alias("id"))
-    many = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CONTEXTS)
-    contexts = contexts.join(many, "anchor", "left").select("anchor", "context", "id", F.col("n").isNotNull().alias("hot"))
-    asked = contexts.groupBy("id").agg(F.collect_list(F.struct("context", "hot")).alias("asked"))
+    """(anchor, context, first, words): every different context once, with its least document and its words."""
+    asked = met.groupBy("anchor", "context").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("context").alias("asked"))
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc, text, asked, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), _rows_of(batch.column(3)), strict=True):
                 own = _split(text.as_py())
                 found = Segments(hashes, window)
-                wanted = {a["context"]: a["hot"] for a in asked.as_py()}
+                wanted = set(asked.as_py())
                 _, once = np.unique(found.context, return_index=True)
                 contexts, anchors = found.context.view(np.int64), found.anchor.view(np.int64)
                 for s in once.tolist():
-                    hot = wanted.get(int(contexts[s]))
-                    if hot is None:
+                    if int(contexts[s]) not in wanted:
                         continue
                     lo = int(found.first[s])
                     hi = lo + int(found.count[s]) + window - 1
-                    for column, value in zip(out, (int(anchors[s]), int(contexts[s]), doc, hot, b" ".join(own[lo:hi]).decode("utf-8", "replace")), strict=True):
+                    for column, value in zip(out, (int(anchors[s]), int(contexts[s]), doc, b" ".join(own[lo:hi]).decode("utf-8", "replace")), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "context", "first", "hot", "words"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "context", "first", "words"])
 
-    return materialize(keyed.join(asked, "id").select("id", "text", "asked", _hashes("text").alias("h")).mapInArrow(cut, "anchor long, context long, first long, hot boolean, words string"))
+    return materialize(keyed.join(asked, "id").select("id", "text", "asked", _hashes("text").alias("h")).mapInArrow(cut, "anchor long, context long, first long, words string"))
 
 
-def _earliest(texts: DataFrame, window: int) -> DataFrame:
-    """(anchor, context, firsts): the least document of each window of every context."""
-    shards = stream_groups(texts.where("not hot").drop("hot"), ["anchor"], _automata(window), "anchor long, context long, firsts array<long>")
-    hot = texts.where("hot").select("anchor", "context", "first", F.split("words", " ").alias("w"))
-    hot = hot.select("anchor", "context", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda s: F.md5(F.array_join(F.slice("w", s, window), " ")))).alias("j", "run"))
-    least = hot.groupBy("anchor", "run").agg(F.min("first").alias("least"))
-    hot = hot.join(least, ["anchor", "run"]).groupBy("anchor", "context").agg(F.sort_array(F.collect_list(F.struct("j", "least"))).alias("all"))
-    return materialize(shards.union(hot.select("anchor", "context", F.col("all.least").alias("firsts"))))
+def _cut_anew(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The contexts of texts in pieces of windows that have the same longer anchor: (whole, of, j, anchor, context, first, words)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for whole, of, first, text, hashes in zip(*[batch.column(i).to_pylist() for i in range(4)], _rows_of(batch.column(4)), strict=True):
+                own, found = text.split(" "), Segments(hashes, window, anchor)
+                # a piece's anchor also tells the anchor it was cut from
+                parent = np.uint64(whole % (1 << 64)) * np.uint64(_BASE)
+                anchors, contexts = _mix(found.anchor + parent).view(np.int64).tolist(), found.context.view(np.int64).tolist()
+                for lo, n, a, c in zip(found.first.tolist(), found.count.tolist(), anchors, contexts, strict=True):
+                    for column, value in zip(out, (whole, of, lo, a, c, first, " ".join(own[lo : lo + n + window - 1])), strict=True):
+                        column.append(value)
+            kinds = [pa.int64()] * 6 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["whole", "of", "j", "anchor", "context", "first", "words"])
+
+    hashed = texts.select("anchor", "context", "first", "words", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.mapInArrow(run, "whole long, of long, j long, anchor long, context long, first long, words string")
+
+
+def _earliest(texts: DataFrame, window: int, anchor: int = ANCHOR) -> DataFrame:
+    """(anchor, context, firsts): the least document of each window of every context.
+
+    Contexts of anchors that have too many for one automaton are cut by anchors of more words, at last by whole
+    windows, of which an anchor has a few contexts only; what that gives for the pieces is put together again.
+    """
+    kind = "anchor long, context long, firsts array<long>"
+    counts = texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CONTEXTS)
+    many = materialize(counts) if anchor < window else None
+    if many is None or many.isEmpty():
+        return materialize(stream_groups(texts, ["anchor"], _automata(window), kind).dropDuplicates(["anchor", "context"]))
+    few = stream_groups(texts.join(many.select("anchor"), "anchor", "left_anti"), ["anchor"], _automata(window), kind)
+    longer = min(window, 2 * anchor + 1)
+    pieces = materialize(_cut_anew(join_spread(texts, many, "anchor"), window, longer))
+    # equal pieces have equal words
+    once = pieces.groupBy("anchor", "context").agg(F.min("first").alias("first"), F.min("words").alias("words"))
+    firsts = _earliest(materialize(once), window, longer)
+    whole = pieces.select("whole", "of", "j", "anchor", "context").join(firsts, ["anchor", "context"])
+    whole = whole.groupBy("whole", "of").agg(F.sort_array(F.collect_set(F.struct("j", "firsts"))).alias("all"))
+    whole = whole.select(F.col("whole").alias("anchor"), F.col("of").alias("context"), F.flatten("all.firsts").alias("firsts"))
+    return materialize(few.union(whole).dropDuplicates(["anchor", "context"]))
 
 
 def _claims(met: DataFrame, earliest: DataFrame) -> DataFrame:
     """(id, claims): for every document its contexts and which of their windows (as bits) a smaller document has."""
     bits = F.aggregate(F.transform("firsts", lambda first, j: F.when(first < F.col("id"), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    found = met.join(earliest.dropDuplicates(["anchor", "context"]), ["anchor", "context"]).select("id", "context", bits.alias("bits")).where("bits <> 0")
+    found = met.join(earliest, ["anchor", "context"]).select("id", "context", bits.alias("bits")).where("bits <> 0")
     return found.groupBy("id").agg(F.collect_list(F.struct("context", "bits")).alias("claims"))
 
 
+@tidied
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows of docs with all columns, the text without repeated words (kept ones joined by one space), n_words, n_removed.
 
@@ -304,11 +339,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Null texts have no words and stay null; empty ones stay empty. A null doc_id comes after all others. Rows with
     equal doc_id don't start earlier than one another. Columns named n_words or n_removed give way. Windows of up to
-    64 words can be asked for. An empty table gives an empty result.
+    64 words can be asked for. Other columns may have any names. An empty table gives an empty result.
     """
     if not ANCHOR <= window <= 64:
         raise ValueError("windows have 6 to 64 words")
-    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), docs[text].alias("text"))
+    keyed = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), col(text).alias("text"))
     met = _met_segments(keyed, window)
     release(docs.sparkSession)
     texts = _first_texts(keyed, met, window)
@@ -316,10 +351,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     earliest = _earliest(texts, window)
     release(docs.sparkSession)
     claims = _claims(met, earliest)
-    own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("__id"), *[docs[c] for c in own])
-    place, kind = own.index(text) + 1, rows.schema
-    joined = rows.join(claims.withColumnRenamed("id", "__id"), "__id", "left").select("__id", *own, "claims", _hashes(text).alias("__h"))
+    own = columns_of(docs, ("n_words", "n_removed"))
+    rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), col(text).alias("text"), row_of([c for c in own if c != text] or own[:1]))
+    joined = rows.join(claims, "id", "left").select("row", "text", "claims", _hashes("text").alias("h"))
 
     def kept(batches: Iterator) -> Iterator:
         import numpy as np
@@ -327,7 +361,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, claims, hashes in zip(batch.column(place), batch.column(len(own) + 1), _rows_of(batch.column(len(own) + 2)), strict=True):
+            for text, claims, hashes in zip(batch.column(1), batch.column(2), _rows_of(batch.column(3)), strict=True):
                 words = _split(text.as_py())
                 total.append(len(words))
                 left = words
@@ -352,12 +386,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                     left = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 gone.append(len(words) - len(left))
                 texts.append(None if text.as_py() is None else b" ".join(left).decode("utf-8", "surrogatepass"))
-            columns = [batch.column(i) for i in range(1, len(own) + 1)]
-            columns[place - 1] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*own, "n_words", "n_removed"])
-
-    fields = [f for f in kind.fields if f.name != "__id"]
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(kept, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    done = joined.mapInArrow(kept, schema)
+    return done.select(*[F.col("text").alias(c) if c == text else field(c) for c in own], "n_words", "n_removed")
