@@ -1,9 +1,11 @@
 """Toxicity, revisits, licenses, decontamination, mixing, rollups and the pipeline, with odd inputs."""
 
+import math
 import random
 import zlib
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
@@ -11,7 +13,7 @@ from veridoc.llm.decontaminate import MASKS, clean_documents, contamination
 from veridoc.llm.licenses import TEMPLATES, Scanner, align, rising, scan_licenses
 from veridoc.llm.mixing import mix
 from veridoc.llm.token_rollups import TokenRollups
-from veridoc.llm.toxicity import BlockMaxIndex, keep_harmless, score_toxicity
+from veridoc.llm.toxicity import BlockMaxIndex, keep_harmless, score_toxicity, term_counts
 from veridoc.llm.warc import canonical_url, resolve_revisits
 
 DOCS = "doc_id long, text string, lang string, source string, score int"
@@ -32,9 +34,10 @@ def test_block_max_index_is_exact():
         v = {rng.randrange(30): rng.random() for _ in range(rng.randrange(0, 6))}
         size = sum(x * x for x in v.values()) ** 0.5
         vectors.append({t: x / size for t, x in v.items()})
-    index = BlockMaxIndex(vectors, block=16)
-    for q in vectors[:60]:
-        e, s = index.nearest(q, 10)
+    arrays = [(np.array(sorted(v), np.int64), np.array([v[t] for t in sorted(v)], float)) for v in vectors]
+    index = BlockMaxIndex(arrays, 31, block=16)
+    for q, (terms, weights) in zip(vectors[:60], arrays, strict=False):
+        e, s = index.nearest(terms, weights, 10)
         every = sorted((sum(x * v.get(t, 0) for t, x in q.items()) for v in vectors), reverse=True)
         every = [x for x in every if x > 0]
         kth = every[min(10, len(every)) - 1] if every else 0
@@ -42,6 +45,71 @@ def test_block_max_index_is_exact():
         assert [round(x, 7) for x in s] == [round(x, 7) for x in every[: len(s)]]
 
 
+def plain_toxicity(rows, labels, k=25):
+    """Scores by definition: all terms of the labelled texts, cosines with every example, votes, pooled shares."""
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    examples = [(d, t) for d, t in sorted(rows) if d in labels and d not in held]
+    y = [labels[d] for d, _ in examples]
+    counts = [term_counts(t) for _, t in examples]
+    vocabulary = {t for c in counts for t in c}
+    n, toxic, weight = len(examples), sum(y), {}
+    every = [term_counts(t) for _, t in rows]
+    for t in vocabulary:
+        a, b = sum(u for c, u in zip(counts, y, strict=True) if t in c), sum(t in c for c in counts)
+        by = b * (n - b) * toxic * (n - toxic)
+        weight[t] = (math.log((1 + len(rows)) / (1 + sum(t in c for c in every))) + 1) * (0.01 + 0.99 * ((a * n - b * toxic) ** 2 / by if by else 0))
+
+    def unit(c):
+        w = {t: (1 + math.log(x)) * weight[t] for t, x in c.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    units = [unit(c) for c in counts]
+
+    def vote(c, skip=None):
+        q = unit(c)
+        near = sorted(((min(1.0, sum(x * v.get(t, 0) for t, x in q.items())), i) for i, v in enumerate(units) if i != skip), reverse=True)
+        near = [(s, i) for s, i in near if s > 0]
+        near = [(s, i) for s, i in near if s >= near[min(k, len(near)) - 1][0] - 1e-9]
+        return sum(y[i] / (1.05 - s) for s, i in near) / sum(1 / (1.05 - s) for s, i in near) if near else 0.0
+
+    base = (toxic + 1) / (n + 2)
+    votes = sorted((vote(c, i), y[i]) for i, c in enumerate(counts))
+    pools = []
+    for v, u in votes:
+        if pools and pools[-1][2] == v:
+            pools[-1][0] += u
+            pools[-1][1] += 1
+        else:
+            pools.append([u, 1, v, v])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            u2, n2, _, v2 = pools.pop()
+            pools[-1] = [pools[-1][0] + u2, pools[-1][1] + n2, pools[-1][2], v2]
+    out = {}
+    for (d, _), c in zip(rows, every, strict=True):
+        v = vote(c)
+        at = max([i for i, p in enumerate(pools) if p[2] <= v + 1e-9], default=0)
+        out[d] = (pools[at][0] + base) / (pools[at][1] + 1)
+    return out
+
+
+def test_scores_by_definition(spark):
+    rng = random.Random(22)
+    rows, labels = [], {}
+    for i in range(240):
+        toxic = i % 4 == 0
+        words = letters(rng, rng.randrange(5, 60)).split() + ([f"snarg{rng.choice('aeiou')}"] if toxic and rng.random() < 0.9 else []) + (["snack"] if rng.random() < 0.2 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            labels[i] = int(toxic)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want = plain_toxicity(rows, labels)
+    got = {r.doc_id: r.score for r in score_toxicity(docs, marks).collect()}
+    assert got.keys() == want.keys() and sum(abs(got[d] - want[d]) < 1e-9 for d in got) >= 0.99 * len(got)
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(2)
     rows, labels = [], []

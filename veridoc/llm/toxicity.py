@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import materialize
+from veridoc.llm.common import col, materialize, tidied
 
-#: Labelled rows that the index and its vocabulary are learned from, at most.
-MAX_EXAMPLES = 20_000
-#: Terms of the vocabulary at most.
-MAX_TERMS = 4096
-#: A term is kept if its chi-square against the label, over the examples, reaches both.
-CHI_SQUARE, PHI_SQUARE = 30.0, 0.003
+#: Labelled rows that the index is made of, at most. Its terms are all terms of theirs.
+MAX_EXAMPLES = 4000
+#: Least share of its TF-IDF weight that a term keeps; what its label dependence (chi-square / n) adds goes up to 1.
+FLOOR = 0.01
 NEIGHBOURS = 25
 BLOCK = 64
 THRESHOLD = 0.3
@@ -28,120 +27,130 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
 
 
-def distinct_terms(text: str | None) -> set[str]:
-    return {t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)}
+def term_counts(text: str | None) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for w, c in Counter(_WORD.findall((text or "").lower())).items():
+        for t in terms_of(w):
+            out[t] = out.get(t, 0) + c
+    return out
 
 
 class Vectorizer:
-    """Counts the vocabulary's terms in whole texts."""
+    """Counts the vocabulary's terms in whole texts: (terms, times), rising by term."""
 
     def __init__(self, vocabulary: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(vocabulary)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        known, number, out = self.known, self.number, {}
-        for w in _WORD.findall((text or "").lower()):
+    def __call__(self, text: str | None):
+        import numpy as np
+
+        known, number = self.known, self.number
+        out: dict[int, int] = {}
+        for w, c in Counter(_WORD.findall((text or "").lower())).items():
             ids = known.get(w)
             if ids is None:
                 if len(known) > 300_000:
                     known.clear()
                 ids = known[w] = tuple(number[t] for t in terms_of(w) if t in number)
             for i in ids:
-                out[i] = out.get(i, 0) + 1
-        return out
+                out[i] = out.get(i, 0) + c
+        terms = np.fromiter(out.keys(), np.int64, len(out))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(out.values(), np.float64, len(out))[order]
+
+
+def _ranges(start, length):
+    """The numbers from each start on, length of them, one run after the other."""
+    import numpy as np
+
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit TF-IDF vectors in blocks of examples, with each term's largest weight per block.
+    """Inverted lists of unit vectors (terms, weights) in blocks of examples, with each term's largest weight per block.
 
-    Examples are ordered by their vectors, so that blocks hold alike ones. A query adds up the block maxima of its
-    terms; blocks are scored in order of that bound until none can reach the k-th best cosine found, so the result is
-    that of scoring all examples. Examples that tie with the k-th are all returned.
+    Examples are ordered by their heaviest terms, so that blocks hold alike ones. A query adds up the block maxima of
+    its terms; blocks are scored in order of that bound, some more in every round, until none can reach the k-th best
+    cosine found, so the result is that of scoring all examples. Examples that tie with the k-th are all returned.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK) -> None:
+    def __init__(self, vectors: list, n_terms: int, block: int = BLOCK) -> None:
         import numpy as np
 
-        order = sorted(range(len(vectors)), key=lambda e: (sorted(vectors[e].items(), key=lambda x: (-x[1], x[0])), e))
-        self.example = np.array([e for e in order if vectors[e]], np.int64)
-        n = len(self.example)
-        self.blocks = -(-n // block)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, e in enumerate(self.example.tolist()):
-            for t, w in vectors[e].items():
-                lists.setdefault(t, []).append((at, w))
-        self.lists, self.top = {}, {}
-        for t, postings in lists.items():
-            at, w = np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
-            of = at // block
-            cuts = np.searchsorted(of, np.arange(self.blocks + 1))
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, of, w)
-            self.lists[t], self.top[t] = (at % block, w, cuts), top
-        self.block, self.n = block, n
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1):
+        heaviest = [tuple(t[np.argsort(-w, kind="stable")[:4]].tolist()) for t, w in vectors]
+        order = sorted((e for e in range(len(vectors)) if len(vectors[e][0])), key=lambda e: (heaviest[e], e))
+        self.example, self.n = np.array(order, np.int64), len(order)
+        self.blocks = -(-self.n // block)
+        size = np.array([len(vectors[e][0]) for e in order], np.int64)
+        none = [np.zeros(0)]
+        term = np.concatenate([*none, *[vectors[e][0] for e in order]]).astype(np.int64)
+        weight = np.concatenate([*none, *[vectors[e][1] for e in order]])
+        at = np.repeat(np.arange(self.n), size)
+        by = np.lexsort((at, term))
+        term, self.at, self.weight = term[by], at[by].astype(np.int32), weight[by]
+        of = self.at // block
+        #: One entry per term and block: the block, its largest weight and where its postings begin.
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0)) if len(term) else np.zeros(0, np.int64)
+        self.of, self.start = of[first], np.append(first, len(term))
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    def nearest(self, terms, weights, k: int, skip: int = -1):
         """(examples, cosines) of the k best and all ties with the last of them; `skip` is left out."""
         import numpy as np
 
-        terms = [(t, q) for t, q in sorted(query.items()) if t in self.top]
-        if not terms:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.blocks)
-        for t, q in terms:
-            bound += q * self.top[t]
+        length = self.entries[terms + 1] - self.entries[terms]
+        entry = _ranges(self.entries[terms], length)
+        q, of = np.repeat(weights, length), self.of[entry]
+        bound = np.bincount(of, q * self.top[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        kept_e, kept_s, kth = [], [], 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
+        order = order[: int((bound > 0).sum())]
+        scores, kth, done, step = np.zeros(self.n), 0.0, 0, 4
+        left_out = np.flatnonzero(self.example == skip)
+        while done < len(order):
+            chosen = np.zeros(self.blocks, bool)
+            now = order[done : done + step]
+            now = now[bound[now] >= kth - 1e-9]
+            if not len(now):
                 break
-            scores = np.zeros(self.block)
-            for t, q in terms:
-                slot, w, cuts = self.lists[t]
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo < hi:
-                    scores[slot[lo:hi]] += q * w[lo:hi]
-            hit = np.flatnonzero(scores > max(0.0, kth - 1e-9))
-            e = self.example[b * self.block + hit]
-            hit, e = hit[e != skip], e[e != skip]
-            kept_e.append(e)
-            kept_s.append(scores[hit])
-            every = np.concatenate(kept_s)
-            if len(every) >= k:
-                kth = float(np.partition(every, len(every) - k)[len(every) - k])
-        e, s = (np.concatenate(kept_e), np.minimum(np.concatenate(kept_s), 1.0)) if kept_e else (np.zeros(0, np.int64), np.zeros(0))
-        near = s >= kth - 1e-9
-        e, s = e[near], s[near]
+            chosen[now] = True
+            mine = chosen[of]
+            begin = self.start[entry[mine]]
+            count = self.start[entry[mine] + 1] - begin
+            posting = _ranges(begin, count)
+            scores += np.bincount(self.at[posting], np.repeat(q[mine], count) * self.weight[posting], self.n)
+            scores[left_out] = 0
+            if self.n > k:
+                kth = max(0.0, float(np.partition(scores, self.n - k)[self.n - k]))
+            done, step = done + step, step * 2
+        near = np.flatnonzero((scores > 0) & (scores >= kth - 1e-9))
+        e, s = self.example[near], np.minimum(scores[near], 1.0)
         best = np.lexsort((e, -np.round(s, 9)))
         return e[best], s[best]
 
 
 class Model:
-    """The index, document frequencies and the calibration of votes."""
+    """The index, the terms' weights and the calibration of votes."""
 
-    def __init__(self, idf, vectors: list[dict[int, int]], labels: list[int], k: int = NEIGHBOURS) -> None:
-        self.idf, self.labels, self.k = idf, labels, k
-        self.index = BlockMaxIndex([self.unit(v) for v in vectors])
-        blank = [y for v, y in zip(vectors, labels, strict=True) if not v]
+    def __init__(self, weight, vectors: list, labels: list[int], k: int = NEIGHBOURS) -> None:
+        self.weight, self.labels, self.k = weight, labels, k
+        self.index = BlockMaxIndex([(t, self.unit(t, c)) for t, c in vectors], len(weight))
         self.base = (sum(labels) + 1) / (len(labels) + 2)
-        #: Texts without a term of the vocabulary: the share of toxic examples among those.
-        self.blank = (sum(blank) + self.base) / (len(blank) + 1)
         self.steps: tuple = ((0.0,), (self.base,))
-        self.memo: dict = {}
 
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        from math import log, sqrt
+    def unit(self, terms, times):
+        import numpy as np
 
-        w = {t: (1 + log(c)) * self.idf[t] for t, c in counts.items()}
-        size = sqrt(sum(x * x for x in w.values()))
-        return {t: x / size for t, x in w.items()} if size else {}
+        w = (1 + np.log(times)) * self.weight[terms]
+        return w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def vote(self, counts: dict[int, int], skip: int = -1) -> tuple[float | None, list[int], list[float]]:
-        """The distance-weighted share of toxic neighbours, and the three nearest as evidence."""
-        e, s = self.index.nearest(self.unit(counts), self.k, skip)
+    def vote(self, terms, times, skip: int = -1) -> tuple[float, list[int], list[float]]:
+        """The distance-weighted share of toxic neighbours, 0 without any, and the three nearest as evidence."""
+        e, s = self.index.nearest(terms, self.unit(terms, times), self.k, skip)
         if not len(e):
-            return None, [], []
+            return 0.0, [], []
         w = 1 / (1.05 - s)
         y = [self.labels[i] for i in e.tolist()]
         return float((w * y).sum() / w.sum()), e[:3].tolist(), [round(float(x), 6) for x in s[:3]]
@@ -163,156 +172,164 @@ class Model:
         if pools:
             self.steps = (tuple(p[2] for p in pools), tuple((p[0] + self.base) / (p[1] + 1) for p in pools))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
+    def score(self, terms, times) -> tuple[float, list[int], list[float]]:
         import bisect
 
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            vote, e, s = self.vote(counts) if key else (None, [], [])
-            at = bisect.bisect_right(self.steps[0], vote) - 1 if vote is not None else 0
-            self.memo[key] = (self.blank if vote is None else self.steps[1][max(0, at)], e, s)
-        return self.memo[key]
-
+        vote, e, s = self.vote(terms, times)
+        return self.steps[1][max(0, bisect.bisect_right(self.steps[0], vote) - 1)], e, s
 
-def _counts(terms, times) -> dict[int, int]:
-    return dict(zip(terms, times, strict=True))
 
+class Scorer:
+    """Scores whole texts; copies of a text are scored once."""
 
-def _remake(told) -> Model:
-    model = Model.__new__(Model)
-    vars(model).update({k: v for k, v in told.items() if k != "index"})
-    model.index = BlockMaxIndex.__new__(BlockMaxIndex)
-    vars(model.index).update(told["index"])
-    model.memo = {}
-    return model
+    def __init__(self, fitted: dict) -> None:
+        self.model, self.ids, self.vector = fitted["model"], fitted["ids"], Vectorizer(fitted["vocabulary"])
+        self.memo: dict = {}
 
+    def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        import xxhash
 
-def _fields(model: Model) -> dict:
-    return {**{k: v for k, v in vars(model).items() if k != "memo"}, "index": vars(model.index)}
+        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        if key not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            score, e, s = self.model.score(*self.vector(text))
+            self.memo[key] = score, [self.ids[i] for i in e], s
+        return self.memo[key]
 
 
-def held_out(doc_id):
+def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int) -> tuple[DataFrame, object]:
-    """Term counts of all documents (doc_id, terms, times) and the broadcast model learned from the labelled ones."""
+def dependence(with_term, toxic_with_term, n: int, toxic: int):
+    """Chi-square of term and label over the examples, divided by their number: 0 to 1."""
     import numpy as np
 
+    over = toxic_with_term * float(n) - with_term * float(toxic)
+    by = with_term * (n - with_term) * float(toxic) * float(n - toxic)
+    return np.where(by > 0, over * over / np.where(by > 0, by, 1), 0.0)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int):
+    """The broadcast vocabulary and model learned from the labelled documents."""
+    import numpy as np
+    import pyarrow as pa
+
     spark = docs.sparkSession
-    named = labels.select(labels[doc_id].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y is not null")
+    named = labels.select(col(doc_id).cast("long").alias("doc_id"), col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     named = named.groupBy("doc_id").agg(F.max(F.when(F.col("y") != 0, 1).otherwise(0)).alias("y")).where(~held_out(F.col("doc_id")))
-    chosen = materialize(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
-    keyed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    keyed = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = materialize(named.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(max_examples))
 
     def terms(batches: Iterator) -> Iterator:
-        from collections import Counter
-
-        import pyarrow as pa
-
         for batch in batches:
-            n, toxic = Counter(), Counter()
-            rows = 0
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = distinct_terms(t.as_py())
-                n.update(found)
-                rows += 1
-                if y:
-                    toxic.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([toxic[t] for t in n], pa.int64())], names=["term", "n", "toxic"])
-
-    examples = keyed.join(F.broadcast(chosen), "doc_id").select("text", "y")
-    totals = chosen.join(keyed.select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
-    n, toxic = totals["n"], totals["toxic"]
-    vocabulary: list[str] = []
-    if 0 < toxic < n:
-        each = examples.mapInArrow(terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        with_, both = F.col("n").cast("double"), F.lit(float(n))
-        over = F.col("toxic") * both - with_ * toxic
-        chi = over * over * both / (with_ * (both - with_) * toxic * (n - toxic))
-        kept = each.where(f"toxic >= 3 and n < {n}").withColumn("chi", chi).where(F.col("chi") >= max(CHI_SQUARE, PHI_SQUARE * n)).where(over > 0)
-        vocabulary = sorted(r[0] for r in kept.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term").collect())
+            found = [term_counts(t.as_py()) for t in batch.column(1)]
+            kinds = (pa.list_(pa.string()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array([list(x) for x in xs], kind) for xs, kind in zip(((f.keys() for f in found), (f.values() for f in found)), kinds, strict=True)]], names=["doc_id", "y", "terms", "times"])
+
+    # of rows that repeat an id one is an example, whatever their number
+    one = keyed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+    rows = one.mapInArrow(terms, "doc_id long, y int, terms array<string>, times array<int>").orderBy("doc_id").toArrow()
+    ids, y = rows.column("doc_id").to_pylist(), rows.column("y").to_pylist()
+    flat = rows.column("terms").combine_chunks()
+    flat = flat.flatten() if rows.num_rows else pa.array([], pa.string())
+    vocabulary = sorted(flat.unique().to_pylist())
+    number = {t: i for i, t in enumerate(vocabulary)}
+    vectors = []
+    for t, c in zip(rows.column("terms").to_pylist(), rows.column("times").to_pylist(), strict=True):
+        at = np.fromiter((number[x] for x in t), np.int64, len(t))
+        by = np.argsort(at)
+        vectors.append((at[by], np.array(c, np.float64)[by]))
+    with_term, toxic_with = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for (t, _), toxic in zip(vectors, y, strict=True):
+        with_term[t] += 1
+        toxic_with[t] += toxic
+    told_terms = spark.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        vector = Vectorizer(vocabulary)
+        vector, df, total = Vectorizer(told_terms.value), np.zeros(len(told_terms.value), np.int64), 0
         for batch in batches:
-            found = [vector(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "times"])
-
-    vectors = materialize(keyed.mapInArrow(counted, "doc_id long, terms array<int>, times array<int>"))
-    stats = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()
-    total = vectors.count()
-    idf = np.zeros(len(vocabulary))
-    for r in stats:
-        idf[r["t"]] = np.log((1 + total) / (1 + r["df"])) + 1
-    rows = vectors.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "terms", "times").collect() if vocabulary else []
-    model = Model(idf.tolist(), [_counts(r["terms"], r["times"]) for r in rows], [r["y"] for r in rows])
-    ids = [r["doc_id"] for r in rows]
-    if not rows:
-        model.blank = (toxic + 1) / (n + 2)
-    told = spark.sparkContext.broadcast({"model": _fields(model), "rows": [(list(r["terms"]), list(r["times"])) for r in rows], "ids": ids})
+            for t in batch.column(0):
+                df[vector(t.as_py())[0]] += 1
+                total += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["t", "df"])
+
+    # document frequencies over all documents; term -1 counts them
+    stats = keyed.select("text").mapInArrow(counted, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()
+    df = dict(zip(stats.column("t").to_pylist(), stats.column("df").to_pylist(), strict=True))
+    total = df.pop(-1, 0)
+    every = np.zeros(len(vocabulary))
+    every[list(df)] = list(df.values())
+    weight = (np.log((1 + total) / (1 + every)) + 1) * (FLOOR + (1 - FLOOR) * dependence(with_term, toxic_with, len(ids), sum(y)))
+    model = Model(weight, vectors, y)
+    told = spark.sparkContext.broadcast({"model": model, "vectors": vectors})
 
     def left_out(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        model, examples = _remake(told.value["model"]), told.value["rows"]
+        model, vectors = told.value["model"], told.value["vectors"]
         for batch in batches:
-            out = [(v, model.labels[i]) for i in batch.column(0).to_pylist() if examples[i][0] and (v := model.vote(_counts(*examples[i]), i)[0]) is not None]
+            out = [(model.vote(*vectors[i], i)[0], model.labels[i]) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.float64()), pa.array([y for _, y in out], pa.int32())], names=["v", "y"])
 
-    if rows:
-        tasks = spark.range(0, len(rows), 1, max(1, min(len(rows) // 256, spark.sparkContext.defaultParallelism * 2)))
+    if ids:
+        tasks = spark.range(0, len(ids), 1, max(1, min(len(ids) // 64, spark.sparkContext.defaultParallelism * 2)))
         model.calibrate([(r[0], r[1]) for r in tasks.mapInArrow(left_out, "v double, y int").collect()])
-    return vectors, spark.sparkContext.broadcast({"model": _fields(model), "ids": ids, "vocabulary": vocabulary})
+    return spark.sparkContext.broadcast({"model": model, "ids": ids, "vocabulary": vocabulary})
 
 
+@tidied
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, evidence_ids and evidence_cosines (of nearest examples).
 
     Examples are the labelled documents whose crc32 of the id isn't 2 modulo 4; of more than max_examples, those with
-    the smallest hashes of their ids are taken. Their words and word prefixes that depend on the label (chi-square)
-    make the vocabulary; document frequencies are counted over all documents. A text's score is the distance-weighted
-    vote of its nearest examples by exact TF-IDF cosine, mapped to the share of toxic examples that got such a vote
-    when left out themselves; texts without a term of the vocabulary, empty and null ones too, get the share among
-    such examples. Whole texts are read, once, to term counts of the vocabulary; only those are written and read again.
+    the smallest hashes of their ids are taken. All their words and word prefixes, of either label, are terms. A
+    term weighs (1 + log count) x idf, the document frequencies counted over all documents, times FLOOR plus how much
+    the examples' labels depend on it (chi-square / n); plain TF-IDF lets topics outvote a few toxic words of a long
+    text. A text's score is the distance-weighted vote of its nearest examples by exact cosine of these vectors, mapped
+    to the share of toxic examples that got such a vote when left out themselves; texts without a term of the examples,
+    empty and null ones too, have a vote of 0. Whole texts are read twice, where they lie.
 
     Only the text makes a score: neither labels of the row itself, nor its id, source or language. Labels that are
     null are left out; of several for one document the largest counts. Without labels every score is 0.5. Repeated
-    rows get equal scores. Other columns are ignored and an empty table gives an empty result.
+    rows get equal scores, and an id that rows repeat is one example, by its least text. Other columns, whatever their
+    names, are ignored and an empty table gives an empty result.
     """
-    vectors, fitted = _fit(docs, labels, doc_id, text, label, max_examples)
+    fitted = _fit(docs, labels, doc_id, text, label, max_examples)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, ids = _remake(fitted.value["model"]), fitted.value["ids"]
+        scorer = Scorer(fitted.value)
         for batch in batches:
-            out = [model.score(_counts(t, c)) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [scorer(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([[ids[e] for e in x[1]] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
+                [batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence_ids", "evidence_cosines"],
             )
 
-    done = vectors.mapInArrow(scored, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    keyed = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
+    done = keyed.mapInArrow(scored, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
     names = ["held_out", "score", "predicted", "evidence_ids", "evidence_cosines"]
     done = done.withColumns({"held_out": F.coalesce(held_out(F.col("doc_id")), F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
     return done.select("doc_id", *names)
 
 
+@tidied
 def keep_harmless(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns, where they lie: no shuffle of texts."""
-    _, fitted = _fit(docs, labels, doc_id, text, label, max_examples)
+    """The rows of docs that score below the threshold, with all their columns, where they lie: no shuffle of texts.
+
+    Null and empty texts, repeated rows and an empty table are treated as score_toxicity() says.
+    """
+    fitted = _fit(docs, labels, doc_id, text, label, max_examples)
     place = docs.columns.index(text)
 
     def harmless(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, vector = _remake(fitted.value["model"]), Vectorizer(fitted.value["vocabulary"])
+        scorer = Scorer(fitted.value)
         for batch in batches:
-            yield batch.filter(pa.array([model.score(vector(t.as_py()))[0] < threshold for t in batch.column(place)], pa.bool_()))
+            yield batch.filter(pa.array([scorer(t.as_py())[0] < threshold for t in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(harmless, docs.schema)
