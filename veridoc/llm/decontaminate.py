@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import LAST_ID, materialize
+from veridoc.llm.common import LAST_ID, col, field, join_spread, materialize, row_of, tidied
 
 #: Fixed masks over token positions, 1 is compared, 0 may hold any token; and the least and largest width of items (at
 #: most WINDOW) that take them. Of every width, wherever a fifth of the tokens is substituted, one mask fits somewhere.
@@ -45,6 +45,7 @@ def _overlap(hashes: str, diagonal: str, item: str, window: int) -> Column:
     return F.array_max(sums) / width
 
 
+@tidied
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[tuple[str, int, int], ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, overlap (largest share found, 0 without a hit), item_ids (sorted) and contaminated.
 
@@ -58,26 +59,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     Null and blank texts have no tokens and no overlap, as documents and as items. Items of fewer than five tokens
     match exact copies only, so an item of one common word contaminates every document with it. An item without
     item_id contaminates too, but can't be named in item_ids. Repeated rows get equal results. Rows with the same doc_id and other texts are told apart.
-    Further columns are ignored. An empty benchmark leaves every document clean.
+    Further columns, whatever their names, are ignored. An empty benchmark leaves every document clean.
     """
     return _judged(docs, benchmark, doc_id, text, item_id, item_text, masks, window, share, broadcast_seeds).select("doc_id", "n_tokens", "overlap", "item_ids", "contaminated")
 
 
+@tidied
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
+    """The rows of docs that aren't contaminated, with all their columns, whatever these are called.
+
+    Null and blank texts are clean; repeated rows stay or go together; an empty benchmark takes nothing away.
+    """
     doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
     hits = _hits(docs, benchmark, **how).where("overlap >= " + str(how.get("share", SHARE))).select("id", "tie").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"))
-    return keyed.join(hits, ["id", "tie"], "left_anti").select("row.*")
+    keyed = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
+    return keyed.join(hits, ["id", "tie"], "left_anti").select(*[field(c) for c in docs.columns])
 
 
 def _tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), token_hashes(docs[text]).alias("h"))
+    return docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"), token_hashes(col(text)).alias("h"))
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[tuple[str, int, int], ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Measured overlaps (id, tie, item_id, overlap) of documents and items that share a seed."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("number"), benchmark[item_id].alias("item_id"), token_hashes(benchmark[item_text]).alias("item"))
+    items = benchmark.select(F.monotonically_increasing_id().alias("number"), col(item_id).alias("item_id"), token_hashes(col(item_text)).alias("item"))
     items = materialize(items.where(F.size("item") > 0).withColumn("width", F.least(F.size("item"), F.lit(WINDOW))))
     widths = [r.width for r in items.select("width").distinct().collect()]
     masks = [m for m in masks if any(m[1] <= w <= m[2] for w in widths)] or list(masks)
@@ -92,7 +97,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         found = keys.join(F.broadcast(seeds), "key").withColumn("diagonal", F.col("p") - F.col("q"))
     else:
         keys = at.select("id", "tie", "p", F.explode(_seed_keys("h", "p", masks)).alias("key")).where("key is not null")
-        hits = keys.join(seeds.select("key", "number", "q"), "key").select("id", "tie", "number", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
+        # a seed of common words meets its many places where they lie
+        seeds = materialize(seeds.select("key", "number", "q").distinct())
+        places = materialize(keys.join(seeds.select("key"), "key", "left_semi"))
+        kept = materialize(seeds.groupBy("key").agg(F.collect_list(F.struct("number", "q")).alias("at")).join(places.groupBy("key").agg(F.count("*").alias("n")), "key"))
+        hits = join_spread(places, kept, "key").select("id", "tie", "p", F.inline("at")).select("id", "tie", "number", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
         found = hits.join(items, "number").join(tokens.dropDuplicates(["id", "tie"]), ["id", "tie"])
     measured = found.select("id", "tie", "item_id", _overlap("h", "diagonal", "item", window).alias("overlap"))
     return measured.groupBy("id", "tie", "item_id").agg(F.max("overlap").alias("overlap"))
@@ -101,7 +110,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, masks: tuple[tuple[str, int, int], ...], window: int, share: float, broadcast_seeds: int) -> DataFrame:
     hits = _hits(docs, benchmark, doc_id, text, item_id, item_text, masks, window, share, broadcast_seeds)
     met = hits.groupBy("id", "tie").agg(F.max("overlap").alias("overlap"), F.sort_array(F.collect_set(F.when(F.col("overlap") >= share, F.col("item_id")))).alias("item_ids"))
-    rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(docs[text]).alias("tie"), F.size(token_hashes(docs[text])).alias("n_tokens"))
+    rows = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"), F.size(token_hashes(col(text))).alias("n_tokens"))
     kind = met.schema["item_ids"].dataType
     out = rows.join(met, ["id", "tie"], "left")
     return out.select("doc_id", "n_tokens", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.coalesce("item_ids", F.array().cast(kind)).alias("item_ids"), (F.coalesce("overlap", F.lit(0.0)) >= share).alias("contaminated"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import word_count
+from veridoc.llm.common import col, columns_of, field, row_of, tidied, word_count
 
 #: Documents that one innermost group of keys holds on average.
 GROUP = 4096
@@ -42,6 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return filled.withColumn("target", target).select("no_src", "src", "source_size", "target")
 
 
+@tidied
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, carry: bool = True) -> DataFrame:
     """All rows of docs with size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
@@ -57,12 +58,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     An empty table gives an empty result.
     """
     names = ("size", "source_size", "target", "taken")
-    own = [c for c in docs.columns if c.lower() not in names and (carry or c != text)]
+    own = [c for c in columns_of(docs, names) if carry or c != text]
     digits = max(0, math.ceil(math.log(max(1, docs.count()) / GROUP, 16)))
     a = digits // 2
-    key = F.md5(F.coalesce(docs[doc_id].cast("string"), F.concat(F.lit("t"), F.xxhash64(docs[text]).cast("string"))))
-    kept = F.struct(*[docs[c] for c in own]).alias("row")
-    rows = docs.select(kept, _no_source(docs[source]).alias("no_src"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), word_count(docs[text]).alias("size"), key.alias("key"), F.xxhash64(docs[text]).alias("tie"))
+    key = F.md5(F.coalesce(col(doc_id).cast("string"), F.concat(F.lit("t"), F.xxhash64(col(text)).cast("string"))))
+    rows = docs.select(row_of(own), _no_source(col(source)).alias("no_src"), F.coalesce(col(source).cast("string"), F.lit("")).alias("src"), word_count(col(text)).alias("size"), key.alias("key"), F.xxhash64(col(text)).alias("tie"))
     rows = rows.withColumns({"hi": F.substring("key", 1, a), "lo": F.substring("key", a + 1, digits - a)})
 
     groups = rows.groupBy("no_src", "src", "hi", "lo").agg(F.sum("size").alias("part"))
@@ -82,4 +82,4 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("at") - F.col("before_lo") - F.col("before_hi")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size")))
-    return placed.select("row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(*[field(c) for c in own], "size", "source_size", "target", taken.cast("long").alias("taken"))

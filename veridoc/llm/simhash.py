@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import LAST_ID, col, connected_components, join_spread, materialize, row_of, stream_groups, tidied
+from veridoc.llm.common import LAST_ID, col, connected_components, field, join_spread, materialize, row_of, stream_groups, tidied
 from veridoc.llm.lines import apart_pairs
 
 BITS = 64
@@ -200,7 +200,7 @@ def keep_one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     kept = rows.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("one")).select("one.*")
     keyed = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     one = Window.partitionBy("id", "tie").orderBy("id")
-    return keyed.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
+    return keyed.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*[field(c) for c in docs.columns])
 
 
 def shingle_set(text: str | None, shingle: int = 5):
@@ -288,4 +288,4 @@ def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     kept = classes.join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("one").alias("one")).select("one.*")
     whole = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     one = Window.partitionBy("id", "tie").orderBy("id")
-    return whole.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
+    return whole.join(kept, ["id", "tie"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*[field(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import col, materialize, tidied
+from veridoc.llm.common import col, field, materialize, row_of, tidied
 
 #: Labelled rows that the index is made of, at most. Its terms are all terms of theirs.
 MAX_EXAMPLES = 4000
@@ -323,13 +323,13 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     Null and empty texts, repeated rows and an empty table are treated as score_toxicity() says.
     """
     fitted = _fit(docs, labels, doc_id, text, label, max_examples)
-    place = docs.columns.index(text)
+    rows = docs.select(row_of(docs.columns), col(text).alias("text"))
 
     def harmless(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         scorer = Scorer(fitted.value)
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t.as_py())[0] < threshold for t in batch.column(place)], pa.bool_()))
+            yield batch.select(["row"]).filter(pa.array([scorer(t.as_py())[0] < threshold for t in batch.column(1)], pa.bool_()))
 
-    return docs.mapInArrow(harmless, docs.schema)
+    return rows.mapInArrow(harmless, rows.select("row").schema).select(*[field(c) for c in docs.columns])

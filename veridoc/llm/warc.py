@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.llm.common import materialize, tidied
+
 #: Headers a 304 may carry that replace those of the stored response (fixed values, in lower case).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -28,6 +28,14 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
+def folded(headers: Column) -> Column:
+    """Headers under lower-cased names; of names that differ in case only, the one that sorts first wins."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.filter(entries, lambda e: F.lower(e["key"]) == n)[0]["value"]))
+
+
+@tidied
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Resolve revisit records against full responses of the same canonical URL.
 
@@ -35,7 +43,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     out), status int, headers map<string,string> and any other columns, which are ignored. A full response has kind
     'response' and a status from 200 to 299. Per revisit: record_id, canonical_url, at, response_id and response_at of
     the latest full response strictly earlier by (at, record_id), outcome and headers, the response's headers with
-    the permitted ones of the revisit put over them; header names are lower-cased.
+    the permitted ones of the revisit put over them; header names are lower-cased, and of names that differ in case
+    only the one that sorts first by code point wins.
 
     outcome: 'resolved' if a validator (etag first, weak marks ignored; else last-modified) is there and agrees,
     'unvalidated' if the revisit and the response share no validator, 'changed' if it differs, 'orphan' if there is no
@@ -43,17 +52,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     such revisits are orphans. Ties in time go by record_id; records repeated in full each give a row. An empty table
     gives an empty result.
 
-    Every URL's timeline is cut into slices of about the square root of all records by rank of time, so a URL that
-    holds a third of all captures is spread over many tasks: the last response of each slice is carried over the
-    slices, one row each, and within a slice from record to record.
+    The timeline of all records is cut into slices of equal numbers of records, by rank of time, so a URL that holds a
+    third of all captures is spread over many tasks: the last response of each slice is carried over the slices, one
+    row each, and within a slice from record to record. The records, ranged by time, are written once.
     """
-    headers = F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("at").cast("long").alias("at"), "kind", "status", headers.alias("headers"))
+    spark = records.sparkSession
+    rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("at").cast("long").alias("at"), "kind", "status", folded(F.col("headers")).alias("headers"))
     full = (F.col("kind") == "response") & F.col("status").between(200, 299) & F.col("at").isNotNull() & F.col("canonical_url").isNotNull()
-    rows = rows.where((F.col("kind") == "revisit") | full)
-    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, math.ceil(((span["hi"] or 0) - (span["lo"] or 0) + 1) / max(1, math.isqrt(span["n"] or 1))))
-    rows = rows.withColumns({"slice": F.floor((F.col("at") - F.lit(span["lo"] or 0)) / width), "full": full})
+    rows = rows.where((F.col("kind") == "revisit") | full).withColumn("full", F.coalesce(full, F.lit(False)))
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(slices, "at", "record_id").withColumn("slice", F.spark_partition_id()))
     known = F.struct("at", "record_id")
     mine = F.when(F.col("full"), F.struct(F.col("at").alias("at"), F.col("record_id").alias("id"), F.col("headers").alias("headers")))
     last = rows.where("full").groupBy("canonical_url", "slice").agg(F.max_by(F.struct(F.col("at").alias("at"), F.col("record_id").alias("id"), F.col("headers").alias("headers")), known).alias("last"))
