@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from veridoc.llm.common import col
+
 #: Notices and short license texts as published (fixed values).
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -109,11 +111,12 @@ class Scanner:
 
         A region is aligned whenever its bag of words could cover more than the best alignment so far; that one is
         done with when it is whole, or the region has left its first half, or most of a better one lies behind it, or no
-        template word follows soon.
+        template word follows soon. Where words suffice and nothing aligned, every beginning is tried.
         """
         size = len(template)
         goal, have, covered, left, right = self.coverage * size, Counter(), 0, 0, 0
         best: list[tuple[int, int]] = []
+        failed: list[int] = []
         while right < len(at):
             i = at[right]
             have[words[i]] += 1
@@ -132,20 +135,37 @@ class Scanner:
                         passed = True
                     else:
                         best = [(lo + x, y) for x, y in pairs]
+                elif not best:
+                    failed += [i - 2 * size + 1, i - int(goal) + 1]
             right += 1
             last = right == len(at) or at[right] - i > size
+            if not best and failed and (covered < goal or last):
+                best = self._anywhere(words, at, template, failed[0], failed[-1])
+                passed, failed = bool(best), []
             if best and (passed or last or len(best) == size):
                 yield best
                 left = right = bisect.bisect_right(at, best[-1][0])
-                have, covered, best = Counter(), 0, []
+                have, covered, best, failed = Counter(), 0, [], []
+
+    def _anywhere(self, words: list[str], at: list[int], template: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
+        """The best alignment of a region that begins with any template word from lo to hi; none if none covers enough.
+
+        For regions that hold the words but, cut at surplus ones, don't align.
+        """
+        best: list[tuple[int, int]] = []
+        for p in at[bisect.bisect_left(at, lo) : bisect.bisect_right(at, hi)]:
+            pairs = align(words[p : p + 2 * len(template)], template)
+            if len(pairs) >= self.coverage * len(template) and len(pairs) > len(best):
+                best = [(p + x, y) for x, y in pairs]
+        return best
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Per place of a license in a text: doc_id, license, coverage, first_token and last_token (long).
 
     Whole texts are scanned one at a time, without a shuffle, against templates held by every task; give only as many
-    as fit a task. Null and empty texts have no places; repeated rows give repeated places; other columns are
-    ignored. Empty templates match nothing, and an empty table gives an empty result.
+    as fit a task. Null and empty texts have no places; repeated rows give repeated places; other columns, whatever
+    their names, are ignored. Empty templates match nothing, and an empty table gives an empty result.
     """
     chosen = TEMPLATES if templates is None else templates
 
@@ -159,5 +179,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, d
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "license", "coverage", "first_token", "last_token"])
 
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_token long, last_token long")
