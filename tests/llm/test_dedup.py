@@ -266,8 +266,8 @@ def test_hot_block_loses_no_link(spark):
     assert {(r.a, r.b) for r in pairs} >= {(i, i + 40) for i in range(40)}
 
 
-@pytest.mark.parametrize("cell", [3, 1024])
-def test_line_candidates_are_all_pairs_within_the_radius(spark, cell, monkeypatch):
+@pytest.mark.parametrize(("cell", "chosen"), [(3, None), (1024, 2), (1024, 3), (1024, 5)])
+def test_line_candidates_are_all_pairs_within_the_radius(spark, cell, chosen, monkeypatch):
     monkeypatch.setattr(lines.apart_pairs, "__defaults__", (cell,))
     rng = random.Random(13)
     low = rng.getrandbits(26)
@@ -275,7 +275,7 @@ def test_line_candidates_are_all_pairs_within_the_radius(spark, cell, monkeypatc
     fps += [flipped(rng, v, rng.choice((1, 2, 3, 4))) for v in fps[:60]] + [flipped(rng, fps[0], 2) for _ in range(40)]
     fps += fps[:8] + fps[:4]  # different lines of one fingerprint
     rows = [(i, v - (v >> 63 << 64)) for i, v in enumerate(fps)]
-    got = {(r.a, r.b) for r in lines.candidate_pairs(spark.createDataFrame(rows, "k long, fp long"), block=4).collect()}
+    got = {(r.a, r.b) for r in lines.candidate_pairs(spark.createDataFrame(rows, "k long, fp long"), block=4, chosen=chosen).collect()}
     assert got == {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
 
 

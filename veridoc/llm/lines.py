@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import LAST_ID, col, columns_of, connected_components, field, join_spread, materialize, row_of, tidied
@@ -16,11 +17,11 @@ SIMILARITY = 0.8
 BLOCK = 24
 #: Members of a split block that meet as many others in one task.
 CELL = 1024
-#: Line keys (8 bytes each) up to which the set of lines to verify is broadcast.
-BROADCAST_LINES = 1_000_000
-#: Keys of blocks of three or more fingerprints (16 bytes each) up to which they are broadcast.
-BROADCAST_BLOCKS = 500_000
+#: Rows of a few longs up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
 _ROW = ("id", "tie", "pos")
+#: Lowest bit of the number that tells keys of different blocks apart.
+_NUMBER = 55
 
 
 def normalised(line: Column) -> Column:
@@ -84,21 +85,35 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return counted.select(*_ROW, "k", F.coalesce("wide", _short_simhash([f"p{b}" for b in range(8)], "gap")).alias("fp"))
 
 
-def _blocks(fp: str, radius: int) -> list[Column]:
-    """Keys of radius + 2 blocks taken two at a time: fingerprints within the radius agree on one pair at least."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    part = [F.shiftrightunsigned(F.shiftleft(fp, 64 - hi), 64 - hi + lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    return [F.shiftleft(part[i], 14).bitwiseOR(part[j]).bitwiseOR(F.lit(t << 30)) for t, (i, j) in enumerate(combinations(range(n), 2))]
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _rest(radius: int) -> list[list[int]]:
-    """Per pair of blocks masks of the other bits, cut into radius + 1: fingerprints within the radius agree on one at least."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    out = []
-    for i, j in combinations(range(n), 2):
-        bits = [b for t in range(n) if t not in (i, j) for b in range(cuts[t], cuts[t + 1])]
+def _chosen(n: int, radius: int) -> int:
+    """How many of radius + so many blocks make a key, so that strangers rarely share one among n fingerprints."""
+    chosen = 2
+    while chosen < 7 and 64 * chosen / (radius + chosen) < math.log2(max(n, 1)) + 5:
+        chosen += 1
+    return chosen
+
+
+def _cuts(blocks: int) -> list[tuple[int, int]]:
+    return [(64 * i // blocks, 64 * (i + 1) // blocks) for i in range(blocks)]
+
+
+def _blocks(fp: str, radius: int, chosen: int) -> list[Column]:
+    """Keys of radius + chosen blocks, `chosen` at a time: fingerprints within the radius agree on one key at least."""
+    part = [F.shiftrightunsigned(F.shiftleft(fp, 64 - hi), 64 - hi + lo) for lo, hi in _cuts(radius + chosen)]
+    width = -(-64 // (radius + chosen))
+    return [reduce(Column.bitwiseOR, [F.shiftleft(part[i], width * at) for at, i in enumerate(some)], F.lit(t << _NUMBER).cast("long")) for t, some in enumerate(combinations(range(radius + chosen), chosen))]
+
+
+def _rest(radius: int, chosen: int) -> list[list[int]]:
+    """Per key masks of the other bits, cut into radius + 1: fingerprints within the radius agree on one at least."""
+    cuts, out = _cuts(radius + chosen), []
+    for some in combinations(range(radius + chosen), chosen):
+        bits = [b for t, (lo, hi) in enumerate(cuts) if t not in some for b in range(lo, hi)]
         ends = [len(bits) * s // (radius + 1) for s in range(radius + 2)]
         masks = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)]
         out.append([m - (m >> 63 << 64) for m in masks])
@@ -135,72 +150,74 @@ def apart_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
 class Candidates:
     """Pairs of different line keys (k, fp) whose fingerprints differ in `radius` bits at most.
 
-    Such fingerprints are equal or agree on a block. stars() pairs every member of a block with its least one;
-    rest() gives all pairs of members whose lines what is known by then does not connect, so that a large group of
-    near copies costs its size and not its square. A block of two is a star by itself; of blocks of more than `block`
-    members the rest is found by pigeonhole over their other bits, which loses no pair.
+    Such fingerprints are equal or agree on a key of blocks; the more fingerprints there are, the longer the keys.
+    stars pairs every member of a block with its least one; rest() gives all pairs of members whose lines what is known
+    by then does not connect, so that a large group of near copies costs its size and not its square. A block of two
+    is a star by itself; of blocks of more than `block` members the rest is found by pigeonhole over their other bits,
+    which loses no pair.
     """
 
-    def __init__(self, lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> None:
+    def __init__(self, lines: DataFrame, radius: int = RADIUS, block: int = BLOCK, chosen: int | None = None) -> None:
         self.lines, self.radius, self.block = lines, radius, block
-        self.reps = materialize(lines.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("same")))
-        keyed = self.reps.select("fp", F.explode(F.array(*_blocks("fp", radius))).alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1")
-        self.sizes = materialize(sizes.where((F.col("n") > 2) | self.close("x", "y")))
-        more = self.sizes.where("n > 2").select("key", "n", "x")
-        more = F.broadcast(more) if more.count() <= BROADCAST_BLOCKS else more
-        self.met = materialize(keyed.join(more, "key"))
+        reps = materialize(lines.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("same")))
+        self.chosen = chosen or _chosen(reps.count(), radius)
+        keyed = reps.select("fp", F.explode(F.array(*_blocks("fp", radius, self.chosen))).alias("key"))
+        # nearly all keys occur once: a sort finds the others without a hash table of all of them
+        every = Window.partitionBy("key")
+        met = keyed.select("fp", "key", F.count("*").over(every).alias("n"), F.min("fp").over(every).alias("x"), F.max("fp").over(every).alias("y"))
+        met = materialize(met.where("n > 1").where((F.col("n") > 2) | (self.close("x", "y"))))
+        self.met = met.where("n > 2").select("fp", "key", "n", "x")
+        fps = self.met.select("x", F.col("fp").alias("y")).where("x <> y").where(self.close("x", "y"))
+        self.twos = met.where("n = 2 and fp = x").select("x", "y")
+        self.pairs = _small(materialize(self.twos.union(fps).distinct()))
+        self.split = _small(materialize(reps.where("same > 1").select("fp", "least")))
+        equal = lines.join(self.split, "fp").where("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"))
+        least = reps.select("fp", "least")
+        named = least.toDF("x", "a").join(self.pairs, "x")
+        named = least.toDF("y", "b").join(_small(materialize(named)), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        #: (a, b) of lines of one fingerprint and of the least lines of fingerprints, with the least of each group.
+        self.stars = materialize(equal.union(named))
 
     def close(self, x: str, y: str) -> Column:
         return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= self.radius
 
-    def stars(self) -> DataFrame:
-        """(a, b) of lines of one fingerprint and of the least lines of fingerprints, with the least of each group."""
-        least = self.reps.select("fp", "least")
-        equal = self.lines.join(self.reps.where("same > 1").select("fp", "least"), "fp").where("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"))
-        fps = self.met.select("x", F.col("fp").alias("y")).where("x <> y").where(self.close("x", "y"))
-        fps = self.sizes.where("n = 2").select("x", "y").union(fps).distinct()
-        named = fps.join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y")
-        return equal.union(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
     def rest(self, roots: DataFrame) -> DataFrame:
         """All pairs (a, b) of lines that aren't connected yet; roots (node, root) name what is."""
-        known = materialize(self.lines.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "fp", F.coalesce("root", "k").alias("root")))
+        # only lines of these fingerprints can have more pairs
+        fps = _small(materialize(self.met.select("fp").union(self.twos.select("x")).union(self.twos.select("y")).union(self.split.select("fp")).distinct()))
+        known = materialize(self.lines.select("k", "fp").join(fps, "fp").join(_small(roots).withColumnRenamed("node", "k"), "k", "left").select("k", "fp", F.coalesce("root", "k").alias("root")))
         # a fingerprint whose lines differ in root has none
-        whole = known.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))
-        split = whole.where("root is null").select("fp")
-        equal = apart_pairs(known.join(split, "fp").select(F.col("fp").alias("key"), F.col("k").alias("v"), "root")).toDF("a", "b")
-        met = self.met.drop("x").join(whole, "fp")
+        whole = materialize(known.groupBy("fp").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root")))
+        equal = apart_pairs(known.join(whole.where("root is null").select("fp"), "fp").select(F.col("fp").alias("key"), F.col("k").alias("v"), "root")).toDF("a", "b")
+        met = materialize(self.met.drop("x").join(_small(whole), "fp"))
         open_ = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.when(F.col("root").isNull(), 1)).alias("none")).where("lo <> hi or none > 0").select("key")
         met = materialize(met.join(open_, "key"))
         few = met.where(F.col("n") <= self.block)
         both = few.select("key", F.col("fp").alias("x"), F.col("root").alias("rx")).join(few.select("key", F.col("fp").alias("y"), F.col("root").alias("ry")), "key")
         few = both.where("x < y and (rx is null or ry is null or rx <> ry)").where(self.close("x", "y")).select("x", "y")
-        rest = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in _rest(self.radius)])
-        masks = F.get(rest, F.shiftright("key", 30).cast("int"))
+        rest = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in _rest(self.radius, self.chosen)])
+        masks = F.get(rest, F.shiftright("key", _NUMBER).cast("int"))
         many = met.where(F.col("n") > self.block).select("fp", "root", "key", F.posexplode(masks).alias("s", "mask"))
         many = materialize(many.select(F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.col("fp").alias("v"), "root"))
         many = apart_pairs(many).where(self.close("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = self.sizes.where("n = 2").select("x", "y").union(few).union(many).distinct()
-        named = pairs.join(known.select(F.col("fp").alias("x"), F.col("k").alias("a"), F.col("root").alias("ra")), "x")
-        named = named.join(known.select(F.col("fp").alias("y"), F.col("k").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
+        pairs = _small(materialize(self.twos.union(few).union(many).distinct()))
+        named = materialize(known.select(F.col("fp").alias("x"), F.col("k").alias("a"), F.col("root").alias("ra")).join(pairs, "x"))
+        named = known.select(F.col("fp").alias("y"), F.col("k").alias("b"), F.col("root").alias("rb")).join(_small(named), "y").where("ra <> rb").select("a", "b")
         named = equal.union(named).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return named.join(self.stars(), ["a", "b"], "left_anti")
+        return named.join(_small(self.stars), ["a", "b"], "left_anti")
 
 
-def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def candidate_pairs(lines: DataFrame, radius: int = RADIUS, block: int = BLOCK, chosen: int | None = None) -> DataFrame:
     """All pairs (a, b) of different line keys whose fingerprints differ in `radius` bits at most."""
     nothing = lines.limit(0).select(F.col("k").alias("node"), F.col("k").alias("root"))
-    found = Candidates(lines, radius, block)
-    return found.stars().union(found.rest(nothing))
+    found = Candidates(lines, radius, block, chosen)
+    return found.stars.union(found.rest(materialize(nothing)))
 
 
 def _first_of(docs: DataFrame, seen: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(k, norm): the normalised line of every key asked for, cut out of the first document that has it."""
-    n = asked.count()
-    small = F.broadcast if n <= BROADCAST_LINES else (lambda x: x)
-    where = small(seen.join(small(asked), "k", "left_semi").groupBy("k").agg(F.min(F.struct(*_ROW)).alias("at")).select("k", "at.*"))
-    one_each = small(where.groupBy("id", "tie").agg(F.collect_set(F.struct("pos", "k")).alias("asked")))
+    where = materialize(seen.join(_small(asked), "k", "left_semi").groupBy("k").agg(F.min(F.struct(*_ROW)).alias("at")).select("k", "at.*"))
+    one_each = _small(materialize(where.groupBy("id", "tie").agg(F.collect_set(F.struct("pos", "k")).alias("asked"))))
     texts = _keyed(docs, doc_id, text).join(one_each, ["id", "tie"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("q"))
     return materialize(texts.select("q.k", normalised(F.get("all", F.col("q.pos"))).alias("norm")).dropDuplicates(["k"]))
 
@@ -209,7 +226,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"), col(text).alias("text"))
 
 
-def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, radius: int, similarity: float, block: int) -> DataFrame:
+def linked_lines(docs: DataFrame, seen: DataFrame, lines: DataFrame, *, doc_id: str, text: str, radius: int, similarity: float, block: int) -> DataFrame:
     """(node, root): the groups of line keys connected by candidates of enough edit similarity, 1 - distance / longer length."""
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -218,13 +235,18 @@ def linked_lines(docs: DataFrame, seen: DataFrame, *, doc_id: str, text: str, ra
         both = pairs.join(texts.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
         return materialize(both.where(_similar("x", "y", similarity)).select("a", "b"))
 
-    found = Candidates(materialize(seen.select("k", "fp").distinct()), radius, block)
-    links = verified(materialize(found.stars()))
-    roots = materialize(connected_components(links))
+    found = Candidates(lines, radius, block)
+    roots = materialize(connected_components(verified(found.stars)))
     more = materialize(found.rest(roots))
     if more.isEmpty():
         return roots
-    return connected_components(links.union(verified(more)))
+    # what is left joins groups, so it is enough to connect their roots
+    of = _small(roots)
+    between = verified(more).join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left")
+    between = materialize(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    joined = materialize(connected_components(between)).toDF("root", "top")
+    grown = roots.join(_small(joined), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(grown.union(joined.toDF("node", "root")).distinct())
 
 
 def _similar(x: str, y: str, similarity: float) -> Column:
@@ -265,9 +287,9 @@ def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     n_removed give way; other columns may have any names. An empty table gives an empty result.
     """
     seen = materialize(occurrences(docs, doc_id, text))
-    groups = linked_lines(docs, seen, doc_id=doc_id, text=text, radius=radius, similarity=similarity, block=block).withColumnRenamed("node", "k")
-    counts = seen.groupBy("k").agg(F.count("*").alias("n"))
-    groups = materialize(counts.join(groups, "k", "left").where("n > 1 or root is not null").select("k", "n", F.coalesce("root", "k").alias("root")))
+    lines = materialize(seen.groupBy("k", "fp").agg(F.count("*").alias("n")))
+    groups = linked_lines(docs, seen, lines, doc_id=doc_id, text=text, radius=radius, similarity=similarity, block=block).withColumnRenamed("node", "k")
+    groups = materialize(lines.join(_small(groups), "k", "left").where("n > 1 or root is not null").select("k", "n", F.coalesce("root", "k").alias("root")))
     met = materialize(join_spread(seen.select("k", *_ROW), groups, "k"))
     firsts = met.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(*_ROW)).alias("first"))
     gone = join_spread(met.select("root", *_ROW), materialize(firsts), "root").where(F.struct(*_ROW) != F.col("first")).groupBy("id", "tie").agg(F.collect_set("pos").alias("gone"))
@@ -276,7 +298,7 @@ def deduplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     both = keyed.join(gone, ["id", "tie"], "left").withColumn("all", F.split("text", "\n"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")), lambda i: F.get("all", i))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    lines, removed = F.coalesce(F.size("all"), F.lit(0)).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(lines)
+    total, removed = F.coalesce(F.size("all"), F.lit(0)).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    total = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(total)
     removed = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(removed)
-    return both.select(*[kept.alias(c) if c == text else field(c) for c in own], lines.alias("n_lines"), removed.alias("n_removed"))
+    return both.select(*[kept.alias(c) if c == text else field(c) for c in own], total.alias("n_lines"), removed.alias("n_removed"))
