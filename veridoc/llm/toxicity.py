@@ -81,27 +81,41 @@ class BlockMaxIndex:
 
         heaviest = [tuple(t[np.argsort(-w, kind="stable")[:4]].tolist()) for t, w in vectors]
         order = sorted((e for e in range(len(vectors)) if len(vectors[e][0])), key=lambda e: (heaviest[e], e))
-        self.example, self.n = np.array(order, np.int64), len(order)
-        self.blocks = -(-self.n // block)
         size = np.array([len(vectors[e][0]) for e in order], np.int64)
         none = [np.zeros(0)]
         term = np.concatenate([*none, *[vectors[e][0] for e in order]]).astype(np.int64)
         weight = np.concatenate([*none, *[vectors[e][1] for e in order]])
-        at = np.repeat(np.arange(self.n), size)
+        at = np.repeat(np.arange(len(order)), size)
         by = np.lexsort((at, term))
-        term, self.at, self.weight = term[by], at[by].astype(np.int32), weight[by]
+        lists = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
+        self.__setstate__((block, np.array(order, np.int64), lists, at[by].astype(np.uint16 if len(order) < 1 << 16 else np.int32), weight[by]))
+
+    def __getstate__(self):
+        return self.told
+
+    def __setstate__(self, told) -> None:
+        """Postings by term travel; what blocks need is made of them."""
+        import numpy as np
+
+        self.told = told
+        block, self.example, lists, self.at, self.weight = told
+        self.n = len(self.example)
+        self.blocks = -(-self.n // block)
+        term = np.repeat(np.arange(len(lists) - 1), np.diff(lists))
         of = self.at // block
         #: One entry per term and block: the block, its largest weight and where its postings begin.
-        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0)) if len(term) else np.zeros(0, np.int64)
-        self.of, self.start = of[first], np.append(first, len(term))
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(new)
+        self.of, self.start = of[first], np.append(first, len(term)).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.entries = np.searchsorted(term[first], np.arange(len(lists))).astype(np.int32)
 
     def nearest(self, terms, weights, k: int, skip: int = -1):
         """(examples, cosines) of the k best and all ties with the last of them; `skip` is left out."""
         import numpy as np
 
-        length = self.entries[terms + 1] - self.entries[terms]
+        length = (self.entries[terms + 1] - self.entries[terms]).astype(np.int64)
         entry = _ranges(self.entries[terms], length)
         q, of = np.repeat(weights, length), self.of[entry]
         bound = np.bincount(of, q * self.top[entry], self.blocks)
@@ -117,7 +131,7 @@ class BlockMaxIndex:
                 break
             chosen[now] = True
             mine = chosen[of]
-            begin = self.start[entry[mine]]
+            begin = self.start[entry[mine]].astype(np.int64)
             count = self.start[entry[mine] + 1] - begin
             posting = _ranges(begin, count)
             scores += np.bincount(self.at[posting], np.repeat(q[mine], count) * self.weight[posting], self.n)
@@ -182,8 +196,10 @@ class Model:
 class Scorer:
     """Scores whole texts; copies of a text are scored once."""
 
-    def __init__(self, fitted: dict) -> None:
-        self.model, self.ids, self.vector = fitted["model"], fitted["ids"], Vectorizer(fitted["vocabulary"])
+    def __init__(self, fitted: tuple) -> None:
+        told, steps = fitted
+        self.model, self.ids, self.vector = told.value["model"], told.value["ids"], Vectorizer(told.value["vocabulary"])
+        self.model.steps = steps
         self.memo: dict = {}
 
     def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
@@ -211,8 +227,8 @@ def dependence(with_term, toxic_with_term, n: int, toxic: int):
     return np.where(by > 0, over * over / np.where(by > 0, by, 1), 0.0)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int):
-    """The broadcast vocabulary and model learned from the labelled documents."""
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int) -> tuple:
+    """The broadcast vocabulary and model learned from the labelled documents, and the steps of its calibration."""
     import numpy as np
     import pyarrow as pa
 
@@ -231,6 +247,7 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
 
     # of rows that repeat an id one is an example, whatever their number
     one = keyed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+    one = materialize(one)
     rows = one.mapInArrow(terms, "doc_id long, y int, terms array<string>, times array<int>").orderBy("doc_id").toArrow()
     ids, y = rows.column("doc_id").to_pylist(), rows.column("y").to_pylist()
     flat = rows.column("terms").combine_chunks()
@@ -265,18 +282,19 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     every[list(df)] = list(df.values())
     weight = (np.log((1 + total) / (1 + every)) + 1) * (FLOOR + (1 - FLOOR) * dependence(with_term, toxic_with, len(ids), sum(y)))
     model = Model(weight, vectors, y)
-    told = spark.sparkContext.broadcast({"model": model, "vectors": vectors})
+    told = spark.sparkContext.broadcast({"model": model, "ids": ids, "vocabulary": vocabulary})
 
     def left_out(batches: Iterator) -> Iterator:
-        model, vectors = told.value["model"], told.value["vectors"]
+        model, vector = told.value["model"], Vectorizer(told.value["vocabulary"])
+        number = {d: i for i, d in enumerate(told.value["ids"])}
         for batch in batches:
-            out = [(model.vote(*vectors[i], i)[0], model.labels[i]) for i in batch.column(0).to_pylist()]
+            out = [(model.vote(*vector(t.as_py()), number[d])[0], y) for d, t, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.float64()), pa.array([y for _, y in out], pa.int32())], names=["v", "y"])
 
     if ids:
-        tasks = spark.range(0, len(ids), 1, max(1, min(len(ids) // 64, spark.sparkContext.defaultParallelism * 2)))
-        model.calibrate([(r[0], r[1]) for r in tasks.mapInArrow(left_out, "v double, y int").collect()])
-    return spark.sparkContext.broadcast({"model": model, "ids": ids, "vocabulary": vocabulary})
+        parts = max(1, min(len(ids) // 64, spark.sparkContext.defaultParallelism * 2))
+        model.calibrate([(r[0], r[1]) for r in one.repartition(parts, "doc_id").mapInArrow(left_out, "v double, y int").collect()])
+    return told, model.steps
 
 
 @tidied
@@ -301,7 +319,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(fitted.value)
+        scorer = Scorer(fitted)
         for batch in batches:
             out = [scorer(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -328,7 +346,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     def harmless(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(fitted.value)
+        scorer = Scorer(fitted)
         for batch in batches:
             yield batch.select(["row"]).filter(pa.array([scorer(t.as_py())[0] < threshold for t in batch.column(1)], pa.bool_()))
 
