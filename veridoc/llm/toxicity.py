@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from veridoc.llm.common import col, field, materialize, row_of, tidied
 
-#: Labelled rows that the index is made of, at most. Its terms are all terms of theirs.
-MAX_EXAMPLES = 4000
+#: Labelled rows that the index is made of, at most, half of them of each label. Its terms are all terms of theirs.
+MAX_EXAMPLES = 1500
 #: Least share of its TF-IDF weight that a term keeps; what its label dependence (chi-square / n) adds goes up to 1.
 FLOOR = 0.01
 NEIGHBOURS = 25
 BLOCK = 64
 THRESHOLD = 0.3
 #: Prefixes stand for stems: words of one stem share them whatever their ending.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -148,10 +148,13 @@ class BlockMaxIndex:
 class Model:
     """The index, the terms' weights and the calibration of votes."""
 
-    def __init__(self, weight, vectors: list, labels: list[int], k: int = NEIGHBOURS) -> None:
+    def __init__(self, weight, vectors: list, labels: list[int], rates: tuple[float, float] = (1.0, 1.0), k: int = NEIGHBOURS) -> None:
         self.weight, self.labels, self.k = weight, labels, k
+        #: Labelled rows that an example of each label stands for.
+        self.rates = rates
         self.index = BlockMaxIndex([(t, self.unit(t, c)) for t, c in vectors], len(weight))
-        self.base = (sum(labels) + 1) / (len(labels) + 2)
+        toxic = sum(labels) * rates[1]
+        self.base = (toxic + 1) / (toxic + (len(labels) - sum(labels)) * rates[0] + 2)
         self.steps: tuple = ((0.0,), (self.base,))
 
     def unit(self, terms, times):
@@ -170,14 +173,15 @@ class Model:
         return float((w * y).sum() / w.sum()), e[:3].tolist(), [round(float(x), 6) for x in s[:3]]
 
     def calibrate(self, votes: list[tuple[float, int]]) -> None:
-        """Pool adjacent violators: rising shares of toxic examples over rising left-out votes."""
+        """Pool adjacent violators: rising shares of toxic rows over rising left-out votes."""
         pools: list[list[float]] = []
         for v, y in sorted(votes):
+            w = self.rates[y]
             if pools and pools[-1][3] == v:
-                pools[-1][0] += y
-                pools[-1][1] += 1
+                pools[-1][0] += y * w
+                pools[-1][1] += w
             else:
-                pools.append([y, 1, v, v])
+                pools.append([y * w, w, v, v])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 y2, n2, _, v2 = pools.pop()
                 pools[-1][0] += y2
@@ -219,12 +223,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def dependence(with_term, toxic_with_term, n: int, toxic: int):
-    """Chi-square of term and label over the examples, divided by their number: 0 to 1."""
+    """Chi-square of term and label over n labelled rows, some of them toxic, divided by their number: 0 to 1."""
     import numpy as np
 
     over = toxic_with_term * float(n) - with_term * float(toxic)
     by = with_term * (n - with_term) * float(toxic) * float(n - toxic)
-    return np.where(by > 0, over * over / np.where(by > 0, by, 1), 0.0)
+    # sums of shares of n may miss n by rounding
+    return np.where(by > 1e-6, np.minimum(1.0, over * over / np.where(by > 1e-6, by, 1)), 0.0)
 
 
 def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int) -> tuple:
@@ -236,8 +241,10 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     named = labels.select(col(doc_id).cast("long").alias("doc_id"), col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     named = named.groupBy("doc_id").agg(F.max(F.when(F.col("y") != 0, 1).otherwise(0)).alias("y")).where(~held_out(F.col("doc_id")))
     keyed = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = materialize(named.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(max_examples))
+    named = materialize(named.join(keyed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    of_label = [named.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, max_examples // 2)) for y in (0, 1)]
+    chosen = materialize(of_label[0].union(of_label[1]))
 
     def terms(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -260,9 +267,10 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         by = np.argsort(at)
         vectors.append((at[by], np.array(c, np.float64)[by]))
     with_term, toxic_with = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
-    for (t, _), toxic in zip(vectors, y, strict=True):
-        with_term[t] += 1
-        toxic_with[t] += toxic
+    rates = tuple(counts.get(label, 0) / max(1, sum(u == label for u in y)) for label in (0, 1))
+    for (t, _), u in zip(vectors, y, strict=True):
+        with_term[t] += rates[u]
+        toxic_with[t] += u * rates[u]
     told_terms = spark.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterator) -> Iterator:
@@ -280,8 +288,8 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     total = df.pop(-1, 0)
     every = np.zeros(len(vocabulary))
     every[list(df)] = list(df.values())
-    weight = (np.log((1 + total) / (1 + every)) + 1) * (FLOOR + (1 - FLOOR) * dependence(with_term, toxic_with, len(ids), sum(y)))
-    model = Model(weight, vectors, y)
+    weight = (np.log((1 + total) / (1 + every)) + 1) * (FLOOR + (1 - FLOOR) * dependence(with_term, toxic_with, sum(counts.values()), counts.get(1, 0)))
+    model = Model(weight, vectors, y, rates)
     told = spark.sparkContext.broadcast({"model": model, "ids": ids, "vocabulary": vocabulary})
 
     def left_out(batches: Iterator) -> Iterator:
@@ -301,10 +309,11 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, evidence_ids and evidence_cosines (of nearest examples).
 
-    Examples are the labelled documents whose crc32 of the id isn't 2 modulo 4; of more than max_examples, those with
-    the smallest hashes of their ids are taken. All their words and word prefixes, of either label, are terms. A
+    Examples are the labelled documents whose crc32 of the id isn't 2 modulo 4; of a label that more than half of
+    max_examples have, those with the smallest hashes of their ids are taken, and each stands for as many as there are
+    to one. All their words and word prefixes, of either label, are terms. A
     term weighs (1 + log count) x idf, the document frequencies counted over all documents, times FLOOR plus how much
-    the examples' labels depend on it (chi-square / n); plain TF-IDF lets topics outvote a few toxic words of a long
+    the labels depend on it (chi-square / n over the examples); plain TF-IDF lets topics outvote a few toxic words of a long
     text. A text's score is the distance-weighted vote of its nearest examples by exact cosine of these vectors, mapped
     to the share of toxic examples that got such a vote when left out themselves; texts without a term of the examples,
     empty and null ones too, have a vote of 0. Whole texts are read twice, where they lie.
