@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Markers and shapes of a patent's parts.
@@ -20,93 +19,108 @@ NOT_A_LABEL = ("FIG", "FIGS", "US", "NO", "PCT", "CIP", "CFM", "RPM", "PSI", "GP
 AIA_DAY = "2013-03-16"
 
 
-def _claims(text: str) -> list[tuple]:
-    marker = re.search(CLAIMS_MARKER, text)
-    starts = [(int(m[1]), m.start(1)) for m in re.finditer(CLAIM_START, text) if not marker or m.start() >= marker.end()]
-    out = []
-    for (number, lo), hi in zip(starts, [s for _, s in starts[1:]] + [len(text)], strict=True):
-        body = text[lo:hi].rstrip()
-        named = re.search(DEPENDS, body)
-        out.append((number, body, lo, lo + len(body), int(named[1]) if named else None))
-    return out
-
-
-def _limitations(text: str) -> list[tuple]:
-    out = []
-    for number, body, base, _, _ in _claims(text):
-        opened = re.search(TRANSITION, body) or re.match(r"\s*\d+\.", body)
-        at = opened.end() if opened else 0
-        at += len(body[at:]) - len(body[at:].lstrip(" :\n\t"))
-        index = 0
-        for piece in re.finditer(r"[^;]+", body[at:]):
-            lo, hi = at + piece.start(), at + piece.end()
-            lo += len(body[lo:hi]) - len(body[lo:hi].lstrip(" \n\t"))
-            if lead := re.match(r"(?i)(and|or)\b\s*", body[lo:hi]):
-                lo += lead.end()
-            kept = body[lo:hi].rstrip(" \n\t.,;")
-            if kept:
-                out.append((number, index, kept, base + lo, base + lo + len(kept)))
-                index += 1
-    return out
-
-
-def _paragraphs(text: str) -> list[tuple]:
-    marker = re.search(CLAIMS_MARKER, text)
-    spec = text[: marker.start()] if marker else text
-    marks = list(re.finditer(PARAGRAPH, spec))
-    if marks:
-        ends = [m.start() for m in marks[1:]] + [len(spec)]
-        bodies = [(f"[{m[1]}]", m.start(), spec[m.start() : e].rstrip()) for m, e in zip(marks, ends, strict=True)]
-    else:
-        head = re.search(SPEC_START, spec)
-        bodies = [(f"¶{i}", m.start(), m[0]) for i, m in enumerate(re.compile(r".+").finditer(spec, head.end() if head else 0), 1)]
-    return [(label, i, body, lo, lo + len(body)) for i, (label, lo, body) in enumerate(bodies)]
-
-
-def _figure_refs(text: str) -> list[tuple]:
-    out = []
-    for m in re.finditer(FIGURE_REF, text):
-        if m[1]:
-            figs = [m[1] + chr(c) for c in range(ord(m[2].upper()), ord(m[3].upper()) + 1)]
-        else:
-            figs = [f for f in (m[4], m[5]) if f]
-        out += [(f, m.start(), m.end()) for f in figs]
-    return out
-
-
-def _rows(docs: DataFrame, parse, schema: str) -> DataFrame:
-    """doc_id and what a parser finds in each text, in Arrow batches where the texts lie."""
-    names = [c.split()[0] for c in schema.split(", ")]
+CAPTION = r"(?i)FIGS?\.?\s*(\d+\s*[A-Z]?)(?:\s*[-–]\s*\d*\s*[A-Z]?)?\s+(?:is|are|shows?|depicts?|illustrates?|comprises?|represents?)\b"
+CAPTION_GAP = 400
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
 
-        for pdf in batches:
-            rows = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["canonical_text"], strict=True) if t is not None for r in parse(t)]
-            out = pd.DataFrame(rows, columns=["doc_id", *names])
-            yield out.astype({n: "Int64" for n, c in zip(names, schema.split(", "), strict=True) if c.endswith(" int")})
+def _rtrim(c: Column) -> Column:
+    return F.regexp_replace(c, r"[\s\p{Z}]+$", "")
+
+
+def matches(texts: DataFrame, shape: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", base: str | None = None) -> DataFrame:
+    """(keys, n, found, rest, at) of every match of a pattern: the match, the text between it and the next one, and its
+    offset, counted from the column `base`. Row 0 is the text before the first match and has no match.
+
+    A text is split by the pattern; offsets are running sums of the lengths of the pieces."""
+    pieces, found = F.split(text, shape, -1), F.regexp_extract_all(text, F.lit(shape), 0)
+    found = F.concat(F.array(F.lit(None).cast("string")), found)
+    rows = texts.select(*keys, (F.col(base) if base else F.lit(0)).alias("base"), F.posexplode(F.arrays_zip(found.alias("found"), pieces.alias("rest"))).alias("n", "m"))
+    rows = rows.select(*keys, "n", "base", F.col("m")["found"].alias("found"), F.col("m")["rest"].alias("rest"))
+    before = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.length("found"), F.lit(0)) + F.length("rest")
+    return rows.withColumn("at", (F.col("base") + F.coalesce(F.sum(size).over(before), F.lit(0))).cast("int")).drop("base")
 
-    return docs.select("doc_id", "canonical_text").mapInPandas(run, f"doc_id string, {schema}")
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the description before the claims marker, the claims after it (or the whole text) and their offset."""
+    cut = F.split("canonical_text", CLAIMS_MARKER, 2)
+    rows = docs.where("canonical_text is not null").select("doc_id", F.col("canonical_text").alias("text"), cut.alias("cut"))
+    region = F.coalesce(F.get("cut", F.lit(1)), F.col("text"))
+    return rows.select("doc_id", "text", F.get("cut", F.lit(0)).alias("spec"), region.alias("claims"), (F.length("text") - F.length(region)).alias("base"))
 
 
 def parse_claims(docs: DataFrame) -> DataFrame:
     """Numbered claims after the claims marker (or in the whole text) with offsets and the first claim each names."""
-    return _rows(docs, _claims, "number int, text string, char_start int, char_end int, depends_on int")
+    rows = matches(_parts(docs), CLAIM_START, text="claims", base="base").where("found is not null")
+    number = F.regexp_extract("found", r"(\d+)", 1)
+    lead = F.length(F.regexp_extract("found", r"^(\D*)", 1))
+    body = _rtrim(F.concat(F.expr("substring(found, 1 + length(regexp_extract(found, '^([^0-9]*)', 1)))"), F.col("rest")))
+    named = F.regexp_extract(body, DEPENDS, 1)
+    start = (F.col("at") + lead).cast("int")
+    return rows.select("doc_id", number.cast("int").alias("number"), body.alias("text"), start.alias("char_start"), (start + F.length(body)).cast("int").alias("char_end"), F.when(named != "", named.cast("int")).alias("depends_on"))
 
 
 def decompose_claims(docs: DataFrame) -> DataFrame:
     """Limitations of claims: pieces between semicolons after the transition, trimmed, leading and/or dropped."""
-    return _rows(docs, _limitations, "number int, index int, text string, char_start int, char_end int")
+    claims = parse_claims(docs)
+    opening = F.regexp_substr("text", F.lit(TRANSITION))
+    at = F.when(opening.isNotNull(), F.regexp_instr("text", F.lit(TRANSITION)) - 1 + F.length(opening)).otherwise(F.length(F.regexp_extract("text", r"^(\s*\d+\.)", 1)))
+    tail = claims.select("doc_id", "number", F.col("char_start").alias("claim_start"), (F.col("char_start") + at).cast("int").alias("base"), F.expr("text").substr(at + 1, F.length("text")).alias("text"))
+    rows = matches(tail, ";", ("doc_id", "number", "claim_start"), base="base")
+    lead = F.length(F.regexp_extract("rest", r"^[\s:]*(?i:(?:and|or)\b\s*)?", 0))
+    kept = F.regexp_replace(F.col("rest").substr(lead + 1, F.length("rest")), r"[ \n\t.,;]+$", "")
+    start = (F.col("at") + F.coalesce(F.length("found"), F.lit(0)) + lead).cast("int")
+    rows = rows.select("doc_id", "number", "claim_start", kept.alias("text"), start.alias("char_start")).where("text <> ''")
+    order = Window.partitionBy("doc_id", "number", "claim_start").orderBy("char_start")
+    return rows.select("doc_id", "number", (F.row_number().over(order) - 1).alias("index"), "text", "char_start", (F.col("char_start") + F.length("text")).cast("int").alias("char_end"))
 
 
 def parse_paragraphs(docs: DataFrame) -> DataFrame:
     """Numbered paragraphs of the description, or its lines after a heading if it has no numbers."""
-    return _rows(docs, _paragraphs, "label string, index int, text string, char_start int, char_end int")
+    parts = _parts(docs).select("doc_id", F.col("spec").alias("text"))
+    marked = matches(parts.where(F.col("text").rlike(PARAGRAPH)), PARAGRAPH).where("found is not null")
+    marked = marked.select("doc_id", F.col("found").alias("label"), (F.col("n") - 1).cast("int").alias("index"), _rtrim(F.concat("found", "rest")).alias("text"), F.col("at").alias("char_start"))
+    heading = F.split("text", SPEC_START, 2)
+    plain = parts.where(~F.col("text").rlike(PARAGRAPH)).withColumn("body", F.coalesce(F.get(heading, F.lit(1)), F.col("text")))
+    lines = matches(plain.withColumn("base", F.length("text") - F.length("body")), "\n", text="body", base="base").where("rest <> ''")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    lines = lines.select("doc_id", F.concat(F.lit("¶"), nth.cast("string")).alias("label"), (nth - 1).alias("index"), F.col("rest").alias("text"), (F.col("at") + F.coalesce(F.length("found"), F.lit(0))).cast("int").alias("char_start"))
+    return marked.union(lines).withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
 
 
 def figure_references(docs: DataFrame) -> DataFrame:
     """Figures referred to; letter ranges are spelled out, number ranges give their ends."""
-    return _rows(docs, _figure_refs, "fig string, char_start int, char_end int")
+    rows = matches(docs.select("doc_id", F.col("canonical_text").alias("text")), FIGURE_REF).where("found is not null")
+    g = [F.regexp_extract("found", FIGURE_REF, i) for i in range(6)]
+    first, last = F.ascii(F.upper(g[2])), F.ascii(F.upper(g[3]))
+    letters = F.when(first <= last, F.transform(F.sequence(first, last), lambda c: F.concat(g[1], F.chr(c)))).otherwise(F.array().cast("array<string>"))
+    ends = F.filter(F.array(g[4], g[5]), lambda x: x != "")
+    return rows.select("doc_id", F.explode(F.when(g[1] != "", letters).otherwise(ends)).alias("fig"), F.col("at").alias("char_start"), (F.col("at") + F.length("found")).cast("int").alias("char_end"))
+
+
+def parse_figures(docs: DataFrame) -> DataFrame:
+    """Figures with their captions: the first run of captions without wide gaps, each up to the next or to a period;
+    figures with a letter that are only referred to share their number's caption."""
+    texts = docs.select("doc_id", F.col("canonical_text").alias("text"))
+    rows = matches(texts, CAPTION).where("found is not null").withColumn("end", F.col("at") + F.length("found"))
+    order = Window.partitionBy("doc_id").orderBy("at")
+    fresh = F.coalesce(F.col("at") > F.lag("end").over(order) + CAPTION_GAP, F.lit(False)).cast("int")
+    rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).where("run = 0")
+    fig = F.regexp_replace(F.regexp_extract("found", CAPTION, 1), r"\s+", "")
+    rows = rows.select("doc_id", fig.alias("fig"), "at", "end", F.lead("at").over(order).alias("next"))
+    listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("fig", "at", "end", "next")).alias("c")).join(texts, "doc_id")
+    rows = listed.select("doc_id", "text", F.explode("c").alias("c")).select("doc_id", "c.*", "text")
+    stop = F.position(F.lit("."), F.col("text"), F.col("end") + 1)
+    until = F.coalesce("next", F.when(stop > 0, stop).otherwise(F.length("text")))
+    caption = F.regexp_replace(F.col("text").substr(F.col("at") + 1, until - F.col("at")), r"[ ;\n\t]+$", "")
+    named = rows.select("doc_id", "fig", caption.alias("caption"), F.col("at").cast("int").alias("char_start"))
+    named = named.withColumn("char_end", (F.col("char_start") + F.length("caption")).cast("int"))
+    stems = named.groupBy("doc_id", F.regexp_extract("fig", r"^(\d+)", 1).alias("stem")).agg(F.min_by("caption", "char_start").alias("caption"))
+    lettered = figure_references(docs).where(F.col("fig").rlike("[A-Za-z]$")).withColumn("key", F.upper("fig"))
+    first = lettered.groupBy("doc_id", "key").agg(F.min(F.struct("char_start", "char_end", "fig")).alias("m")).select("doc_id", "key", "m.*")
+    lost = first.join(named.select("doc_id", F.upper("fig").alias("key")).distinct(), ["doc_id", "key"], "left_anti").withColumn("stem", F.regexp_extract("fig", r"^(\d+)", 1))
+    shared = lost.join(stems, ["doc_id", "stem"], "left").select("doc_id", "fig", F.coalesce("caption", F.lit("")).alias("caption"), "char_start", "char_end")
+    return named.unionByName(shared)
 
 
 def dependency_issues(claims: DataFrame) -> DataFrame:
@@ -149,46 +163,23 @@ def support_map(docs: DataFrame, k: int = 5) -> DataFrame:
     return limits.select("query_id", "doc_id", "number", "index").join(hits, "query_id", "left").select("doc_id", "number", "index", "rank", "span_id", "score")
 
 
-CAPTION = re.compile(r"(?i)FIGS?\.?\s*(\d+\s*[A-Z]?)(?:\s*[-–]\s*\d*\s*[A-Z]?)?\s+(?:is|are|shows?|depicts?|illustrates?|comprises?|represents?)\b")
-CAPTION_GAP = 400
-
-
-def _figures(text: str) -> list[tuple]:
-    """Captions of the first run of captions; figures named only by a range share their number's caption."""
-    run: list[re.Match] = []
-    for m in CAPTION.finditer(text):
-        if run and m.start() > run[-1].end() + CAPTION_GAP:
-            break
-        run.append(m)
-    stop = text.find(".", run[-1].end()) + 1 if run else 0
-    ends = [m.start() for m in run[1:]] + [stop or len(text)]
-    out, named, by_number = [], set(), {}
-    for m, end in zip(run, ends, strict=False):
-        fig, caption = "".join(m[1].split()), text[m.start() : end].rstrip(" ;\n\t")
-        out.append((fig, caption, m.start(), m.start() + len(caption)))
-        named.add(fig.upper())
-        by_number.setdefault(re.match(r"\d+", fig)[0], caption)
-    for fig, lo, hi in _figure_refs(text):
-        if fig[-1].isalpha() and fig.upper() not in named:
-            named.add(fig.upper())
-            out.append((fig, by_number.get(re.match(r"\d+", fig)[0], ""), lo, hi))
-    return sorted(out, key=lambda r: (int(re.match(r"\d+", r[0])[0]), re.sub(r"^\d+", "", r[0])))
-
-
-def parse_figures(docs: DataFrame) -> DataFrame:
-    """Figures with their captions, in natural order."""
-    return _rows(docs, _figures, "fig string, caption string, char_start int, char_end int")
+def numeral_mentions(docs: DataFrame) -> DataFrame:
+    """Every label of a part recited before the claims, with the element it names: one scan of each text with a state,
+    in Arrow batches where the texts lie."""
+    schema = "doc_id string, label string, element string, char_start int, char_end int"
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def numeral_mentions(docs: DataFrame) -> DataFrame:
-    """Every label of a part recited before the claims, with the element it names."""
-    from veridoc.functions.nounphrase import mentions
+        from veridoc.functions.nounphrase import mentions
 
-    def run(text: str) -> list[tuple]:
-        marker = re.search(CLAIMS_MARKER, text)
-        return mentions(text[: marker.start()] if marker else text)
+        for batch in batches:
+            rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in mentions(t.as_py() or "")]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "label", "element", "char_start", "char_end"])
 
-    return _rows(docs, run, "label string, element string, char_start int, char_end int")
+    return docs.select("doc_id", _spec(F.col("canonical_text")).alias("spec")).mapInArrow(run, schema)
 
 
 def reference_numerals(mentioned: DataFrame) -> DataFrame:
@@ -197,6 +188,7 @@ def reference_numerals(mentioned: DataFrame) -> DataFrame:
     return mentioned.groupBy("doc_id", "label").agg(first.alias("m")).select("doc_id", "label", "m.element", "m.char_start", "m.char_end")
 
 
+# Numbered fields of a first page.
 INID = {"patent_number": r"(?m)\[11\]\s*(?:Patent Number:?)?\s*([\d,]+)", "date_of_patent": r"(?m)\[45\]\s*(?:Date of Patent:?)?\s*(.+)$", "application_number": r"(?m)\[21\]\s*(?:Appl\. No\.:?)?\s*([\d/,]+)", "filed": r"(?m)\[22\]\s*(?:Filed:?)?\s*(.+)$"}
 
 
