@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.operators.lineage import cut
+
 SAME_SPOT, FRAGMENT, CONFLICT, CONTAINED = 0.02, 0.025, 0.01, 0.03
 TEXT_WINDOW = 2000
 
@@ -48,27 +50,47 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str]
     return met.where((F.abs(F.col("x") - F.col("r_x")) < radius) & (F.abs(F.col("y") - F.col("r_y")) < radius))
 
 
-def merge_same_spot(marks: DataFrame, radius: float = SAME_SPOT) -> DataFrame:
-    """One mark for each label and spot: by falling confidence, a mark near a kept one of its label joins it.
+def first_come(items: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(item, kept) of items that keep their place in order: one is kept unless a kept one before it blocks it.
 
-    The order decides, so it isn't a closure; groups are the marks of one label on one page."""
-    fields = [f for f in marks.schema.fields]
-    names = [f.name for f in fields]
+    blocks: (item, by), where `by` comes before the item. An item is settled once all that could block it are, or one
+    of them is kept; rounds go by the longest chain of items that wait for one another, not by their number."""
+    waiting = cut(blocks.distinct())
+    settled = cut(items.select("item").distinct().join(waiting.select("item").distinct(), "item", "left_anti").withColumn("kept", F.lit(True)))
+    done, new = settled, settled
+    while not waiting.isEmpty():
+        met = waiting.join(new.withColumnRenamed("item", "by"), "by", "left")
+        gone = met.where("kept").select("item").distinct()
+        left = cut(met.where("kept is null").select("item", "by").join(gone, "item", "left_anti"))
+        freed = waiting.select("item").distinct().join(gone, "item", "left_anti").join(left.select("item").distinct(), "item", "left_anti")
+        new = cut(gone.withColumn("kept", F.lit(False)).union(freed.withColumn("kept", F.lit(True))))
+        if new.isEmpty():
+            raise ValueError("items block one another in a circle")
+        done, waiting = done.union(new), left
+    return done
 
-    def merged(pdf):
-        kept: list[dict] = []
-        for n in pdf.sort_values(["confidence", "mark_id"], ascending=[False, True]).to_dict("records"):
-            host = next((k for k in kept if abs(k["x"] - n["x"]) < radius and abs(k["y"] - n["y"]) < radius), None)
-            if host is None:
-                kept.append(n | {"engines": sorted(set(n["engines"])), "angles": sorted(set(n["angles"]))})
-            else:
-                host["engines"] = sorted({*host["engines"], *n["engines"]})
-                host["angles"] = sorted({*host["angles"], *n["angles"]})
-        import pandas as pd
 
-        return pd.DataFrame(kept, columns=names)
+def merge_same_spot(marks: DataFrame, radius: float = SAME_SPOT) -> DataFrame:
+    """One mark for each label and spot: by falling confidence, a mark near a kept one of its label joins the first such.
+
+    The order decides, so it isn't a closure. Only marks near one another meet."""
+    rows = cut(marks.withColumn("item", F.monotonically_increasing_id()))  # ids may be repeated
+    slim = rows.select("item", "mark_id", "page", "numeral", "confidence", "x", "y")
+    rank = lambda c, i, n: F.struct((-F.col(c)).alias("c"), F.col(i).alias("i"), F.col(n).alias("n"))
+    before = rank("r_confidence", "r_mark_id", "r_item")
+    near = near_pairs(slim, slim, radius, ["page", "numeral"]).where(before < rank("confidence", "mark_id", "item"))
+    near = cut(near.select("item", F.col("r_item").alias("by"), before.alias("rank")))
+    kept = cut(first_come(slim, near.select("item", "by")))
+    hosts = near.join(kept.where("kept").select(F.col("item").alias("by")), "by", "left_semi").groupBy("item").agg(F.min_by("by", "rank").alias("host"))
+    lost = rows.join(kept.where("not kept"), "item", "left_semi").join(hosts, "item")
+    joined = lost.groupBy(F.col("host").alias("item")).agg(F.flatten(F.collect_list("engines")).alias("more_engines"), F.flatten(F.collect_list("angles")).alias("more_angles"))
+    rows = rows.join(kept.where("kept"), "item", "left_semi").join(joined, "item", "left")
 
-    return marks.groupBy("page", "numeral").applyInPandas(merged, marks.schema)
+    def every(own: str, more: str) -> Column:
+        return F.array_sort(F.array_distinct(F.concat(own, F.coalesce(more, F.slice(own, 1, 0)))))
+
+    new = {"engines": every("engines", "more_engines"), "angles": every("angles", "more_angles")}
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in marks.columns])
 
 
 def drop_strobogrammatic_twins(marks: DataFrame, radius: float = SAME_SPOT) -> DataFrame:
@@ -197,17 +219,11 @@ def fragments(hits: DataFrame, records: DataFrame, radius: float = FRAGMENT) ->
 
 def drop_fragment_hits(hits: DataFrame, radius: float = CONTAINED) -> DataFrame:
     """Hits without those contained in a longer kept one at their spot; longer labels come first, so order decides."""
-    def kept(pdf):
-        import pandas as pd
-
-        out: list[dict] = []
-        for h in sorted(pdf.to_dict("records"), key=lambda h: (-len(h["numeral"]), h["hit_id"])):
-            short = h["numeral"].lower()
-            if not any(short != k["numeral"].lower() and short in k["numeral"].lower() and abs(k["x"] - h["x"]) < radius and abs(k["y"] - h["y"]) < radius for k in out):
-                out.append(h)
-        return pd.DataFrame(out, columns=list(pdf.columns))
-
-    return hits.groupBy("page").applyInPandas(kept, hits.schema)
+    rows = cut(hits.withColumn("item", F.monotonically_increasing_id()))  # ids may be repeated
+    low = rows.select("item", "page", F.lower("numeral").alias("low"), "x", "y")
+    met = near_pairs(low, low, radius, ["page"]).where((F.length("r_low") > F.length("low")) & F.contains("r_low", "low"))
+    kept = first_come(low, met.select("item", F.col("r_item").alias("by")))
+    return rows.join(kept.where("kept"), "item", "left_semi").select(*hits.columns)
 
 
 def letters_read(observations: DataFrame, markers: DataFrame, marks: DataFrame, header: float = 0.88) -> DataFrame:

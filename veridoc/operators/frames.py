@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import STOPWORDS, collapse, tokenize
+from veridoc.operators.lineage import cut
+from veridoc.operators.spans import matches
 
 # Addressable units, cue words, words a document has no reason to contain, rulings, second questions.
 LOCATOR = r"(?i)\b((?:claim|section|paragraph|article|clause)\s+[0-9]{1,3}[a-zA-Z]?(?:\([a-z0-9]+\))?)"
@@ -41,12 +43,14 @@ def ancestors(units: DataFrame, rounds: int = 64) -> DataFrame:
     """
     last = Window.partitionBy("doc_id", "name").orderBy(F.desc("char_start"), F.desc("char_end"), F.desc("parent"))
     once = units.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
+    once = cut(once)
     step = once.select("doc_id", "name", F.lit(0).alias("depth"), F.col("name").alias("ancestor"), "char_start", "char_end", "parent", F.array("name").alias("seen"))
     out = step
     for depth in range(1, rounds):
         up = once.select("doc_id", F.col("name").alias("ancestor"), F.col("char_start").alias("s"), F.col("char_end").alias("e"), F.col("parent").alias("p"))
         step = step.drop("ancestor").withColumnRenamed("parent", "ancestor").where(F.col("ancestor").isNotNull() & ~F.array_contains("seen", F.col("ancestor"))).join(up, ["doc_id", "ancestor"])
         step = step.select("doc_id", "name", F.lit(depth).alias("depth"), "ancestor", F.col("s").alias("char_start"), F.col("e").alias("char_end"), F.col("p").alias("parent"), F.concat("seen", F.array("ancestor")).alias("seen"))
+        step = cut(step)
         if step.isEmpty():
             break
         out = out.union(step)
@@ -81,12 +85,9 @@ def lint(questions: DataFrame, vocabulary: DataFrame, units: DataFrame | None =
 
 
 def cue_offsets(texts: DataFrame, cues: tuple[str, ...] = DENIAL_CUES) -> DataFrame:
-    """(id, cue, cue_start) of every cue word; offsets are sums of the lengths of what lies between cues."""
+    """(id, cue, cue_start) of every cue word."""
     shape = r"(?i)\b(?:" + "|".join(cues) + r")\b"
-    parts, found = F.split("text", shape), F.regexp_extract_all(F.lower("text"), F.lit(shape), 0)
-    rows = texts.select("id", F.posexplode(found).alias("n", "cue"), parts.alias("parts"), found.alias("found"))
-    before = F.aggregate(F.slice("parts", 1, F.col("n") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("found", 1, F.col("n")), F.lit(0), lambda a, x: a + F.length(x))
-    return rows.select("id", "cue", before.alias("cue_start"))
+    return matches(texts, shape, ("id",)).where("found is not null").select("id", F.lower("found").alias("cue"), F.col("at").alias("cue_start"))
 
 
 def denial_cue_hits(texts: DataFrame, atoms: DataFrame, window: int = CUE_WINDOW) -> DataFrame:

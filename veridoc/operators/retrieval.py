@@ -7,48 +7,72 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import featurize
+from veridoc.functions.text import TOKEN, featurize
+from veridoc.operators.lineage import cut
 
 K1, B = 1.5, 0.75
 #: Query terms up to which the query side of the join is broadcast.
-BROADCAST_TERMS = 1_000_000
+BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, span_id, tf, dl, scope), idf per scope and term, and size and mean length of each scope."""
+    """Features of spans (scope, span_id, dl, f) and size and mean length of each scope. Postings (scope, term, span_id,
+    dl, tf) and idf (scope, term, idf) are made of them, of all terms or of those asked for."""
 
-    postings: DataFrame
-    idf: DataFrame
+    features: DataFrame
     stats: DataFrame
+    scoped: bool
+
+    def postings_of(self, asked: DataFrame | None = None) -> DataFrame:
+        """Postings; `asked` (scope, term) picks terms before anything is shuffled."""
+        rows = self.features.select("scope", "span_id", "dl", F.explode("f").alias("term"))
+        rows = rows if asked is None else rows.join(asked, ["scope", "term"], "left_semi")
+        return rows.groupBy("scope", "term", "span_id", "dl").agg(F.count("*").alias("tf"))
+
+    def idf_of(self, postings: DataFrame) -> DataFrame:
+        df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return df.join(self.sizes, "scope").select("scope", "term", weight.alias("idf"))
+
+    @property
+    def sizes(self) -> DataFrame:
+        return self.stats if self.scoped else F.broadcast(self.stats)  # one row without scopes
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.postings_of()
+
+    @property
+    def idf(self) -> DataFrame:
+        return self.idf_of(self.postings)
 
 
 def build_index(spans: DataFrame, *, scope: str | None = None, max_dl: float | None = None) -> Index:
     """Index the features of spans (span_id, text). Statistics belong to a scope: all spans, or those of one value
     of the column `scope`. max_dl caps a span's length at so many mean lengths when it is scored."""
-    scoped = spans.select("span_id", (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), featurize(F.col("text")).alias("f"))
-    sized = scoped.select("span_id", "scope", F.size("f").alias("dl"), "f")
-    stats = sized.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("scope", "span_id", "dl", F.explode("f").alias("term")).groupBy("scope", "term", "span_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(F.broadcast(stats) if scope is None else stats, "scope").select("scope", "term", weight.alias("idf"))
+    named = (F.col(scope).cast("string") if scope else F.lit("")).alias("scope")
+    # tokens and the pairs of neighbours among them
+    n = F.regexp_count(F.lower("text"), F.lit(TOKEN))
+    length = F.greatest(F.lit(0), 2 * n - 1)
+    stats = spans.select(named, length.alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = spans.select(named, "span_id", featurize(F.col("text")).alias("f")).withColumn("dl", F.size("f"))
     if max_dl is not None:
-        tf = tf.join(F.broadcast(stats) if scope is None else stats, "scope").withColumn("dl", F.least(F.col("dl"), max_dl * F.col("avgdl"))).select("scope", "term", "span_id", "dl", "tf")
-    return Index(tf, idf, stats)
+        rows = rows.join(stats if scope else F.broadcast(stats), "scope").withColumn("dl", F.least(F.col("dl"), max_dl * F.col("avgdl")))
+    return Index(rows.select("scope", "span_id", "dl", "f"), stats, scope is not None)
 
 
 def score(index: Index, queries: DataFrame, *, query_id: str = "query_id", query: str = "query", scope: str | None = None, as_query: bool = True) -> DataFrame:
     """(query_id, span_id, score) of every span that shares a term with a query; repeated query terms count again.
 
-    Only postings of the queries' terms are touched: the query side is broadcast if it is small, else shuffled.
+    Only postings of the queries' terms are made: the terms are broadcast if they are few, else shuffled.
     """
     keep = [F.col(query_id).alias("query_id"), (F.col(scope).cast("string") if scope else F.lit("")).alias("scope")]
     terms = queries.select(*keep, F.explode(featurize(F.col(query), as_query)).alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf"))
-    terms = terms.join(index.idf, ["scope", "term"])
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    hits = index.postings.join(terms, ["scope", "term"]).join(index.stats if scope else F.broadcast(index.stats), "scope")
+    terms = cut(terms)
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
+    postings = cut(index.postings_of(few(terms.select("scope", "term").distinct())))
+    hits = postings.join(index.idf_of(postings), ["scope", "term"]).join(few(terms), ["scope", "term"]).join(index.sizes, "scope")
     bottom = F.when(F.col("avgdl") > 0, F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).otherwise(F.lit(1.0))
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / bottom
     return hits.groupBy("query_id", "span_id").agg(F.sum(gain).alias("score"))

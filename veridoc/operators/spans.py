@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import collapse, content_hash, strip
@@ -25,19 +25,38 @@ def verified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("canonical_text", F.when(good, F.col("canonical_text")).otherwise(wrong.cast("string")))
 
 
-def _line_starts(lines: Column) -> Column:
-    """Offset of every line of an array of lines, in one pass where the text lies."""
+def matches(texts: DataFrame, shape: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", base: str | None = None) -> DataFrame:
+    """(keys, n, found, rest, at) of every match of a pattern: the match, the text between it and the next one, and its
+    offset, counted from the column `base`. Row 0 is the text before the first match and has no match.
+
+    A text is split by the pattern; offsets are running sums of the lengths of the pieces."""
+    pieces, found = F.split(text, shape, -1), F.regexp_extract_all(text, F.lit(shape), 0)
+    found = F.concat(F.array(F.lit(None).cast("string")), found)
+    rows = texts.select(*keys, (F.col(base) if base else F.lit(0)).alias("base"), F.posexplode(F.arrays_zip(found.alias("found"), pieces.alias("rest"))).alias("n", "m"))
+    rows = rows.select(*keys, "n", "base", F.col("m")["found"].alias("found"), F.col("m")["rest"].alias("rest"))
+    before = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.length("found"), F.lit(0)) + F.length("rest")
+    return rows.withColumn("at", (F.col("base") + F.coalesce(F.sum(size).over(before), F.lit(0))).cast("int")).drop("base")
+
+
+#: Lines up to which a document's offsets are folded where it lies; those of longer ones are running sums.
+FOLDED = 512
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, at) of every line with its offset."""
+    rows = docs.select("doc_id", F.split("canonical_text", "\n").alias("lines"))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    done = F.aggregate(lines, state, lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))
-    return done["starts"]
+    starts = F.aggregate("lines", state, lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))["starts"]
+    folded = rows.where(F.size("lines") <= FOLDED).select("doc_id", F.inline(F.arrays_zip(F.col("lines").alias("line"), starts.alias("at"))))
+    long = docs.where(F.size(F.split("canonical_text", "\n")) > FOLDED).select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("canonical_text").alias("text"))
+    summed = matches(long, "\n", ("doc_id", "row")).select("doc_id", F.col("rest").alias("line"), (F.col("at") + F.coalesce(F.length("found"), F.lit(0))).cast("int").alias("at"))
+    return folded.union(summed)
 
 
 def chunk(docs: DataFrame) -> DataFrame:
     """Spans (span_id, doc_id, char_start, char_end, text): one per line with a letter or digit, ends stripped."""
-    lines = F.split("canonical_text", "\n")
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(lines.alias("line"), _line_starts(lines).alias("at"))).alias("n", "l"))
-    line = F.col("l")["line"]
-    rows = rows.select("doc_id", line.alias("line"), F.col("l")["at"].alias("at"), strip(line).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    rows = _lines(docs).select("doc_id", "line", "at", strip(F.col("line")).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     lead = F.length(F.regexp_extract("line", r"^([\s\p{Z}]*)", 1))
     start = (F.col("at") + lead).cast("int")
     end = (start + F.length("text")).cast("int")

@@ -57,9 +57,23 @@ def calibration_summary(items: DataFrame) -> DataFrame:
 
 
 def corpus_hash(docs: DataFrame) -> DataFrame:
-    """One row `corpus_hash`: SHA-256 of the sorted lines doc_id:content_hash."""
-    lines = F.array_sort(F.collect_list(F.struct("doc_id", "content_hash")))
-    return docs.agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["doc_id"], F.lit(":"), x["content_hash"])), "\n"), 256).alias("corpus_hash"))
+    """One row `corpus_hash`: SHA-256 of the sorted lines doc_id:content_hash.
+
+    The hash has to see the lines in order, so one task streams them from a sort; it holds a batch at a time."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        hashed, first = hashlib.sha256(), True
+        for batch in batches:
+            for doc, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashed.update(("" if first else "\n").encode() + f"{doc}:{digest}".encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([hashed.hexdigest()])], names=["corpus_hash"])
+
+    return docs.select("doc_id", "content_hash").repartition(1).sortWithinPartitions("doc_id", "content_hash").mapInArrow(run, "corpus_hash string")
 
 
 def floor_state(has_record: Column, same_corpus: Column, separable: Column) -> Column:
