@@ -276,3 +276,34 @@ def test_log_stream(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert {(r.kind, r.n, r.broken) for r in spark.table("counted").collect()} == {("verify", 2, 0), ("edited", 1, 1)}
+
+
+def test_greedy_choices_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(150), 1, rng.choice(["12", "112", "1123", "3"]), round(rng.random(), 2), rng.random() / 5, rng.random() / 5, 0.01, 0.01, [rng.choice("abc")], [rng.choice([0, 90])]) for _ in range(200)]
+    marks = spark.createDataFrame(rows, "mark_id long, page int, numeral string, confidence double, x double, y double, w double, h double, engines array<string>, angles array<int>")
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[0])):
+        host = next((k for k in kept if k[2] == r[2] and abs(k[4] - r[4]) < 0.02 and abs(k[5] - r[5]) < 0.02), None)
+        if host is None:
+            kept.append([*r[:8], set(r[8]), set(r[9])])
+        else:
+            host[8].update(r[8])
+            host[9].update(r[9])
+    got = figures.merge_same_spot(marks).collect()
+    assert sorted((r.mark_id, r.x, tuple(r.engines), tuple(r.angles)) for r in got) == sorted((k[0], k[4], tuple(sorted(k[8])), tuple(sorted(k[9]))) for k in kept)
+    longest: list = []
+    for r in sorted(rows, key=lambda r: -len(r[2])):
+        if not any(r[2] != k[2] and r[2] in k[2] and abs(k[4] - r[4]) < 0.03 and abs(k[5] - r[5]) < 0.03 for k in longest):
+            longest.append(r)
+    hits = figures.drop_fragment_hits(marks.withColumnRenamed("mark_id", "hit_id").select("hit_id", "page", "numeral", "x", "y"))
+    assert sorted((r.hit_id, r.x) for r in hits.collect()) == sorted((r[0], r[4]) for r in longest)
+
+
+def test_offsets_of_long_documents(spark):
+    text = "\n".join(f"line {i} " for i in range(2000))
+    docs = spans.make_documents(spark.createDataFrame([("d", text), ("d", "a\n\nb")], "doc_id string, text string"))
+    got = spans.chunk(docs).collect()
+    assert len(got) == 2002 and all(r.text == (text if r.text.startswith("line") else "a\n\nb")[r.char_start : r.char_end] for r in got)

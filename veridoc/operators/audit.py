@@ -108,3 +108,44 @@ def interactions(log: DataFrame) -> DataFrame:
     shown = (F.col("kind") == "verify") & F.coalesce("ok", F.lit(False))
     question = F.when(declined, F.coalesce("last_query", F.lit("(question not in log)"))).otherwise(F.when(F.col("last_query").isNotNull(), F.concat(F.lit("(nearest query) "), F.col("last_query"))).otherwise("(question not in log)"))
     return rows.where(declined | shown).select("seq", "session", F.when(declined, "abstain").otherwise("answer").alias("outcome"), question.alias("question"))
+
+
+def session_start_record(label: Column) -> Column:
+    return F.to_json(F.struct(F.lit("session_start").alias("kind"), label.alias("label")))
+
+
+def support_record(kind: str, query: Column, status: Column, supporting: Column, closest: Column, threshold: float, retrieval: str = "bm25", contract: str = "1") -> Column:
+    """Payload of a support decision; supporting and closest are arrays of (span_id, score), scores to six decimals."""
+    scored = lambda hits: F.transform(hits, lambda h: F.struct(h["span_id"].alias("span_id"), F.round(h["score"], 6).alias("score")))
+    provenance = F.struct(F.lit(contract).alias("contract"), F.lit(retrieval).alias("retrieval"), F.lit(float(threshold)).alias("threshold"))
+    return F.to_json(F.struct(F.lit(kind).alias("kind"), query.alias("query"), status.alias("status"), scored(supporting).alias("supporting"), scored(closest).alias("closest"), provenance.alias("provenance")))
+
+
+def verify_record(answer: Column, ok: Column, unbound: Column, contract: str = "1") -> Column:
+    """Payload of a verification: the answer as JSON text, whether it holds and what is unbound."""
+    return F.to_json(F.struct(F.lit("verify").alias("kind"), answer.alias("answer"), ok.alias("ok"), unbound.alias("unbound"), F.struct(F.lit(contract).alias("contract")).alias("provenance")))
+
+
+_SUPPORT = "struct<kind:string,query:string,status:string,closest:array<struct<span_id:string,score:double>>>"
+
+
+def rejected_candidates(log: DataFrame) -> DataFrame:
+    """(seq, query, span_id, score) of the closest spans of logged decisions (seq, payload) that were declined."""
+    rows = log.select("seq", F.from_json("payload", _SUPPORT).alias("p")).where(F.col("p.kind").isin("check_support", "check_claim"))
+    return rows.select("seq", "p.query", F.explode("p.closest").alias("c")).select("seq", "query", "c.span_id", "c.score")
+
+
+def outcome_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def excluded_numerals(readings: DataFrame) -> DataFrame:
+    """Labels whose last reading (seq, amb_id, label, reading) is 'measurement only'."""
+    last = readings.groupBy("amb_id").agg(F.max_by(F.struct("label", "reading"), "seq").alias("r"))
+    return last.where("r.reading = 'measurement only'").select("r.label").distinct()
+
+
+def withheld(interactions: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """interactions (answer_id, kind) verified again: a cited one that no longer holds becomes 'unverified'."""
+    rows = interactions.join(verdicts.select("answer_id", "ok"), "answer_id", "left")
+    return rows.withColumn("kind", F.when(F.col("ok"), F.col("kind")).when(F.col("kind") == "answer", "unverified").otherwise(F.col("kind"))).drop("ok")

@@ -242,3 +242,94 @@ def numeral_coverage(text_labels: DataFrame, tied: DataFrame, drawn: DataFrame)
     extra = seen.join(text_labels.select("label").distinct(), "label", "left_anti").select("label", F.lit("drawn-not-recited").alias("kind"))
     other = tied.join(seen, "label", "left_semi").join(drawn, ["label", "fig"], "left_anti").select("label", F.lit("figure-mismatch").alias("kind")).distinct()
     return missed.union(extra).union(other)
+
+
+def sightings(marks: DataFrame, floor: float = 0.0) -> DataFrame:
+    """(numeral, page, confidence, rank) of marks at or above a confidence, in order of page and natural label."""
+    number = F.regexp_extract("numeral", r"^(\d+)", 1).try_cast("int")
+    order = Window.partitionBy("page").orderBy(number.isNull(), number, "numeral", F.desc("confidence"), "mark_id")
+    return marks.where(F.coalesce("confidence", F.lit(1.0)) >= floor).select("mark_id", "numeral", "page", "confidence", F.row_number().over(order).alias("rank"))
+
+
+def numeral_issues(elements: DataFrame, seen: DataFrame) -> DataFrame:
+    """(kind, numeral, detail): labels recited (label, element) but seen nowhere, and sightings that no text recites."""
+    lost = elements.join(seen.select(F.col("numeral").alias("label")).distinct(), "label", "left_anti")
+    extra = seen.join(elements.select(F.col("label").alias("numeral")).distinct(), "numeral", "left_anti")
+    lost = lost.select(F.lit("recited-not-located").alias("kind"), F.col("label").alias("numeral"), F.col("element").alias("detail"))
+    return lost.union(extra.select(F.lit("located-not-recited"), "numeral", F.concat(F.lit("page "), F.col("page").cast("string"))))
+
+
+def label_shape(label: Column) -> Column:
+    """A pattern for a label that stands by itself: no part of a number, an amount or a longer label."""
+    return F.concat(F.lit(r"(?<![\w.,$])"), label, F.lit(r"(?![\w])(?!\.\d)(?!,\d{3})"))
+
+
+def relevant_figures(cited: DataFrame, assignments: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+    """(answer_id, fig) to show beside cited spans (answer_id, text): assigned figures that they name, and those of the
+    sheets where labels (known: label) that they recite were seen. Of several figures of a sheet the last counts."""
+    named = cited.select("answer_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)FIGS?\.?\s*(\d+[A-Z]?)"), 1)).alias("fig")).select("answer_id", F.upper("fig").alias("fig"))
+    named = named.join(assignments.select("fig").distinct(), "fig", "left_semi")
+    # words of a span that are labels, tested for standing alone only where they are known
+    words = cited.select("answer_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1))).alias("label"))
+    words = words.join(known.select("label").distinct(), "label", "left_semi").where(F.regexp_like("text", label_shape(F.col("label"))))
+    sheet = assignments.groupBy("page").agg(F.max("fig").alias("fig"))
+    drawn = words.join(seen.select(F.col("numeral").alias("label"), "page").distinct(), "label").join(sheet, "page")
+    return named.select("answer_id", "fig").union(drawn.select("answer_id", "fig")).distinct()
+
+
+def view_markers(figs: DataFrame) -> DataFrame:
+    """Letters (marker) that sub-figures (fig) end in: they mark views on the drawing they are taken of."""
+    return figs.where(F.length("fig") > 1).select(F.upper(F.regexp_extract("fig", r"([A-Za-z])$", 1)).alias("marker")).where("marker <> ''").distinct()
+
+
+def sub_figure_parents(docs: DataFrame, refs: DataFrame, reach: int = 400) -> DataFrame:
+    """(doc_id, base, parent): the first other figure that the sentence of a family's first reference names after it.
+
+    refs: doc_id, fig, char_start, char_end. A sentence ends at a semicolon or period (not of FIG.) or after `reach`."""
+    family = refs.where(F.col("fig").rlike(r"^\d+[A-Za-z]+$")).withColumn("base", F.regexp_extract("fig", r"^(\d+)", 1))
+    first = family.groupBy("doc_id", "base").agg(F.min(F.struct("char_start", "char_end")).alias("m")).select("doc_id", "base", "m.*")
+    after = F.col("canonical_text").substr(F.col("char_end") + 1, F.lit(reach))
+    stop = F.regexp_instr(after, F.lit(r";|(?<!FIG)(?<!FIGS)\.\s"))
+    ended = first.join(docs.select("doc_id", "canonical_text"), "doc_id").select("doc_id", "base", "char_start", (F.col("char_end") + F.when(stop > 0, stop - 1).otherwise(F.lit(reach))).alias("until"))
+    other = refs.select("doc_id", "fig", F.col("char_start").alias("at"))
+    inside = ended.join(other, "doc_id").where((F.col("at") > F.col("char_start")) & (F.col("at") <= F.col("until")) & ~F.startswith("fig", F.col("base")))
+    return inside.groupBy("doc_id", "base").agg(F.min_by("fig", F.struct("at", "fig")).alias("parent"))
+
+
+def apply_judgments(marks: DataFrame, judgments: DataFrame, radius: float = SAME_SPOT) -> DataFrame:
+    """(page, numeral, x, y, method, source) of marks after judgments (seq, kind, page, numeral, x, y, new_numeral) in order.
+
+    REFUTE takes away the marks of its label at its spot that are there by then, CONFIRM adds one, CORRECT does both, the
+    added one under its new label. So a mark stays if no later judgment than the one that added it takes it away."""
+    own = marks.select("page", "numeral", "x", "y", F.lit(-1).cast("long").alias("born"), F.lit("read").alias("method"), F.col("mark_id").alias("source"))
+    new = judgments.where(F.col("kind").isin("CONFIRM", "CORRECT"))
+    label = F.when(F.col("kind") == "CORRECT", F.coalesce("new_numeral", "numeral")).otherwise(F.col("numeral"))
+    added = new.select("page", label.alias("numeral"), "x", "y", F.col("seq").cast("long").alias("born"), F.lit("human").alias("method"), F.col("seq").alias("source"))
+    every = own.unionByName(added)
+    takes = judgments.where(F.col("kind").isin("REFUTE", "CORRECT")).select("page", "numeral", "x", "y", "seq")
+    gone = near_pairs(every, takes, radius, ["page", "numeral"]).where("r_seq > born").select("method", "source").distinct()
+    return every.join(gone, ["method", "source"], "left_anti").select("page", "numeral", "x", "y", "method", "source")
+
+
+def confirm_targets(predicted: DataFrame, located: DataFrame) -> DataFrame:
+    """Predicted (label, page) that no mark has located: what a second look is for."""
+    return predicted.select("label", "page").distinct().join(located.select(F.col("numeral").alias("label"), "page").distinct(), ["label", "page"], "left_anti")
+
+
+def sheet_audit(candidates: DataFrame, marks: DataFrame, radius: float = SAME_SPOT) -> DataFrame:
+    """Candidates (cand_id, page, numeral, x, y, engines) without a mark of their label near, and whether engines agree."""
+    met = near_pairs(candidates, marks.select("page", "numeral", "x", "y"), radius, ["page", "numeral"]).select("cand_id").distinct()
+    return candidates.join(met, "cand_id", "left_anti").select("cand_id", "page", "numeral", (F.size(F.array_distinct("engines")) > 1).alias("corroborated"))
+
+
+def likely_misreads(tied: DataFrame, seen: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(numeral, kind, reading): labels seen but not tied to text that become tied with a and 0 exchanged, and numbers
+    at one spot of which just one is tied to text, else `unresolved`. tied: label; seen: numeral; conflicts: numeral_a, numeral_b."""
+    known = tied.select(F.col("label").alias("reading")).distinct()
+    strange = seen.select("numeral").distinct().join(known.withColumnRenamed("reading", "numeral"), "numeral", "left_anti")
+    swapped = F.explode(F.array_distinct(F.array(F.regexp_replace("numeral", "a$", "0"), F.regexp_replace("numeral", "0$", "a"))))
+    confused = strange.select("numeral", swapped.alias("reading")).where("numeral <> reading").join(known, "reading", "left_semi").select("numeral", F.lit("confusion").alias("kind"), "reading")
+    pairs = conflicts.select(F.least("numeral_a", "numeral_b").alias("a"), F.greatest("numeral_a", "numeral_b").alias("b")).distinct()
+    pairs = pairs.join(known.select(F.col("reading").alias("a"), F.lit(True).alias("has_a")), "a", "left").join(known.select(F.col("reading").alias("b"), F.lit(True).alias("has_b")), "b", "left")
+    to = F.when(F.col("has_a").isNotNull() & F.col("has_b").isNull(), F.col("a")).when(F.col("has_b").isNotNull() & F.col("has_a").isNull(), F.col("b")).otherwise("unresolved")
+    return confused.union(pairs.select(F.concat_ws("/", "a", "b"), F.lit("conflict"), to))

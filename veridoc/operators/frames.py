@@ -100,3 +100,62 @@ def denial_cue_hits(texts: DataFrame, atoms: DataFrame, window: int = CUE_WINDOW
     hits = cues.join(near, ["id", "block"]).withColumn("distance", F.abs(F.col("cue_start") - F.col("atom_start"))).where(F.col("distance") <= window)
     best = F.min(F.struct("distance", "atom_start"))
     return hits.groupBy("id", "cue", "cue_start").agg(best.alias("b")).select("id", "cue", "cue_start", "b.atom_start", "b.distance")
+
+
+def cited_atoms(answers: DataFrame) -> DataFrame:
+    """(answer_id, s, ord, doc_id, char_start, char_end) of the atoms of every sentence and then its operands."""
+    sents = answers.select("answer_id", F.posexplode("sentences").alias("s", "sent"))
+    none = F.slice("sent.atoms", 1, 0)
+    operands = F.flatten(F.transform("sent.derived", lambda d: d["operands"]))
+    rows = sents.select("answer_id", "s", F.posexplode(F.concat(F.coalesce("sent.atoms", none), F.coalesce(operands, none))).alias("ord", "a"))
+    return rows.select("answer_id", "s", "ord", "a.doc_id", "a.char_start", "a.char_end")
+
+
+def answer_coverage(answers: DataFrame, constraints: DataFrame, spans: DataFrame, units: DataFrame) -> DataFrame:
+    """constraints (answer_id, role, text, required) with `covered`, judged by what the answer cites: the spans that hold
+    its atoms and operands, in order, and for locators whether one of them lies in the unit or one it incorporates."""
+    from veridoc.operators.spans import containing_spans
+
+    atoms = cited_atoms(answers)
+    held = containing_spans(spans, atoms.select("doc_id", F.col("char_start").alias("pos")).distinct())
+    cited = atoms.join(held.select("doc_id", F.col("pos").alias("char_start"), F.col("span_text").alias("text")), ["doc_id", "char_start"])
+    cited = cited.select("answer_id", F.struct("s", "ord").alias("ord"), "text")
+    words = coverage(constraints, cited)
+    asked = constraints.where("role = 'locator'").withColumn("name", parse_locator(F.col("text")))
+    where = atoms.select("answer_id", "doc_id", F.col("char_start").alias("pos")).distinct().join(asked.select("answer_id", "name").distinct(), "answer_id")
+    inside = check_scope(where.select(F.col("answer_id").alias("cite_id"), "doc_id", "name", "pos"), ancestors(units)).groupBy(F.col("cite_id").alias("answer_id"), "name").agg(F.bool_or("in_unit").alias("in_unit"))
+    located = asked.join(inside, ["answer_id", "name"], "left").select(*constraints.columns, (F.coalesce("in_unit", F.lit(False)) | ~F.col("required")).alias("covered"))
+    return words.unionByName(located)
+
+
+def claim_units(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Claims of documents whose kind (doc_id, kind) is patent as units (doc_id, name, parent, char_start, char_end); other
+    documents have none, so a locator into them isn't resolved."""
+    from veridoc.operators.patents import parse_claims
+
+    named = lambda n: F.concat(F.lit("claim "), F.col(n).cast("string"))
+    patents = docs.join(kinds.where("kind = 'patent'").select("doc_id").distinct(), "doc_id", "left_semi")
+    return parse_claims(patents).select("doc_id", named("number").alias("name"), F.when(F.col("depends_on").isNotNull(), named("depends_on")).alias("parent"), "char_start", "char_end")
+
+
+def cue_notes(answers: DataFrame, spans: DataFrame, window: int = CUE_WINDOW) -> DataFrame:
+    """(answer_id, cue): denial cues near an atom or operand in the span that holds it; they block nothing."""
+    from veridoc.operators.spans import containing_spans
+
+    atoms = cited_atoms(answers)
+    held = containing_spans(spans, atoms.select("doc_id", F.col("char_start").alias("pos")).distinct()).where("span_id is not null")
+    texts = held.select(F.col("span_id").alias("id"), F.col("span_text").alias("text")).distinct()
+    placed = held.select(F.col("span_id").alias("id"), "doc_id", "pos", (F.col("pos") - F.col("char_start")).alias("atom_start"))
+    # every atom near a cue counts, not only the nearest
+    near = cue_offsets(texts).withColumn("block", F.floor(F.col("cue_start") / window))
+    listed = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("atom_start") / window) - 1, F.floor(F.col("atom_start") / window) + 1)))
+    hits = near.join(listed, ["id", "block"]).where(F.abs(F.col("cue_start") - F.col("atom_start")) <= window).select("doc_id", F.col("pos").alias("char_start"), "cue").distinct()
+    return atoms.join(hits, ["doc_id", "char_start"]).select("answer_id", "cue").distinct()
+
+
+def cue_census(texts: DataFrame, figure: str = r"[0-9][0-9,.%]*", window: int = CUE_WINDOW) -> DataFrame:
+    """(cue, n, near_figures): how often cues occur, and how often a figure is near."""
+    cues = cue_offsets(texts)
+    figures = matches(texts, figure, ("id",)).where("found is not null").select("id", F.col("at").alias("atom_start"))
+    hits = denial_cue_hits(texts, figures, window).groupBy("cue").agg(F.count("*").alias("near_figures"))
+    return cues.groupBy("cue").agg(F.count("*").alias("n")).join(hits, "cue", "left").select("cue", "n", F.coalesce("near_figures", F.lit(0)).cast("long").alias("near_figures"))

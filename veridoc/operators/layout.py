@@ -48,3 +48,30 @@ def review_queue(found: DataFrame, adjudicated: DataFrame) -> DataFrame:
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in QUEUE.items() for x in kv]), F.col("kind"))
     rows = found.distinct().withColumns({"rank": rank, "item_id": F.concat_ws(":", "kind", "label")})
     return rows.join(adjudicated.select("item_id"), "item_id", "left_anti").select("rank", "kind", "label")
+
+
+def first_sightings(seen: DataFrame) -> DataFrame:
+    """(numeral, page, x, y): where each label was seen first, by page and place from the top left."""
+    first = F.min(F.struct("page", (-F.col("y")).alias("down"), "x", "mark_id"))
+    return seen.groupBy("numeral").agg(first.alias("f")).select("numeral", "f.page", "f.x", (-F.col("f.down")).alias("y"))
+
+
+def kind_counts(queue: DataFrame) -> DataFrame:
+    return queue.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def segment_at(painted: DataFrame, points: DataFrame, width: int = 1024) -> DataFrame:
+    """points (doc_id, pos) with seg_id, 'doc:start' of the painted segment that holds them, empty without one."""
+    blocks = F.explode(F.sequence(F.floor(F.col("char_start") / width), F.floor((F.col("char_end") - 1) / width)))
+    listed = painted.select("doc_id", "char_start", "char_end", blocks.alias("block"))
+    hit = points.withColumn("block", F.floor(F.col("pos") / width)).join(listed, ["doc_id", "block"], "left")
+    inside = (F.col("char_start") <= F.col("pos")) & (F.col("pos") < F.col("char_end"))
+    at = F.min(F.when(inside, F.col("char_start")))
+    return hit.groupBy("doc_id", "pos").agg(at.alias("s")).select("doc_id", "pos", F.when(F.col("s").isNull(), "").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("s").cast("string"))).alias("seg_id"))
+
+
+def attached_labels(mentions: DataFrame, cited: DataFrame, width: int = 1024) -> DataFrame:
+    """(doc_id, label) of mentions (doc_id, label, pos) that lie in a cited range (doc_id, char_start, char_end)."""
+    blocks = F.explode(F.sequence(F.floor(F.col("char_start") / width), F.floor(F.greatest(F.col("char_end") - 1, F.col("char_start")) / width)))
+    listed = cited.select("doc_id", "char_start", "char_end", blocks.alias("block"))
+    return mentions.withColumn("block", F.floor(F.col("pos") / width)).join(listed, ["doc_id", "block"]).where("char_start <= pos and pos < char_end").select("doc_id", "label").distinct()

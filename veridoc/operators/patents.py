@@ -185,3 +185,28 @@ def front_matter(docs: DataFrame, lines: int = 40) -> DataFrame:
     head = F.array_join(F.slice(F.split("canonical_text", "\n"), 1, lines), "\n")
     found = {k: F.regexp_extract(head, shape, 1) for k, shape in INID.items()}
     return docs.select("doc_id", *[F.when(v != "", F.btrim(v)).alias(k) for k, v in found.items()])
+
+
+def antecedent_census(docs: DataFrame) -> DataFrame:
+    """(doc_id, number, phrase) of back-references ('the' or 'said' and a name) that neither their claim nor one it
+    depends on introduces ('a' or 'an' and the name) before."""
+    from veridoc.operators.frames import ancestors
+
+    claims = parse_claims(docs)
+    shape = r"(?i)\b(the|said|an?)\s+([a-z]+(?:\s+[a-z]+){0,2}?)(?=\s+(?:of|is|are|and|or|to|for|in|on|wherein|having|comprising|that|which)\b|[,;.:]|$)"
+    found = matches(claims.select("doc_id", "number", "text"), shape, ("doc_id", "number")).where("found is not null")
+    word, name = F.lower(F.regexp_extract("found", shape, 1)), F.lower(F.regexp_replace(F.regexp_extract("found", shape, 2), r"\s+", " "))
+    found = found.select("doc_id", "number", F.col("at"), word.alias("word"), name.alias("phrase"))
+    new = found.where(F.col("word").isin("a", "an")).select("doc_id", F.col("number").cast("string").alias("ancestor"), "phrase", F.col("at").alias("new_at"))
+    units = claims.select("doc_id", F.col("number").cast("string").alias("name"), F.col("depends_on").cast("string").alias("parent"), "char_start", "char_end")
+    chains = ancestors(units).select("doc_id", F.col("name").cast("int").alias("number"), "ancestor")
+    back = found.where(F.col("word").isin("the", "said")).select("doc_id", "number", "at", "phrase")
+    known = back.join(chains, ["doc_id", "number"]).join(new, ["doc_id", "ancestor", "phrase"]).where((F.col("ancestor") != F.col("number").cast("string")) | (F.col("new_at") < F.col("at")))
+    return back.join(known.select("doc_id", "number", "at"), ["doc_id", "number", "at"], "left_anti").select("doc_id", "number", "phrase").distinct()
+
+
+def quantity_uses(docs: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """(doc_id, label, n_quantities): recited labels that the text also uses as a quantity, before a unit: two senses."""
+    shape = r"(?i)\b\d{1,4}(?=\s*(?:watts?|mm|cm|inch(?:es)?|ft|kg|lbs?|degrees?|percent|hours?|minutes?|seconds?|volts?|gallons?)\b)"
+    used = matches(docs.select("doc_id", F.col("canonical_text").alias("text")), shape).where("found is not null").groupBy("doc_id", F.col("found").alias("label")).agg(F.count("*").alias("n_quantities"))
+    return used.join(mentioned.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_semi")

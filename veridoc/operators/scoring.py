@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Outcomes of behaviours, and those that present an answer.
@@ -85,3 +85,50 @@ def item_rates(scored: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.count_if(answered & ~right), F.count_if(answered)), 4).alias("hallucination"),
         F.round(F.try_divide(F.count_if(~F.col("answerable") & ~answered), F.count_if(~F.col("answerable"))), 4).alias("abstention_accuracy"),
     )
+
+
+def failures(scores: DataFrame) -> DataFrame:
+    """(rank, item_id, expected) of wrong decisions, in order of the items."""
+    wrong = scores.where(~F.col("decision_correct")).select("item_id", "expected")
+    # one short list: the failures of a golden set
+    return wrong.withColumn("rank", F.row_number().over(Window.orderBy("item_id"))).select("rank", "item_id", "expected")
+
+
+def gold_spans(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(item_id, doc_id, char_start, char_end) of gold quotes (item_id, doc_id, quote) that occur just once."""
+    from veridoc.operators.spans import resolve_quotes
+
+    return resolve_quotes(docs, quotes.select("item_id", "doc_id", "quote")).where("n_found = 1").select("item_id", "doc_id", "char_start", "char_end")
+
+
+def cited_spans(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(answer_id, s, doc_id, char_start, char_end) of atoms and operands of answers that were verified."""
+    from veridoc.operators.frames import cited_atoms
+
+    return cited_atoms(answers).join(verdicts.where("ok").select("answer_id").distinct(), "answer_id", "left_semi").select("answer_id", "s", "doc_id", "char_start", "char_end")
+
+
+def claims_and_spans(answers: DataFrame, docs: DataFrame) -> DataFrame:
+    """(answer_id, s, claim, cited): each sentence with the texts it cites, in order."""
+    from veridoc.operators.frames import cited_atoms
+    from veridoc.operators.spans import get_spans
+
+    atoms = cited_atoms(answers)
+    texts = get_spans(docs, atoms.select("doc_id", "char_start", "char_end").distinct()).where("status = 'ok'").select("doc_id", "char_start", "char_end", "text")
+    per = atoms.join(texts, ["doc_id", "char_start", "char_end"]).groupBy("answer_id", "s").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
+    sents = answers.select("answer_id", F.posexplode("sentences").alias("s", "sent")).select("answer_id", "s", F.col("sent.text").alias("claim"))
+    return sents.join(per, ["answer_id", "s"], "left").select("answer_id", "s", "claim", F.coalesce(F.transform("t", lambda x: x["text"]), F.array().cast("array<string>")).alias("cited"))
+
+
+def evidence_strings(value_seen: Column, expected: Column) -> Column:
+    """What documents must hold to bear an answer out: the amounts seen, sorted, else the answer without its period."""
+    amounts = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(value_seen, F.lit("")), F.lit(r"([0-9]{1,3}(?:,[0-9]{3})+)"), 1)))
+    plain = F.regexp_replace(F.btrim(F.coalesce(expected, F.lit(""))), r"\.+$", "")
+    return F.when(F.size(amounts) > 0, amounts).when(plain != "", F.array(plain)).otherwise(F.array().cast("array<string>"))
+
+
+def manifest_hash(items: DataFrame) -> DataFrame:
+    """One row `manifest_sha256`: SHA-256 of the lines of canonical JSON (item_id, canonical) in order of the ids."""
+    from veridoc.operators.support import streamed_hash
+
+    return streamed_hash(items.select(F.col("item_id").alias("k"), F.col("canonical").alias("line")), "manifest_sha256")

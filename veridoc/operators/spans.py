@@ -29,14 +29,14 @@ def matches(texts: DataFrame, shape: str, keys: tuple[str, ...] = ("doc_id",), t
     """(keys, n, found, rest, at) of every match of a pattern: the match, the text between it and the next one, and its
     offset, counted from the column `base`. Row 0 is the text before the first match and has no match.
 
-    A text is split by the pattern; offsets are running sums of the lengths of the pieces."""
+    A text is split by the pattern; offsets are running sums of the lengths of the pieces of its row."""
     pieces, found = F.split(text, shape, -1), F.regexp_extract_all(text, F.lit(shape), 0)
     found = F.concat(F.array(F.lit(None).cast("string")), found)
-    rows = texts.select(*keys, (F.col(base) if base else F.lit(0)).alias("base"), F.posexplode(F.arrays_zip(found.alias("found"), pieces.alias("rest"))).alias("n", "m"))
-    rows = rows.select(*keys, "n", "base", F.col("m")["found"].alias("found"), F.col("m")["rest"].alias("rest"))
-    before = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = texts.select(*keys, F.monotonically_increasing_id().alias("of"), (F.col(base) if base else F.lit(0)).alias("base"), F.posexplode(F.arrays_zip(found.alias("found"), pieces.alias("rest"))).alias("n", "m"))
+    rows = rows.select(*keys, "of", "n", "base", F.col("m")["found"].alias("found"), F.col("m")["rest"].alias("rest"))
+    before = Window.partitionBy("of").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     size = F.coalesce(F.length("found"), F.lit(0)) + F.length("rest")
-    return rows.withColumn("at", (F.col("base") + F.coalesce(F.sum(size).over(before), F.lit(0))).cast("int")).drop("base")
+    return rows.withColumn("at", (F.col("base") + F.coalesce(F.sum(size).over(before), F.lit(0))).cast("int")).drop("base", "of")
 
 
 #: Lines up to which a document's offsets are folded where it lies; those of longer ones are running sums.
@@ -49,8 +49,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate("lines", state, lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))["starts"]
     folded = rows.where(F.size("lines") <= FOLDED).select("doc_id", F.inline(F.arrays_zip(F.col("lines").alias("line"), starts.alias("at"))))
-    long = docs.where(F.size(F.split("canonical_text", "\n")) > FOLDED).select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("canonical_text").alias("text"))
-    summed = matches(long, "\n", ("doc_id", "row")).select("doc_id", F.col("rest").alias("line"), (F.col("at") + F.coalesce(F.length("found"), F.lit(0))).cast("int").alias("at"))
+    long = docs.where(F.size(F.split("canonical_text", "\n")) > FOLDED).select("doc_id", F.col("canonical_text").alias("text"))
+    summed = matches(long, "\n").select("doc_id", F.col("rest").alias("line"), (F.col("at") + F.coalesce(F.length("found"), F.lit(0))).cast("int").alias("at"))
     return folded.union(summed)
 
 

@@ -56,8 +56,8 @@ def calibration_summary(items: DataFrame) -> DataFrame:
     )
 
 
-def corpus_hash(docs: DataFrame) -> DataFrame:
-    """One row `corpus_hash`: SHA-256 of the sorted lines doc_id:content_hash.
+def streamed_hash(lines: DataFrame, name: str) -> DataFrame:
+    """One row: SHA-256 of the lines (k, line) in order of k, joined by line feeds.
 
     The hash has to see the lines in order, so one task streams them from a sort; it holds a batch at a time."""
 
@@ -68,12 +68,22 @@ def corpus_hash(docs: DataFrame) -> DataFrame:
 
         hashed, first = hashlib.sha256(), True
         for batch in batches:
-            for doc, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashed.update(("" if first else "\n").encode() + f"{doc}:{digest}".encode())
+            for line in batch.column(1).to_pylist():
+                hashed.update(("" if first else "\n").encode() + line.encode())
                 first = False
-        yield pa.RecordBatch.from_arrays([pa.array([hashed.hexdigest()])], names=["corpus_hash"])
+        yield pa.RecordBatch.from_arrays([pa.array([hashed.hexdigest()])], names=[name])
+
+    return lines.select("k", "line").repartition(1).sortWithinPartitions("k", "line").mapInArrow(run, f"{name} string")
+
+
+def corpus_hash(docs: DataFrame) -> DataFrame:
+    """One row `corpus_hash`: SHA-256 of the sorted lines doc_id:content_hash."""
+    return streamed_hash(docs.select(F.col("doc_id").alias("k"), F.concat("doc_id", F.lit(":"), "content_hash").alias("line")), "corpus_hash")
+
 
-    return docs.select("doc_id", "content_hash").repartition(1).sortWithinPartitions("doc_id", "content_hash").mapInArrow(run, "corpus_hash string")
+def corpus_identity(docs: DataFrame, state: Column) -> DataFrame:
+    """One row: how many documents, their hash and what their floor's record says of itself."""
+    return corpus_hash(docs).crossJoin(docs.agg(F.count("*").alias("n_docs"))).withColumn("floor", state)  # one row each
 
 
 def floor_state(has_record: Column, same_corpus: Column, separable: Column) -> Column:

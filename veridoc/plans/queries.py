@@ -660,11 +660,11 @@ def a12_sections(spark, sf_dir):
     return slice_sections(spans.make_documents(pages, "page_id", "html"), "<h1>", "</h1>")
 
 
-@query(f"WITH {_MARKS}, h AS (SELECT DISTINCT mark_id AS hit_id, page, (numeral::INT % 10)::VARCHAR AS short, x, y FROM m WHERE confidence < 0.1) SELECT DISTINCT hit_id FROM h JOIN m r ON h.page = r.page AND contains(r.numeral, short) AND r.numeral <> short AND h.x BETWEEN r.x - 0.025 AND r.x + r.w + 0.025 AND abs(r.y - h.y) < 0.025")
+@query(f"WITH {_MARKS}, h AS (SELECT DISTINCT mark_id AS hit_id, page, (numeral::INT % 10)::VARCHAR AS short, x, y FROM m) SELECT DISTINCT hit_id FROM h JOIN m r ON h.page = r.page AND contains(r.numeral, short) AND r.numeral <> short AND h.x BETWEEN r.x - 0.025 AND r.x + r.w + 0.025 AND abs(r.y - h.y) < 0.025")
 def i6_fragments(spark, sf_dir):
     """Reads that are part of a longer read at their spot."""
     rows = _marks(spark, sf_dir)
-    hits = rows.where("confidence < 0.1").select(F.col("mark_id").alias("hit_id"), "page", (F.col("numeral").cast("int") % 10).cast("string").alias("numeral"), "x", "y")
+    hits = rows.select(F.col("mark_id").alias("hit_id"), "page", (F.col("numeral").cast("int") % 10).cast("string").alias("numeral"), "x", "y")
     return figures.fragments(hits, rows.select("page", F.col("numeral").alias("text"), "x", "y", "w"))
 
 
@@ -675,21 +675,21 @@ def i7_unfragmented(spark, sf_dir):
     return figures.drop_fragment_hits(rows)
 
 
-@query(f"WITH {_MARKS}, o AS (SELECT mark_id, page, chr((65 + mark_id % 26)::INT) AS numeral, y FROM m), k AS (SELECT DISTINCT page, engine AS numeral FROM m WHERE page < 50) SELECT mark_id, page, numeral FROM o WHERE y < 0.88 AND numeral IN ('A', 'N', 'R') AND NOT EXISTS (SELECT 1 FROM k WHERE k.page = o.page AND k.numeral = o.numeral)")
+@query(f"WITH {_MARKS}, o AS (SELECT mark_id, page, chr((65 + mark_id % 26)::INT) AS numeral, y FROM m), k AS (SELECT DISTINCT page, engine AS numeral FROM m WHERE angle = 90) SELECT mark_id, page, numeral FROM o WHERE y < 0.88 AND numeral IN ('A', 'N', 'R') AND NOT EXISTS (SELECT 1 FROM k WHERE k.page = o.page AND k.numeral = o.numeral)")
 def i8_letters(spark, sf_dir):
     """View markers that a first pass read (I8)."""
     raw = relation(spark, sf_dir, "marks")
     seen = raw.select("mark_id", "page", F.concat(F.lit(" "), F.chr(F.col("mark_id") % 26 + 65), F.lit(".")).alias("text"), "y")
     markers = raw.select(F.col("engine").alias("marker"))
-    have = raw.where("page < 50").select("page", F.col("engine").alias("numeral"))
+    have = raw.where("angle = 90").select("page", F.col("engine").alias("numeral"))
     return figures.letters_read(seen, markers, have).select("mark_id", "page", "numeral")
 
 
-@query(f"WITH {_MARKS}, t AS ({R['text_labels']}), tied AS (SELECT DISTINCT (o_custkey % 120)::VARCHAR AS label, (o_orderkey % 5)::VARCHAR AS fig FROM orders), d AS (SELECT DISTINCT numeral AS label, (page % 4)::VARCHAR AS fig FROM m WHERE page < 20) SELECT DISTINCT label, 'recited-not-drawn' AS kind FROM tied WHERE label::INT >= 10 AND label NOT IN (SELECT label FROM d) UNION ALL SELECT DISTINCT label, 'drawn-not-recited' FROM d WHERE label NOT IN (SELECT label FROM t) UNION ALL SELECT DISTINCT label, 'figure-mismatch' FROM tied WHERE label IN (SELECT label FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.label = tied.label AND d.fig = tied.fig)")
+@query(f"WITH {_MARKS}, t AS ({R['text_labels']}), tied AS (SELECT DISTINCT (o_custkey % 120)::VARCHAR AS label, (o_orderkey % 5)::VARCHAR AS fig FROM orders), d AS (SELECT DISTINCT numeral AS label, (page % 4)::VARCHAR AS fig FROM m) SELECT DISTINCT label, 'recited-not-drawn' AS kind FROM tied WHERE label::INT >= 10 AND label NOT IN (SELECT label FROM d) UNION ALL SELECT DISTINCT label, 'drawn-not-recited' FROM d WHERE label NOT IN (SELECT label FROM t) UNION ALL SELECT DISTINCT label, 'figure-mismatch' FROM tied WHERE label IN (SELECT label FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.label = tied.label AND d.fig = tied.fig)")
 def i19_coverage(spark, sf_dir):
     """Labels that text and drawings disagree on."""
     tied = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 120).cast("string").alias("label"), (F.col("o_orderkey") % 5).cast("string").alias("fig")).distinct()
-    drawn = _marks(spark, sf_dir).where("page < 20").select(F.col("numeral").alias("label"), (F.col("page") % 4).cast("string").alias("fig")).distinct()
+    drawn = _marks(spark, sf_dir).select(F.col("numeral").alias("label"), (F.col("page") % 4).cast("string").alias("fig")).distinct()
     return figures.numeral_coverage(relation(spark, sf_dir, "text_labels"), tied, drawn)
 
 
@@ -703,3 +703,6 @@ def k10_replies(spark, sf_dir):
 def k12_item_rates(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("value") > 5).alias("answerable"), (F.col("event_type") != "error").alias("answered"), (F.col("event_type") == "view").alias("correct"))
     return scoring.item_rates(rows)
+
+
+from veridoc.plans import more_queries as _more  # noqa: E402, F401  # adds its queries to QUERIES and ORACLES
