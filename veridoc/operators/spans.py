@@ -32,7 +32,8 @@ def matches(texts: DataFrame, shape: str, keys: tuple[str, ...] = ("doc_id",), t
     A text is split by the pattern; offsets are running sums of the lengths of the pieces of its row."""
     pieces, found = F.split(text, shape, -1), F.regexp_extract_all(text, F.lit(shape), 0)
     found = F.concat(F.array(F.lit(None).cast("string")), found)
-    rows = texts.select(*keys, F.monotonically_increasing_id().alias("of"), (F.col(base) if base else F.lit(0)).alias("base"), F.posexplode(F.arrays_zip(found.alias("found"), pieces.alias("rest"))).alias("n", "m"))
+    texts = texts.withColumn("of", F.monotonically_increasing_id())
+    rows = texts.select(*keys, "of", (F.col(base) if base else F.lit(0)).alias("base"), F.posexplode(F.arrays_zip(found.alias("found"), pieces.alias("rest"))).alias("n", "m"))
     rows = rows.select(*keys, "of", "n", "base", F.col("m")["found"].alias("found"), F.col("m")["rest"].alias("rest"))
     before = Window.partitionBy("of").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     size = F.coalesce(F.length("found"), F.lit(0)) + F.length("rest")
