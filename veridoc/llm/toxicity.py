@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import col, field, materialize, row_of, tidied
 
 #: Labelled rows that the index is made of, at most, half of them of each label. Its terms are all terms of theirs.
-MAX_EXAMPLES = 1500
+MAX_EXAMPLES = 1000
 #: Least share of its TF-IDF weight that a term keeps; what its label dependence (chi-square / n) adds goes up to 1.
 FLOOR = 0.01
 NEIGHBOURS = 25
@@ -200,23 +200,25 @@ class Model:
 class Scorer:
     """Scores whole texts; copies of a text are scored once."""
 
-    def __init__(self, fitted: tuple) -> None:
-        told, steps = fitted
+    def __init__(self, told, steps: tuple) -> None:
         self.model, self.ids, self.vector = told.value["model"], told.value["ids"], Vectorizer(told.value["vocabulary"])
         self.model.steps = steps
         self.memo: dict = {}
 
-    def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
+    def of_counts(self, terms, times) -> tuple[float, list[int], list[float]]:
         import xxhash
 
-        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        key = xxhash.xxh3_128_digest(terms.tobytes() + times.tobytes())
         if key not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            score, e, s = self.model.score(*self.vector(text))
+            score, e, s = self.model.score(terms, times)
             self.memo[key] = score, [self.ids[i] for i in e], s
         return self.memo[key]
 
+    def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        return self.of_counts(*self.vector(text))
+
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
@@ -232,8 +234,19 @@ def dependence(with_term, toxic_with_term, n: int, toxic: int):
     return np.where(by > 1e-6, np.minimum(1.0, over * over / np.where(by > 1e-6, by, 1)), 0.0)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int) -> tuple:
-    """The broadcast vocabulary and model learned from the labelled documents, and the steps of its calibration."""
+def _rows_of(gaps, times) -> Iterator:
+    """(terms, times) of every row of two list columns; terms are written as gaps, which are small."""
+    import numpy as np
+
+    cuts = gaps.offsets.to_numpy().tolist()
+    flat, counts = gaps.values.to_numpy(), times.values.to_numpy()
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield np.cumsum(flat[lo:hi], dtype=np.int64), counts[lo:hi].astype(np.float64)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_examples: int, written: bool) -> tuple:
+    """The broadcast vocabulary and model learned from the labelled documents, the steps of its calibration and, if they
+    are to be written, the term counts of all documents (doc_id, gaps, times)."""
     import numpy as np
     import pyarrow as pa
 
@@ -273,17 +286,34 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         toxic_with[t] += u * rates[u]
     told_terms = spark.sparkContext.broadcast(vocabulary)
 
-    def counted(batches: Iterator) -> Iterator:
-        vector, df, total = Vectorizer(told_terms.value), np.zeros(len(told_terms.value), np.int64), 0
-        for batch in batches:
-            for t in batch.column(0):
-                df[vector(t.as_py())[0]] += 1
-                total += 1
+    def tallied(found: Iterator) -> Iterator:
+        df, total = np.zeros(len(told_terms.value), np.int64), 0
+        for terms, _ in found:
+            df[terms] += 1
+            total += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["t", "df"])
 
+    def of_texts(batches: Iterator) -> Iterator:
+        vector = Vectorizer(told_terms.value)
+        yield from tallied(vector(t.as_py()) for batch in batches for t in batch.column(0))
+
+    def of_counts(batches: Iterator) -> Iterator:
+        yield from tallied(x for batch in batches for x in _rows_of(batch.column(0), batch.column(1)))
+
+    def counted(batches: Iterator) -> Iterator:
+        vector = Vectorizer(told_terms.value)
+        for batch in batches:
+            found = [vector(t.as_py()) for t in batch.column(1)]
+            ends = np.cumsum([0, *[len(t) for t, _ in found]]).astype(np.int32)
+            none = [np.zeros(0, np.int32)]
+            flat = (np.concatenate([*none, *[np.diff(t, prepend=0).astype(np.int32) for t, _ in found]]), np.concatenate([*none, *[c.astype(np.int32) for _, c in found]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat]], names=["doc_id", "gaps", "times"])
+
     # document frequencies over all documents; term -1 counts them
-    stats = keyed.select("text").mapInArrow(counted, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toArrow()
+    counts_of = materialize(keyed.mapInArrow(counted, "doc_id long, gaps array<int>, times array<int>")) if written else None
+    some = counts_of.select("gaps", "times").mapInArrow(of_counts, "t long, df long") if written else keyed.select("text").mapInArrow(of_texts, "t long, df long")
+    stats = some.groupBy("t").agg(F.sum("df").alias("df")).toArrow()
     df = dict(zip(stats.column("t").to_pylist(), stats.column("df").to_pylist(), strict=True))
     total = df.pop(-1, 0)
     every = np.zeros(len(vocabulary))
@@ -302,7 +332,7 @@ def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     if ids:
         parts = max(1, min(len(ids) // 64, spark.sparkContext.defaultParallelism * 2))
         model.calibrate([(r[0], r[1]) for r in one.repartition(parts, "doc_id").mapInArrow(left_out, "v double, y int").collect()])
-    return told, model.steps
+    return told, model.steps, counts_of
 
 
 @tidied
@@ -316,28 +346,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     the labels depend on it (chi-square / n over the examples); plain TF-IDF lets topics outvote a few toxic words of a long
     text. A text's score is the distance-weighted vote of its nearest examples by exact cosine of these vectors, mapped
     to the share of toxic examples that got such a vote when left out themselves; texts without a term of the examples,
-    empty and null ones too, have a vote of 0. Whole texts are read twice, where they lie.
+    empty and null ones too, have a vote of 0. Whole texts are read once, to counts of
+    these terms, which are written.
 
     Only the text makes a score: neither labels of the row itself, nor its id, source or language. Labels that are
     null are left out; of several for one document the largest counts. Without labels every score is 0.5. Repeated
     rows get equal scores, and an id that rows repeat is one example, by its least text. Other columns, whatever their
     names, are ignored and an empty table gives an empty result.
     """
-    fitted = _fit(docs, labels, doc_id, text, label, max_examples)
+    told, steps, counts = _fit(docs, labels, doc_id, text, label, max_examples, True)
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(fitted)
+        scorer = Scorer(told, steps)
         for batch in batches:
-            out = [scorer(t.as_py()) for t in batch.column(1)]
+            out = [scorer.of_counts(*x) for x in _rows_of(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence_ids", "evidence_cosines"],
             )
 
-    keyed = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    done = keyed.mapInArrow(scored, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    done = counts.mapInArrow(scored, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
     names = ["held_out", "score", "predicted", "evidence_ids", "evidence_cosines"]
     done = done.withColumns({"held_out": F.coalesce(held_out(F.col("doc_id")), F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
     return done.select("doc_id", *names)
@@ -349,13 +379,13 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 
     Null and empty texts, repeated rows and an empty table are treated as score_toxicity() says.
     """
-    fitted = _fit(docs, labels, doc_id, text, label, max_examples)
+    told, steps, _ = _fit(docs, labels, doc_id, text, label, max_examples, False)
     rows = docs.select(row_of(docs.columns), col(text).alias("text"))
 
     def harmless(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(fitted)
+        scorer = Scorer(told, steps)
         for batch in batches:
             yield batch.select(["row"]).filter(pa.array([scorer(t.as_py())[0] < threshold for t in batch.column(1)], pa.bool_()))
 
