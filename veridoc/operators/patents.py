@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.nounphrase import DIGITS
 from veridoc.operators.spans import matches
 
 # Markers and shapes of a patent's parts.
@@ -151,9 +152,9 @@ def support_map(docs: DataFrame, k: int = 5) -> DataFrame:
     return limits.select("query_id", "doc_id", "number", "index").join(hits, "query_id", "left").select("doc_id", "number", "index", "rank", "span_id", "score")
 
 
-def numeral_mentions(docs: DataFrame) -> DataFrame:
+def numeral_mentions(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Every label of a part recited before the claims, with the element it names: one scan of each text with a state,
-    in Arrow batches where the texts lie."""
+    in Arrow batches where the texts lie. A label's number has at most so many digits."""
     schema = "doc_id string, label string, element string, char_start int, char_end int"
 
     def run(batches: Iterator) -> Iterator:
@@ -162,7 +163,7 @@ def numeral_mentions(docs: DataFrame) -> DataFrame:
         from veridoc.functions.nounphrase import mentions
 
         for batch in batches:
-            rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in mentions(t.as_py() or "")]
+            rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in mentions(t.as_py() or "", digits)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "label", "element", "char_start", "char_end"])
