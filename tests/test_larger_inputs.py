@@ -2,7 +2,11 @@
 
 import duckdb
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.test_queries import same
+from veridoc.operators import frames
 from veridoc.plans import queries as own
 
 
@@ -12,3 +16,27 @@ def test_labels_of_as_many_digits_as_keys_have(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     same(own.QUERIES["h10_numerals"](spark, str(tmp_path)), con.execute(own.ORACLES["h10_numerals"]))
+
+
+def test_cues_and_atoms_are_never_broadcast(spark):
+    texts = spark.range(2000).select("id", F.lit("word restated and not here").alias("text"))
+    atoms = texts.select("id", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("atom_start"))
+    plan = frames.denial_cue_hits(texts, atoms)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_cues_against_all_pairs(spark, n):
+    import random
+    import re
+
+    rng = random.Random(n)
+    text = "".join(rng.choice(["restated ", "Ä word ", "x" * 90 + " ", "Restated, "]) for _ in range(2 * n))
+    at = sorted(rng.sample(range(len(text)), n))
+    got = frames.denial_cue_hits(spark.createDataFrame([(1, text)], "id int, text string"), spark.createDataFrame([(1, a) for a in at], "id int, atom_start int"))
+    want = []
+    for m in re.finditer(r"(?i)\brestated\b", text):
+        near = min((abs(a - m.start()), a) for a in at)
+        if near[0] <= frames.CUE_WINDOW:
+            want.append(("restated", m.start(), near[1], near[0]))
+    assert sorted((r.cue, r.cue_start, r.atom_start, r.distance) for r in got.collect()) == sorted(want)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.text import STOPWORDS, collapse, tokenize
 from veridoc.operators.lineage import cut
-from veridoc.operators.spans import matches
+from veridoc.operators.spans import match_offsets
 
 # Addressable units, cue words, words a document has no reason to contain, rulings, second questions.
 LOCATOR = r"(?i)\b((?:claim|section|paragraph|article|clause)\s+[0-9]{1,3}[a-zA-Z]?(?:\([a-z0-9]+\))?)"
@@ -87,17 +87,19 @@ def lint(questions: DataFrame, vocabulary: DataFrame, units: DataFrame | None =
 def cue_offsets(texts: DataFrame, cues: tuple[str, ...] = DENIAL_CUES) -> DataFrame:
     """(id, cue, cue_start) of every cue word."""
     shape = r"(?i)\b(?:" + "|".join(cues) + r")\b"
-    return matches(texts, shape, ("id",)).where("found is not null").select("id", F.lower("found").alias("cue"), F.col("at").alias("cue_start"))
+    return match_offsets(texts, shape, ("id",)).select("id", F.lower("found").alias("cue"), F.col("at").alias("cue_start"))
 
 
 def denial_cue_hits(texts: DataFrame, atoms: DataFrame, window: int = CUE_WINDOW) -> DataFrame:
     """(id, cue, cue_start, atom_start, distance): each cue with its nearest atom (id, atom_start) in the window.
 
-    Atoms are listed under the blocks of offsets around theirs, so the join has equality keys; of equally near ones
-    the first counts."""
-    cues = cue_offsets(texts).withColumn("block", F.floor(F.col("cue_start") / window))
-    near = atoms.select("id", "atom_start", F.explode(F.sequence(F.floor(F.col("atom_start") / window) - 1, F.floor(F.col("atom_start") / window) + 1)).alias("block"))
-    hits = cues.join(near, ["id", "block"]).withColumn("distance", F.abs(F.col("cue_start") - F.col("atom_start"))).where(F.col("distance") <= window)
+    Cues look into the one or two blocks of offsets that their window meets, so the join has equality keys; of equally
+    near atoms the first counts. Both sides are shuffled: Spark takes what was exploded for as small as its source and
+    would broadcast it."""
+    block = lambda c: F.floor(c / (2 * window + 1))
+    cues = cue_offsets(texts).withColumn("block", F.explode(F.sequence(block(F.col("cue_start") - window), block(F.col("cue_start") + window))))
+    near = atoms.select("id", "atom_start", block(F.col("atom_start")).alias("block"))
+    hits = cues.join(near.hint("merge"), ["id", "block"]).withColumn("distance", F.abs(F.col("cue_start") - F.col("atom_start"))).where(F.col("distance") <= window)
     best = F.min(F.struct("distance", "atom_start"))
     return hits.groupBy("id", "cue", "cue_start").agg(best.alias("b")).select("id", "cue", "cue_start", "b.atom_start", "b.distance")
 
@@ -149,13 +151,13 @@ def cue_notes(answers: DataFrame, spans: DataFrame, window: int = CUE_WINDOW) ->
     # every atom near a cue counts, not only the nearest
     near = cue_offsets(texts).withColumn("block", F.floor(F.col("cue_start") / window))
     listed = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("atom_start") / window) - 1, F.floor(F.col("atom_start") / window) + 1)))
-    hits = near.join(listed, ["id", "block"]).where(F.abs(F.col("cue_start") - F.col("atom_start")) <= window).select("doc_id", F.col("pos").alias("char_start"), "cue").distinct()
+    hits = near.join(listed.hint("merge"), ["id", "block"]).where(F.abs(F.col("cue_start") - F.col("atom_start")) <= window).select("doc_id", F.col("pos").alias("char_start"), "cue").distinct()
     return atoms.join(hits, ["doc_id", "char_start"]).select("answer_id", "cue").distinct()
 
 
 def cue_census(texts: DataFrame, figure: str = r"[0-9][0-9,.%]*", window: int = CUE_WINDOW) -> DataFrame:
     """(cue, n, near_figures): how often cues occur, and how often a figure is near."""
     cues = cue_offsets(texts)
-    figures = matches(texts, figure, ("id",)).where("found is not null").select("id", F.col("at").alias("atom_start"))
+    figures = match_offsets(texts, figure, ("id",)).select("id", F.col("at").alias("atom_start"))
     hits = denial_cue_hits(texts, figures, window).groupBy("cue").agg(F.count("*").alias("near_figures"))
     return cues.groupBy("cue").agg(F.count("*").alias("n")).join(hits, "cue", "left").select("cue", "n", F.coalesce("near_figures", F.lit(0)).cast("long").alias("near_figures"))

@@ -44,6 +44,23 @@ def matches(texts: DataFrame, shape: str, keys: tuple[str, ...] = ("doc_id",), t
 FOLDED = 512
 
 
+def match_offsets(texts: DataFrame, shape: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(keys, found, at) of every match of a pattern, without the texts between: folded where a text lies if its matches
+    are few, else running sums over lengths, so no text is shuffled."""
+    found, gaps = F.regexp_extract_all(text, F.lit(shape), 0), F.transform(F.split(text, shape, -1), F.length)
+    # a match has a letter at least, so short texts aren't counted; exploding one row is what has the pattern run once
+    short = F.length(text) <= FOLDED
+    zipped = F.zip_with("p.found", F.slice("p.gaps", 1, F.size("p.found")), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
+    once = lambda rows, *more: rows.select(*keys, *more, F.explode(F.array(F.struct(found.alias("found"), gaps.alias("gaps")))).alias("p"))
+    state = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(zipped, state, lambda s, m: F.struct((s["end"] + m["gap"] + F.length(m["found"])).alias("end"), F.array_append(s["starts"], s["end"] + m["gap"]).alias("starts")))["starts"]
+    few = once(texts.where(short | (F.size(found) <= FOLDED))).select(*keys, F.inline(F.arrays_zip(F.col("p.found").alias("found"), starts.alias("at"))))
+    rows = once(texts.where(~short & (F.size(found) > FOLDED)), F.monotonically_increasing_id().alias("of")).select(*keys, "of", F.posexplode(zipped).alias("n", "m"))
+    before = Window.partitionBy("of").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("m.gap") + F.length("m.found")).over(before), F.lit(0)) + F.col("m.gap")
+    return few.union(rows.select(*keys, F.col("m.found").alias("found"), at.cast("int").alias("at")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, at) of every line with its offset."""
     rows = docs.select("doc_id", F.split("canonical_text", "\n").alias("lines"))
