@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import same
-from veridoc.operators import frames
+from veridoc.operators import figures, frames
 from veridoc.plans import queries as own
 
 
@@ -40,3 +40,18 @@ def test_cues_against_all_pairs(spark, n):
         if near[0] <= frames.CUE_WINDOW:
             want.append(("restated", m.start(), near[1], near[0]))
     assert sorted((r.cue, r.cue_start, r.atom_start, r.distance) for r in got.collect()) == sorted(want)
+
+
+MARKS = "mark_id long, page int, numeral string, confidence double, x double, y double, w double, h double, engines array<string>, angles array<int>"
+
+
+def test_crowded_marks_are_merged_without_pairs(spark, monkeypatch):
+    """20,000 marks of one label at few spots would make 10^7 pairs; odd rows stay as they are."""
+    monkeypatch.setattr(figures, "near_pairs", None)
+    rows = [(i, 1, "12", i % 100 / 100, (i % 3) * 0.3, (i % 2) * 0.01, 0.0, 0.0, [f"e{i % 5}"], [0]) for i in range(20_000)]
+    odd = [(-1, None, "12", 0.5, 0.0, 0.0, 0.0, 0.0, ["z"], [0]), (-2, 1, None, 0.5, 0.0, 0.0, 0.0, 0.0, ["z"], [0]), (-3, 1, "12", 0.5, None, 0.0, 0.0, 0.0, ["z"], [0]), (-4, 1, "12", 0.5, float("nan"), 0.0, 0.0, 0.0, None, [0]), (-5, 1, "12", None, 0.9, 0.5, 0.0, 0.0, ["z"], [0]), (-6, 1, "12", float("nan"), 0.9, 0.5, 0.0, 0.0, ["y", None], [90])]
+    got = figures.merge_same_spot(spark.createDataFrame(rows + odd, MARKS)).collect()
+    assert sorted(r.mark_id for r in got) == [-5, -4, -3, -2, -1, 99, 199, 299]
+    by = {r.mark_id: r for r in got}
+    assert all(by[i].engines == [f"e{j}" for j in range(5)] for i in (99, 199, 299))
+    assert by[-5].engines == ["y", "z", None] and by[-5].angles == [0, 90] and by[-4].engines is None
