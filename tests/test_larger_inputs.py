@@ -55,3 +55,9 @@ def test_crowded_marks_are_merged_without_pairs(spark, monkeypatch):
     by = {r.mark_id: r for r in got}
     assert all(by[i].engines == [f"e{j}" for j in range(5)] for i in (99, 199, 299))
     assert by[-5].engines == ["y", "z", None] and by[-5].angles == [0, 90] and by[-4].engines is None
+
+
+def test_hits_of_unrelated_labels_meet_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(figures, "near_pairs", None)
+    hits = spark.createDataFrame([(i, 1, str(10 + i % 90), 0.5, 0.5) for i in range(500)] + [(500, 1, None, 0.5, 0.5)], "hit_id long, page int, numeral string, x double, y double")
+    assert sorted(r.hit_id for r in figures.drop_fragment_hits(hits).collect()) == list(range(501))
