@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import same
-from veridoc.operators import figures, frames
+from veridoc.operators import figures, frames, retrieval
 from veridoc.plans import queries as own
 
 
@@ -61,3 +61,26 @@ def test_hits_of_unrelated_labels_meet_nowhere(spark, monkeypatch):
     monkeypatch.setattr(figures, "near_pairs", None)
     hits = spark.createDataFrame([(i, 1, str(10 + i % 90), 0.5, 0.5) for i in range(500)] + [(500, 1, None, 0.5, 0.5)], "hit_id long, page int, numeral string, x double, y double")
     assert sorted(r.hit_id for r in figures.drop_fragment_hits(hits).collect()) == list(range(501))
+
+
+@pytest.mark.parametrize("triples", [1, 1 << 22])
+def test_search_where_spans_lie_against_all_scores(spark, monkeypatch, triples):
+    """Copies tie at the last rank, spans are longer than a batch, and repeated ids count as one span."""
+    import random
+
+    monkeypatch.setattr(retrieval, "TRIPLES", triples)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("red blue green pump valve 12 7,000".split()) for _ in range(rng.randrange(12))) for _ in range(60)] * 2 + ["pump valve " * 9000]
+    rows = [(f"s{i}", t) for i, t in enumerate(texts)] + [("s3", texts[3]), ("s3", "blue pump"), (None, "red valve"), ("t", None), ("s4", texts[4])]
+    index = retrieval.build_index(spark.createDataFrame(rows, "span_id string, text string").repartition(3))
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["red pump valve", "pump pump", "blue_x blue green", "none", "", None])], "query_id int, query string")
+    full = retrieval.score(index, queries).where("score > 0").collect()
+    got = sorted((r.query_id, r["rank"], r.span_id, round(r.score, 9)) for r in retrieval.search(index, queries, 7).collect())
+    order = sorted(full, key=lambda r: (r.query_id, -round(r.score, 9), r.span_id is not None, r.span_id or ""))
+    want = [(q, n, r.span_id, round(r.score, 9)) for q in range(6) for n, r in enumerate([r for r in order if r.query_id == q][:7], 1)]
+    assert [(g[0], g[1], g[2]) for g in got] == [(w[0], w[1], w[2]) for w in want] and len(want) == 21
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    monkeypatch.setattr(retrieval, "score", None)
+    assert retrieval.search(index, queries, 7).count() == 21
+    idf = {r.term: r.idf for r in index.idf_of(index.postings).collect()}
+    assert {r.term: r.idf for r in index.idf.collect()} == pytest.approx(idf)
