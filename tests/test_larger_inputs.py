@@ -84,3 +84,32 @@ def test_search_where_spans_lie_against_all_scores(spark, monkeypatch, triples):
     assert retrieval.search(index, queries, 7).count() == 21
     idf = {r.term: r.idf for r in index.idf_of(index.postings).collect()}
     assert {r.term: r.idf for r in index.idf.collect()} == pytest.approx(idf)
+
+
+def plain_fragments(hits, records, radius=0.025):
+    return {h[0] for h in hits for r in records if None not in (h[1], h[2], h[3], h[4], r[2], r[3]) and h[1] == r[0] and h[2] in r[1] and h[2] != r[1] and r[2] - radius <= h[3] <= r[2] + (r[4] or 0.0) + radius and abs(r[3] - h[4]) < radius}
+
+
+def test_fragments_of_crowded_spots_are_settled_without_pairs(spark, monkeypatch):
+    """20,000 hits at a few spots would make 10^8 pairs; hits at the edges of cells still meet their records."""
+    import random
+
+    left, near = [], figures._fragments_near
+
+    def counted(hits, *rest):
+        left.append(hits.count())
+        return near(hits, *rest)
+
+    monkeypatch.setattr(figures, "_fragments_near", counted)
+    hits, records = "hit_id long, page int, numeral string, x double, y double", "page int, text string, x double, y double, w double"
+    crowd = spark.range(20_000).selectExpr("id", "1", "string(id % 10)", "id % 2 / 2 + 0.01", "0.51")
+    long = spark.range(20_000).selectExpr("1", "string(id % 90 + 10)", "id % 2 / 2 + 0.011", "0.512", "0.0")
+    got = figures.fragments(crowd.toDF(*[c.split()[0] for c in hits.split(", ")]), long.toDF(*[c.split()[0] for c in records.split(", ")]))
+    assert got.count() == 20_000 and left == [0]
+    rng = random.Random(6)
+    spot = lambda: rng.choice([rng.random() * 0.3, rng.randrange(12) * 0.025, rng.randrange(12) * 0.025 * 0.999])
+    some = [(i, rng.choice([1, 2, None]), rng.choice(["1", "2", "12", "", "a", None]), spot(), spot()) for i in range(300)] + [(300, 1, "1", None, 0.1), (301, 1, "1", 0.1, None)]
+    many = [(rng.choice([1, 2]), rng.choice(["12", "1", "123", "2a", ""]), spot(), spot(), rng.choice([None, 0.0, 0.06, -0.02])) for _ in range(60)] + [(1, "12", None, 0.1, 0.0)]
+    got = figures.fragments(spark.createDataFrame(some, hits), spark.createDataFrame(many, records))
+    assert sorted(r.hit_id for r in got.collect()) == sorted(plain_fragments(some, many)) and 0 < left[1] < 302
+    assert figures.fragments(spark.createDataFrame(some[:1], hits), spark.createDataFrame([], records)).count() == 0
