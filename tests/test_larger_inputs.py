@@ -113,3 +113,24 @@ def test_fragments_of_crowded_spots_are_settled_without_pairs(spark, monkeypatch
     got = figures.fragments(spark.createDataFrame(some, hits), spark.createDataFrame(many, records))
     assert sorted(r.hit_id for r in got.collect()) == sorted(plain_fragments(some, many)) and 0 < left[1] < 302
     assert figures.fragments(spark.createDataFrame(some[:1], hits), spark.createDataFrame([], records)).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["long", "string"])
+def test_conflicts_shuffle_marks_and_no_pairs(spark, monkeypatch, mark):
+    """Against all pairs, on edges of blocks and cells, for crowded spots, repeated ids and marks without a place."""
+    import random
+
+    monkeypatch.setattr(figures, "near_pairs", None)
+    monkeypatch.setattr(figures, "PAIRS", 37)
+    rng = random.Random(18)
+    spot = lambda: rng.choice([rng.random() * 0.2, rng.randrange(-9, 20) * 0.01, rng.randrange(4) * 0.08 - rng.choice([0.0, 1e-17, 1e-9]), 0.5])
+    name = str if mark == "string" else int
+    rows = [(name(rng.randrange(500)), rng.choice(["p", "q"]), rng.choice(["1", "2", "2", "a3", ""]), spot(), spot()) for _ in range(600)]
+    rows += [(name(900), None, "1", 0.5, 0.5), (None, "p", "1", 0.5, 0.5), (name(901), "p", None, 0.5, 0.5), (name(902), "p", "7", None, 0.5), (name(903), "p", "7", 0.5, float("nan")), (name(904), "p", "7", float("inf"), 0.5), (name(905), "p", "7", -1e4, 0.5), (name(906), "p", "8", -1e4, 0.505)]
+    good = [r for r in rows if None not in r and r[2].isdigit()]
+    want = [(a[1], a[0], b[0], a[2], b[2]) for a in good for b in good if a[1] == b[1] and a[0] < b[0] and a[2] != b[2] and abs(a[3] - b[3]) < 0.01 and abs(a[4] - b[4]) < 0.01]
+    marks = spark.createDataFrame(rows, f"mark_id {mark}, page string, numeral string, x double, y double")
+    got = [tuple(r) for r in figures.same_spot_conflicts(marks).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert figures.same_spot_conflicts(marks, labels=False).count() == len(want)
+    assert figures.same_spot_conflicts(marks.limit(0)).count() == 0
