@@ -303,3 +303,22 @@ def test_digest_columns(spark):
     docs = spark.createDataFrame([(1, "a  b\tc", "en", 1)], DOCS)
     assert remove_repeats(docs).collect()[0].text == "a b c"
     assert hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_near_copies_of_one_text_give_links_not_pairs(spark, monkeypatch):
+    """400 near copies meet by SimHash, over squares too, and give fewer links than texts; 0.8 itself is met."""
+    from pyspark.sql import functions as F
+
+    from veridoc.llm import simhash
+
+    monkeypatch.setattr(simhash, "CELL", 300)
+    rng = random.Random(12)
+    base = prose(rng, 120, 9000).split()
+    sets = [simhash.shingle_set(" ".join(base[:i] + [f"v{rng.randrange(10**6)}"] + base[i + 1 :])) for i in (rng.randrange(5, 115) for _ in range(400))]
+    wide = spark.createDataFrame([(i, bytearray(simhash.wide_fingerprint(h))) for i, h in enumerate(sets)], "v long, wide binary")
+    links = [(r.a, r.b) for r in simhash.close_links(wide, 400).distinct().collect()]
+    assert len(set(components(range(400), links).values())) == 1 and len(links) < 400 * len(simhash.shard_bits(400)) * 2
+    listed = spark.createDataFrame([(i, h.view("int64").tolist()) for i, h in enumerate(sets)], "v long, h array<long>")
+    got = [(r.a, r.b) for r in simhash.similar_links(listed, listed.select("v", F.lit(7).cast("long").alias("key")), 0.8).collect()]
+    linked = [(i, j) for i in range(400) for j in range(i) if 5 * len(both := set(sets[i].tolist()) & set(sets[j].tolist())) >= 4 * (len(sets[i]) + len(sets[j]) - len(both))]
+    assert components(range(400), got) == components(range(400), linked) and len(got) < 400 < len(linked)

@@ -9,14 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import LAST_ID, col, connected_components, field, join_spread, materialize, row_of, stream_groups, tidied
-from veridoc.llm.lines import apart_pairs
+from veridoc.llm.lines import _small
 
 BITS = 64
 #: Members of one shard's tree; larger shards are cut by further blocks of bits.
 MAX_TREE = 2048
 _CHUNK = 1 << 16
-#: Bands of minima by which similar texts meet: at a similarity of 0.8 one of them is equal with a chance of 0.9998.
-BANDS, MINIMA = 16, 4
+#: Bits of a wide fingerprint and 64-bit words of it that are compared in a shard.
+WIDE, FIRST = 512, 4
+#: Members of a shard on average, chance to agree on a bit at a similarity of 0.8 and to miss one another in all shards.
+SHARD, AGREE, MISSED = 128, 0.84, 5e-4
+#: Distance of the first word and of all words compared, five standard deviations above what a similarity of 0.8 gives.
+NEAR_WORD, NEAR = 25, 72
+#: Fingerprints and sets of shingles along the side of a square that one task compares.
+CELL, SETS = 2048, 512
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -213,49 +219,164 @@ def shingle_set(text: str | None, shingle: int = 5):
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], np.uint64))
 
 
-def band_keys(hashes) -> list[int]:
-    """One key per band of minima over permuted hashes."""
+def wide_fingerprint(hashes) -> bytes:
+    """SimHash of WIDE bits, 64 at a time, of hashes mixed anew for every 64: a bit is 1 if set in over half of them."""
     import numpy as np
-    import xxhash
 
-    factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        h = hashes[i : i + 4096, None]
-        mixed = (h ^ (h >> np.uint64(31))) * factors
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-    return [xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(BANDS, MINIMA))]
+    factors = np.random.default_rng(7).integers(0, 1 << 63, (2, WIDE // 64), np.uint64) * np.uint64(2) + np.uint64(1)
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 255):
+        mixed = hashes[i : i + 255, None] * factors[0]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * factors[1]
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
-def similar_links(sets: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all classes v which meet under a key (met: key, v, n, least) and are similar (sets: v, h).
+def shard_bits(n: int):
+    """(shards, bits): the bits by which n fingerprints are dealt to shards, one choice of them per row.
 
-    First each class is compared with the least of its keys. What that doesn't connect is compared pair by pair, so a
-    large group of near copies costs its size, not its square.
-    """
+    Shards have some SHARD members. Two fingerprints of a similarity of 0.8 agree on a bit with a chance of AGREE at
+    least, so there are as many choices as it takes for them to miss one another in all with a chance of MISSED."""
+    import math
+
+    import numpy as np
+
+    bits = max(4, math.ceil(math.log2(max(n, 1) / SHARD)))
+    choices = math.ceil(math.log(MISSED) / math.log(1 - AGREE**bits))
+    rng = np.random.default_rng(11)
+    return np.array([rng.choice(WIDE, bits, replace=False) for _ in range(choices)])
+
+
+def _merge(a, b, root):
+    """Those links (a, b) that join groups, as they are taken one after the other; root names the groups and changes."""
+    import numpy as np
+
+    out = []
+    while True:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return out
+        first = a[0]
+        near = b[a == first]
+        roots, at = np.unique(root[near], return_index=True)
+        out += [(int(first), int(near[i])) for i in at]
+        root[np.isin(root, roots)] = root[first]
+
+
+def _groups(table, keys: list[str]) -> Iterator:
+    """(start, end) of the groups of more than one row."""
+    import numpy as np
+
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        new |= np.diff(table.column(k).to_numpy()) != 0
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+    return ((lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1)
+
+
+_SQUARE = ["key", "row", "column"]
+
+
+def _dealt(members: DataFrame, cell: int) -> DataFrame:
+    """Members (key, v, ...) with the squares (row, column) of their key in which all pairs of its members meet."""
+    large = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    slots = F.coalesce(F.ceil(F.col("n") / cell), F.lit(1))
+    named = members.join(_small(large), "key", "left").withColumns({"slot": F.pmod(F.xxhash64("v"), slots), "other": F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))})
+    return named.withColumns({"row": F.least("slot", "other"), "column": F.greatest("slot", "other")}).drop("n", "slot", "other")
+
+
+def _close_links(table) -> Iterator:
+    """Links that connect the fingerprints of a shard whose distance is at most NEAR of the first FIRST words' bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    v = table.column("v").to_numpy()
+    w = [table.column(f"w{i}").to_numpy().view(np.uint64) for i in range(FIRST)]  # bits of negative numbers count otherwise
+    links: list[tuple[int, int]] = []
+    for lo, hi in _groups(table, _SQUARE):
+        root = np.arange(hi - lo)
+        for at in range(lo, hi, 512):
+            a, b = np.nonzero(np.bitwise_count(w[0][at : min(hi, at + 512), None] ^ w[0][None, at:hi]) <= NEAR_WORD)
+            a, b = a[a < b] + at, b[a < b] + at
+            near = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in w) <= NEAR if len(a) else []
+            links += [(i + lo, j + lo) for i, j in _merge(a[near] - lo, b[near] - lo, root)] if len(a) else []
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["a", "b"])
+
+
+def _similar_links(similarity: float):
+    def run(table) -> Iterator:
+        """Links that connect the sets of a group which are similar: each set meets those that share its hashes."""
+        import numpy as np
+        import pyarrow as pa
+
+        v, lists = table.column("v").to_numpy(), table.column("h").combine_chunks()
+        ends, hashes = lists.offsets.to_numpy(), lists.values.to_numpy()
+        links: list[tuple[int, int]] = []
+        for lo, hi in _groups(table, _SQUARE):
+            size = np.diff(ends[lo : hi + 1]).astype(np.int64)
+            term = np.unique(hashes[ends[lo] : ends[hi]], return_inverse=True)[1]
+            holder = np.repeat(np.arange(hi - lo), size)[np.argsort(term, kind="stable")]
+            count = np.bincount(term) if len(term) else np.zeros(0, np.int64)
+            start, cut = np.cumsum(count) - count, np.append(0, np.cumsum(size))
+            root = np.arange(hi - lo)
+            for i in range(hi - lo):
+                own = term[cut[i] : cut[i + 1]]
+                n = count[own]
+                at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(holder[at], minlength=hi - lo)
+                near = np.flatnonzero(common >= (size + size[i] - common) * similarity - 1e-9)
+                links += [(a + lo, b + lo) for a, b in _merge(np.full(len(near), i), near, root)]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["a", "b"])
+
+    return run
+
+
+def close_links(fps: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) that connect the n classes v whose wide fingerprints (v, wide) are close, as far as shards find them.
+
+    A fingerprint is dealt to one shard for every choice of bits, whose members agree on these, and a shard's members
+    are all compared; those of more than CELL members are dealt over squares. A group of near copies gives as many
+    links as it has members, not pairs."""
+    chosen = shard_bits(n)
+
+    def keyed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        power = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+            bits = np.unpackbits(wide, axis=1, bitorder="little")
+            keys = np.stack([bits[:, c].astype(np.int64) @ power for c in chosen], axis=1) + (np.arange(len(chosen), dtype=np.int64) << 48)
+            lists = pa.ListArray.from_arrays(np.arange(len(wide) + 1, dtype=np.int32) * len(chosen), pa.array(keys.reshape(-1)))
+            words = np.ascontiguousarray(wide[:, : 8 * FIRST]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(FIRST)], lists], names=["v", *own, "keys"])
+
+    own = [f"w{i}" for i in range(FIRST)]
+    rows = materialize(fps.select("v", "wide").mapInArrow(keyed, "v long, " + "".join(f"{w} long, " for w in own) + "keys array<long>"))
+    members = rows.select(F.explode("keys").alias("key"), "v", *own)
+    return stream_groups(_dealt(members, CELL), _SQUARE, _close_links, "a long, b long")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("x", "hx"), "x").join(sets.toDF("y", "hy"), "y")
-        common = F.size(F.array_intersect("hx", "hy"))
-        return both.where(common >= (F.size("hx") + F.size("hy") - common) * similarity - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    stars = materialize(met.where("v <> least").select(F.col("least").alias("x"), F.col("v").alias("y")).distinct())
-    links = materialize(similar(stars))
-    roots = materialize(connected_components(links))
-    rooted = materialize(met.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")))
-    left = apart_pairs(rooted).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    stars = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return links.union(similar(left.join(stars, ["x", "y"], "left_anti")))
+def similar_links(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar sets (v, h) of one group (v, key): all of a group's sets are compared."""
+    members = sets.join(groups, "v").select("key", "v", "h")
+    return stream_groups(_dealt(members, SETS), _SQUARE, _similar_links(similarity), "a long, b long")
 
 
 @tidied
 def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of every group of similar texts with all its columns: the smallest doc_id, then text hash; of repeats any.
 
-    Similar are texts whose sets of word shingles have a Jaccard similarity of `similarity` at least, measured
-    exactly; groups are connected through links. Pairs meet by bands of minima: SimHash would need a radius of about
-    13 of 64 bits for 0.8, which no pigeonhole blocks. Null, empty and blank texts are one group. A null doc_id comes
-    after all others; columns may have any names. An empty table gives an empty result.
+    SimHash fingerprints of WIDE bits over the distinct word shingles are dealt to shards by some of their bits, and
+    those of a shard that are close are linked. Similar are texts in a group so linked whose sets of shingles have a
+    Jaccard similarity of `similarity` at least, measured exactly between all of the group; groups are connected
+    through these links. The bits are chosen for similarities of 0.8 and more. Null, empty and blank texts are one
+    group. A null doc_id comes after all others; columns may have any names. An empty table gives an empty result.
     """
 
     def hashed(batches: Iterator) -> Iterator:
@@ -266,9 +387,8 @@ def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
             v = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            keys = np.array([band_keys(h) for h in sets], np.uint64).reshape(-1).view(np.int64)
-            bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v), bands], names=["id", "tie", "v", "bands"])
+            wide = pa.array([wide_fingerprint(h) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v), wide], names=["id", "tie", "v", "wide"])
 
     def listed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -278,13 +398,12 @@ def keep_one_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "h"])
 
     keyed = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"), col(text).alias("text"))
-    rows = materialize(keyed.select("id", "tie", "text").mapInArrow(hashed, "id long, tie long, v long, bands array<long>"))
-    classes = materialize(rows.groupBy("v").agg(F.min(F.struct("id", "tie")).alias("one"), F.min("bands").alias("bands")))
-    members = classes.select("v", F.explode("bands").alias("key"))
-    met = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("n > 1"), "key").select("key", "v", "n", "least"))
-    asked = classes.join(met.select("v").distinct(), "v", "left_semi").select("v", "one.*")
-    sets = materialize(keyed.join(asked, ["id", "tie"]).dropDuplicates(["v"]).select("v", "text").mapInArrow(listed, "v long, h array<long>"))
-    groups = connected_components(similar_links(sets, met, similarity)).withColumnRenamed("node", "v")
+    rows = materialize(keyed.select("id", "tie", "text").mapInArrow(hashed, "id long, tie long, v long, wide binary"))
+    classes = materialize(rows.groupBy("v").agg(F.min(F.struct("id", "tie")).alias("one"), F.min("wide").alias("wide")))
+    close = materialize(connected_components(close_links(classes, classes.count())).toDF("v", "key"))
+    asked = classes.join(_small(close), "v", "left_semi").select("v", "one.*")
+    sets = materialize(keyed.join(_small(materialize(asked)), ["id", "tie"]).dropDuplicates(["v"]).select("v", "text").mapInArrow(listed, "v long, h array<long>"))
+    groups = connected_components(similar_links(sets, close, similarity)).withColumnRenamed("node", "v")
     kept = classes.join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("one").alias("one")).select("one.*")
     whole = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     one = Window.partitionBy("id", "tie").orderBy("id")
