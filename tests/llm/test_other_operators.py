@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
+from veridoc.llm import common
 from veridoc.llm.decontaminate import MASKS, clean_documents, contamination
 from veridoc.llm.licenses import TEMPLATES, Scanner, align, rising, scan_licenses
 from veridoc.llm.mixing import mix
@@ -327,3 +328,16 @@ def test_pipeline(spark):
     assert out.columns[: len(docs.columns)] == docs.columns and all(r.taken > 0 for r in rows)
     lines = [line for r in rows for line in r.text.split("\n") if any(c.isalnum() for c in line)]
     assert len({" ".join("".join(c if c.isalnum() else " " for c in line.lower()).split()) for line in lines}) == len(lines)
+
+
+def test_heap_is_given_back_between_steps(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(common, "release", asked.append)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    runtime, held = jvm.Runtime.getRuntime(), []
+    while 2 * runtime.totalMemory() <= runtime.maxMemory():
+        held.append(jvm.java.nio.ByteBuffer.allocate(64 << 20))
+    assert common.materialize(spark.range(3)).count() == 3
+    for buffer in held:
+        gateway.detach(buffer)
+    assert asked == [spark]

@@ -46,6 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     for made in _made:
         made.append(path)
+    trim(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,6 +105,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim(spark: SparkSession) -> None:
+    """Give heap back once over half of what the driver may have is taken.
+
+    Plans of many small steps leave far more garbage than they hold; the virtual machine makes the heap larger rather
+    than collect it, up to its limit, and only a full collection makes it smaller again.
+    """
+    runtime = spark.sparkContext._jvm.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        release(spark)
+
+
 #: Keys that hold more than one in so many of all rows are joined where the rows lie.
 HOT = 1024
 
