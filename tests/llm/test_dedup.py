@@ -322,3 +322,17 @@ def test_near_copies_of_one_text_give_links_not_pairs(spark, monkeypatch):
     got = [(r.a, r.b) for r in simhash.similar_links(listed, listed.select("v", F.lit(7).cast("long").alias("key")), 0.8).collect()]
     linked = [(i, j) for i in range(400) for j in range(i) if 5 * len(both := set(sets[i].tolist()) & set(sets[j].tolist())) >= 4 * (len(sets[i]) + len(sets[j]) - len(both))]
     assert components(range(400), got) == components(range(400), linked) and len(got) < 400 < len(linked)
+
+
+def test_segments_of_texts_together_are_those_of_each():
+    rng = np.random.default_rng(5)
+    sizes = (0, 5, 19, 20, 300, 0, 21, 400, 1, 90)
+    texts = [rng.integers(0, 6 if n % 3 else 1 << 60, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in sizes]
+    texts[7][:] = 7  # one word over and over
+    ends = np.append(0, np.cumsum(sizes))
+    found = substrings.Segments(np.concatenate(texts), ends=ends)
+    got = list(zip(found.text.tolist(), (found.first - ends[found.text]).tolist(), found.count.tolist(), found.anchor.tolist(), found.context.tolist(), strict=True))
+    alone = [(t, substrings.Segments(h)) for t, h in enumerate(texts)]
+    want = [(t, *row) for t, s in alone for row in zip(s.first.tolist(), s.count.tolist(), s.anchor.tolist(), s.context.tolist(), strict=True)]
+    assert got == want and max(r[2] for r in want) == substrings.MOST
+    assert {(found.text[i], found.context[i]) for i in found.once()} == {(t, c) for t, _, _, _, c in want} and len(found.once()) < len(want)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ ANCHOR = 6
 MAX_CONTEXTS = 4096
 #: Words of one automaton, unless a single anchor has more.
 SHARD_WORDS = 60_000
+#: Windows of a segment at most.
+MOST = 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -49,23 +52,25 @@ def _powers(n: int):
 
 
 class Segments:
-    """The windows of one text, cut into segments of neighbouring windows that have the same anchor.
+    """The windows of some texts, cut into segments of neighbouring windows that have the same anchor.
 
     A window's anchor depends on its words alone, so equal windows have equal anchors wherever they are. Arrays:
-    first and count (of a segment's windows, at most `most`), anchor (hash of the anchor's words), context (hash of
-    all words of the segment). Runs of words have polynomial hashes by prefix sums.
+    first and count (of a segment's windows, at most `most`), text (its number), anchor (hash of the anchor's words),
+    context (hash of all words of the segment). Runs of words have polynomial hashes by prefix sums. The texts' words
+    stand one after the other; ends says where each text begins and ends, if there are more than one.
     """
 
-    def __init__(self, hashes, window: int = WINDOW, anchor: int = ANCHOR, most: int = 32) -> None:
+    def __init__(self, hashes, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST, ends=None) -> None:
         import numpy as np
 
         n = len(hashes)
+        ends = np.array([0, n]) if ends is None else ends
         power, self.inverse = _powers(n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * power[:n], dtype=np.uint64, out=self.sums[1:])
         starts = n - window + 1
         if starts < 1:
-            self.first = self.count = np.zeros(0, np.int64)
+            self.first = self.count = self.text = np.zeros(0, np.int64)
             self.anchor = self.context = np.zeros(0, np.uint64)
             return
         least = _mix((self.sums[anchor:] - self.sums[: n - anchor + 1]) * self.inverse[: n - anchor + 1])
@@ -74,15 +79,28 @@ class Segments:
             step = min(have, wide - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-        first = np.concatenate([[0], cut])
-        count = np.diff(np.concatenate([first, [starts]]))
-        if count.max() > most:
-            first = np.concatenate([np.arange(f, f + c, most) for f, c in zip(first.tolist(), count.tolist(), strict=True)])
-            count = np.diff(np.concatenate([first, [starts]]))
-        self.first, self.count, self.anchor = first, count, least[first]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        whole = text[:starts] == text[window - 1 :]
+        first = np.concatenate([[0], np.flatnonzero((least[1:] != least[:-1]) | (whole[1:] != whole[:-1])) + 1])
+        count = np.diff(first, append=starts)[whole[first]]
+        first = first[whole[first]]
+        if len(count) and count.max() > most:
+            parts = -(-count // most)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first, count = np.repeat(first, parts) + most * nth, np.minimum(np.repeat(count, parts) - most * nth, most)
+        self.first, self.count, self.text, self.anchor = first, count, text[first], least[first]
         self.context = _mix(self.run(first, first + count + window - 1) + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def once(self):
+        """Numbers of segments, one of each context of a text."""
+        import numpy as np
+
+        order = np.argsort(self.context, kind="stable")
+        context, text = self.context[order], self.text[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (context[1:] != context[:-1]) | (text[1:] != text[:-1])
+        return order[new]
+
     def run(self, begin, end):
         """Hashes of the words from begin to end, wherever they are in the text."""
         return (self.sums[end] - self.sums[begin]) * self.inverse[begin]
@@ -203,8 +221,20 @@ def _rows_of(lists) -> Iterator:
         yield flat[lo:hi]
 
 
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def _runs(lists, size: int = 1 << 15) -> Iterator:
+    """(lo, hi, hashes, ends): rows lo to hi of a list column of longs, of some `size` longs together or one row of more."""
+    import numpy as np
+
+    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, hi, flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def _split(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
 def _segments(keyed: DataFrame, window: int) -> DataFrame:
@@ -216,14 +246,13 @@ def _segments(keyed: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             rows: list = [[], [], []]
-            for doc, hashes in zip(batch.column(0).to_pylist(), _rows_of(batch.column(1)), strict=True):
-                if len(hashes) < window:
-                    continue
-                found = Segments(hashes, window)
-                _, once = np.unique(found.context, return_index=True)
+            ids = batch.column(0).to_numpy()
+            for lo, hi, hashes, ends in _runs(batch.column(1)):
+                found = Segments(hashes, window, ends=ends)
+                once = found.once()
                 rows[0].append(found.anchor[once])
                 rows[1].append(found.context[once])
-                rows[2].append(np.full(len(once), doc, np.int64))
+                rows[2].append(ids[lo:hi][found.text[once]])
             anchor, context = (np.concatenate([np.zeros(0, np.uint64), *r]).view(np.int64) for r in rows[:2])
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(np.concatenate([np.zeros(0, np.int64), *rows[2]]))], names=["anchor", "context", "id"])
 
@@ -247,19 +276,30 @@ def _first_texts(keyed: DataFrame, met: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc, text, asked, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), _rows_of(batch.column(3)), strict=True):
-                own = _split(text.as_py())
-                found = Segments(hashes, window)
-                wanted = set(asked.as_py())
-                _, once = np.unique(found.context, return_index=True)
-                contexts, anchors = found.context.view(np.int64), found.anchor.view(np.int64)
-                for s in once.tolist():
-                    if int(contexts[s]) not in wanted:
-                        continue
-                    lo = int(found.first[s])
-                    hi = lo + int(found.count[s]) + window - 1
-                    for column, value in zip(out, (int(anchors[s]), int(contexts[s]), doc, b" ".join(own[lo:hi]).decode("utf-8", "replace")), strict=True):
-                        column.append(value)
+            ids, texts, lists = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()), batch.column(2)
+            offsets, every = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for low, high, hashes, ends in _runs(batch.column(3)):
+                found = Segments(hashes, window, ends=ends)
+                # a context is asked of one id only
+                asked = every[offsets[low] : offsets[high]]
+                of = np.repeat(ids[low:high], np.diff(offsets[low : high + 1]))
+                order = np.argsort(asked)
+                asked, of = asked[order], of[order]
+                once = found.once()
+                contexts, doc = found.context.view(np.int64)[once], ids[low:high][found.text[once]]
+                at = np.minimum(np.searchsorted(asked, contexts), len(asked) - 1)
+                once = np.sort(once[(asked[at] == contexts) & (of[at] == doc)])
+                text = found.text[once]
+                begin = found.first[once] - ends[text]
+                end = begin + found.count[once] + window - 1
+                out[0] += found.anchor.view(np.int64)[once].tolist()
+                out[1] += found.context.view(np.int64)[once].tolist()
+                out[2] += ids[low:high][text].tolist()
+                own, last = [], -1
+                for t, lo, hi in zip(text.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    if t != last:
+                        own, last = _split(texts[low + t].as_py()), t
+                    out[3].append(b" ".join(own[lo:hi]).decode("utf-8", "replace"))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "context", "first", "words"])
 
@@ -361,31 +401,42 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, claims, hashes in zip(batch.column(1), batch.column(2), _rows_of(batch.column(3)), strict=True):
-                words = _split(text.as_py())
-                total.append(len(words))
-                left = words
-                if len(words) >= window:
-                    found = Segments(hashes, window)
-                    starts = np.zeros(len(words) - window + 1, bool)
-                    asked = {c["context"]: c["bits"] for c in claims.as_py() or ()}
-                    if asked:
-                        for s, c in enumerate(found.context.view(np.int64).tolist()):
-                            if bits := asked.get(c):
-                                lo, n = int(found.first[s]), int(found.count[s])
-                                starts[lo : lo + n] |= (bits >> np.arange(n)) & 1 == 1
-                    at = np.arange(len(starts))
-                    _, before, which = np.unique(found.run(at, at + window), return_index=True, return_inverse=True)
-                    for s in np.flatnonzero((before[which] < at) & ~starts).tolist():
-                        e = int(before[which[s]])
-                        starts[s] = words[s : s + window] == words[e : e + window]
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    edge[:-window][starts] += 1
-                    np.subtract.at(edge, np.flatnonzero(starts) + window, 1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    left = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                gone.append(len(words) - len(left))
-                texts.append(None if text.as_py() is None else b" ".join(left).decode("utf-8", "surrogatepass"))
+            given, claims = batch.column(1).cast(pa.binary()), batch.column(2)
+            asked_ends = claims.offsets.to_numpy().tolist()
+            asked_contexts, asked_bits = (claims.values.field(i).to_numpy() for i in range(2))
+            for low, high, hashes, ends in _runs(batch.column(3)):
+                found = Segments(hashes, window, ends=ends)
+                of = np.searchsorted(found.text, np.arange(high - low + 1)).tolist()
+                contexts = found.context.view(np.int64).tolist()
+                runs = (found.sums[window:] - found.sums[:-window]) * found.inverse[: max(0, len(hashes) - window + 1)]
+                for t, begin in enumerate(ends[:-1].tolist()):
+                    text = given[low + t].as_py()
+                    words, starts = _split(text), None
+                    if len(words) >= window:
+                        starts = np.zeros(len(words) - window + 1, bool)
+                        lo, hi = asked_ends[low + t : low + t + 2]
+                        if lo < hi:
+                            asked = dict(zip(asked_contexts[lo:hi].tolist(), asked_bits[lo:hi].tolist(), strict=True))
+                            hit = [s for s in range(of[t], of[t + 1]) if contexts[s] in asked]
+                            bits = np.array([asked[contexts[s]] for s in hit], np.int64)
+                            claimed = (bits[:, None] >> np.arange(MOST)) & 1 == 1
+                            starts[((found.first[hit] - begin)[:, None] + np.arange(MOST))[claimed]] = True
+                        own = runs[begin : begin + len(starts)]
+                        rising = np.sort(own)
+                        if (rising[1:] == rising[:-1]).any():
+                            _, before, which = np.unique(own, return_index=True, return_inverse=True)
+                            for s in np.flatnonzero((before[which] < np.arange(len(starts))) & ~starts).tolist():
+                                e = int(before[which[s]])
+                                starts[s] = words[s : s + window] == words[e : e + window]
+                    left = words
+                    if starts is not None and starts.any():
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        edge[:-window][starts] += 1
+                        np.subtract.at(edge, np.flatnonzero(starts) + window, 1)
+                        left = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
+                    total.append(len(words))
+                    gone.append(len(words) - len(left))
+                    texts.append(None if text is None else b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
