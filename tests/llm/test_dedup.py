@@ -51,6 +51,25 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_one_task_a_round(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(900, 900), (950, 951)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+
+    def run(few):
+        spark.sparkContext.setJobGroup(f"few {few}", "")
+        got = dict(connected_components(frame, few=few).collect())
+        told = spark.sparkContext.statusTracker()
+        stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(f"few {few}") for s in told.getJobInfo(j).stageIds]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, sum(s.numTasks for s in stages if s)
+
+    dealt, many = run(0)
+    alone, few = run(200_000)
+    assert alone == dealt == components({n for e in edges for n in e}, edges)
+    assert few < many / 2
+
+
 def test_fingerprint_by_definition():
     for text in ("", None, "  \n", "One", "one two", "ONE two three four É é", "a b c " * 300, prose(random.Random(3), 5000)):
         assert fingerprint(text) == plain_fingerprint(text)

@@ -167,28 +167,41 @@ def stream_groups(df: DataFrame, keys: list[str], fn: Callable, schema: T.Struct
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges up to which a round of components is one task's work: a few longs each.
+FEW_EDGES = 200_000
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) of every node named in edges (a, b): root is the smallest node reachable.
 
     Alternates large-star and small-star steps over long columns; every round is a minimum per node, combined
     before the shuffle, and a join, so a hub's neighbours never meet in one list. Each round is written to the
-    shared folder. Self loops are allowed and name their node.
+    shared folder. A round over at most `few` edges is one task without a shuffle: dealt out, it would leave the driver
+    with plans, stages and tasks by the hundred for next to no work. Self loops are allowed and name their node.
     """
     cur = materialize(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
     loops = cur.where("u = v").select(F.col("u").alias("node"))
+    alone = cur.count() <= few
     cur = cur.where("u <> v")
+
+    def near(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if alone else df
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right.hint("merge") if alone else right, "u")
+
     before = None
     for _ in range(rounds):
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = near(cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select("v", "u").distinct())
-        now = tuple(cur.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        small = met(large, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        cur = materialize(near(small.union(low.select("u", F.col("m").alias("v")))).where("u <> v").select("v", "u").distinct())
+        now = tuple(near(cur).agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before or not now[0]:
             break
-        before = now
+        before, alone = now, now[0] <= few
     else:
         raise RuntimeError("components did not settle")
     named = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
