@@ -231,6 +231,26 @@ def test_decontamination(spark, seeds):
     assert clean_documents(docs, bench.limit(0)).count() == len(rows) and contamination(docs.limit(0), bench).count() == 0
 
 
+def test_clean_documents_shuffle_no_texts(spark):
+    """Whatever joins Spark would choose by itself; beyond the bound both sides are shuffled, with the same rows."""
+    rng = random.Random(6)
+    items = [prose(rng, 30) for _ in range(3)]
+    rows = [(i % 50 if i % 7 else None, f"{prose(rng, 60)} {items[i % 3] if i % 4 == 0 else ''}") for i in range(80)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = clean_documents(docs, bench)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        want = sorted((str(d), str(t)) for i, (d, t) in enumerate(rows) if i % 4 or i >= 80)
+        for out in (kept, clean_documents(docs, bench, broadcast_hits=19)):
+            assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
 def test_masks_leave_no_place_to_substitutions():
     for width in range(1, 21):
         spots = [{i + o for i, c in enumerate(m) if c == "1"} for m, lo, hi in MASKS if lo <= width <= hi for o in range(width - len(m) + 1)]

@@ -10,9 +10,11 @@ from veridoc.llm.common import LAST_ID, col, field, join_spread, materialize, ro
 #: Fixed masks over token positions, 1 is compared, 0 may hold any token; and the least and largest width of items (at
 #: most WINDOW) that take them. Of every width, wherever a fifth of the tokens is substituted, one mask fits somewhere.
 MASKS = (("1", 1, 1), ("11", 2, 2), ("111", 3, 3), ("1111", 4, 9), ("11101", 5, 5), ("10111", 5, 5), ("11011", 5, 7), ("11010011", 10, 14), ("111011", 10, 20), ("11111", 10, 20))
-#: Seed rows up to which the benchmark side is broadcast, about 100 bytes each and item tokens.
+#: Seed rows up to which the benchmark side is broadcast, and tokens of its items, which are told once each.
 BROADCAST_SEEDS = 500_000
-BROADCAST_TOKENS = 8_000_000
+BROADCAST_TOKENS = 2_000_000
+#: Contaminated rows up to which their keys, two longs each, are sent to the documents.
+BROADCAST_HITS = 250_000
 WINDOW = 20
 SHARE = 0.8
 
@@ -65,13 +67,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 
 @tidied
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, broadcast_hits: int = BROADCAST_HITS, **how) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns, whatever these are called.
 
-    Null and blank texts are clean; repeated rows stay or go together; an empty benchmark takes nothing away.
+    The keys of contaminated rows are written and counted: up to broadcast_hits of them go to where the documents lie,
+    so that no text is shuffled or sorted; beyond, both sides are shuffled. Null and blank texts are clean; repeated rows stay or go together; an empty benchmark takes nothing away.
     """
     doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
-    hits = _hits(docs, benchmark, **how).where("overlap >= " + str(how.get("share", SHARE))).select("id", "tie").distinct()
+    hits = materialize(_hits(docs, benchmark, **how).where("overlap >= " + str(how.get("share", SHARE))).select("id", "tie").distinct())
+    if hits.count() <= broadcast_hits:
+        hits = F.broadcast(hits)
     keyed = docs.select(row_of(docs.columns), F.coalesce(col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(col(text)).alias("tie"))
     return keyed.join(hits, ["id", "tie"], "left_anti").select(*[field(c) for c in docs.columns])
 
@@ -87,14 +92,15 @@ def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     widths = [r.width for r in items.select("width").distinct().collect()]
     masks = [m for m in masks if any(m[1] <= w <= m[2] for w in widths)] or list(masks)
     shortest = min(len(m[0]) for m in masks)
-    placed = items.select("number", "item_id", "item", "width", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("q"))
-    seeds = placed.select("number", "item_id", "item", "q", F.explode(_seed_keys("item", "q", masks, F.col("width"))).alias("key")).where("key is not null")
-    bound = seeds.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("tokens")).first()
+    placed = items.select("number", "item", "width", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("q"))
+    seeds = placed.select("number", "q", F.explode(_seed_keys("item", "q", masks, F.col("width"))).alias("key")).where("key is not null")
+    few = seeds.count() <= broadcast_seeds and (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_TOKENS
     tokens = _tokens(docs, doc_id, text).where(F.size("h") >= shortest)
     at = tokens.select("id", "tie", "h", F.explode(F.sequence(F.lit(0), F.size("h") - shortest)).alias("p"))
-    if bound["n"] <= broadcast_seeds and bound["tokens"] <= BROADCAST_TOKENS:
+    if few:
         keys = at.select("id", "tie", "h", "p", F.explode(_seed_keys("h", "p", masks)).alias("key"))
-        found = keys.join(F.broadcast(seeds), "key").withColumn("diagonal", F.col("p") - F.col("q"))
+        found = keys.join(F.broadcast(seeds.select("key", "number", "q")), "key").withColumn("diagonal", F.col("p") - F.col("q"))
+        found = found.join(F.broadcast(items.select("number", "item_id", "item")), "number")
     else:
         keys = at.select("id", "tie", "p", F.explode(_seed_keys("h", "p", masks)).alias("key")).where("key is not null")
         # a seed of common words meets its many places where they lie
