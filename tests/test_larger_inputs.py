@@ -134,3 +134,21 @@ def test_conflicts_shuffle_marks_and_no_pairs(spark, monkeypatch, mark):
     assert sorted(got) == sorted(want) and len(want) > 100
     assert figures.same_spot_conflicts(marks, labels=False).count() == len(want)
     assert figures.same_spot_conflicts(marks.limit(0)).count() == 0
+
+
+def test_conflicts_deal_few_marks_twice(spark, monkeypatch):
+    """Marks near the edges of blocks are dealt to several; of marks spread evenly, fewer than a quarter more rows."""
+
+    def counted(*how):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"page": pa.array([0], pa.int64()), "a": pa.array([batch.num_rows], pa.int64()), "b": pa.array([0], pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(figures, "_block_pairs", counted)
+    marks = spark.range(10_000).selectExpr("0L as page", "id as mark_id", "'1' as numeral", "(id % 100 + 0.5) / 100.0D as x", "(floor(id / 100) + 0.5) / 100.0D as y")
+    dealt = figures.same_spot_conflicts(marks, labels=False).agg(F.sum("a")).first()[0]
+    assert 10_000 < dealt < 12_500
